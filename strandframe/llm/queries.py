@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import fingerprints, mixing
 
 
 def queries() -> dict:
     return {
+        "op2_scaled_fingerprints": fingerprints.op2_scaled_fingerprints,
         "op4_mix_sources": mixing.op4_mix_sources,
     }
 
