@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing
+from . import fingerprints, lines, mixing
 
 
 def queries() -> dict:
     return {
         "op2_scaled_fingerprints": fingerprints.op2_scaled_fingerprints,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op6_line_chunks": lines.op6_line_chunks,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op6_line_chunks": lines.OP6_SQL,
+    }
