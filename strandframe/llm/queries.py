@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lines, mixing
+from . import decontamination, fingerprints, language, lines, mixing, warc
 
 
 def queries() -> dict:
     return {
         "op2_scaled_fingerprints": fingerprints.op2_scaled_fingerprints,
+        "op3_warc_normaliser": warc.op3_warc_normaliser,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op6_line_chunks": lines.op6_line_chunks,
+        "op7_minhash_containment": decontamination.op7_minhash_containment,
+        "op10_language_masks": language.op10_language_masks,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op3_warc_normaliser": warc.OP3_SQL,
         "op6_line_chunks": lines.OP6_SQL,
+        "op7_minhash_containment": decontamination.OP7_SQL,
     }
