@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, language, lines, mixing, warc
+from . import decontamination, fingerprints, html_tree, language, lines, mixing, secret_scan, warc
 
 
 def queries() -> dict:
     return {
+        "op1_tree_extraction": html_tree.op1_tree_extraction,
         "op2_scaled_fingerprints": fingerprints.op2_scaled_fingerprints,
         "op3_warc_normaliser": warc.op3_warc_normaliser,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op6_line_chunks": lines.op6_line_chunks,
         "op7_minhash_containment": decontamination.op7_minhash_containment,
+        "op8_secret_forest": secret_scan.op8_secret_forest,
         "op10_language_masks": language.op10_language_masks,
     }
 
