@@ -89,19 +89,23 @@ def compare_with_next(docs: DataFrame, *, text: str = "text", key: str = "doc_id
     one with the smallest text stands for it. An empty table gives an empty one; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    # Keys are boxed: structs with a null inside compare and hash like any others. Both joins read one exchange of the texts.
+    own = docs.select(F.struct(F.col(key).alias("v")).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # n: a document lends as much of its start as the longest row of its predecessor's key replaces.
-    lent = followers(scratch, own.groupBy("key").agg(F.max(F.floor(F.col("n_chars") / 3)).cast("int").alias("n"))).withColumnRenamed("key", "to")
+    third = F.floor(F.char_length("text") / 3).cast("int")
+    lent = followers(scratch, own.groupBy(F.col("k.v").alias("key")).agg(F.max(third).alias("n")))
+    lent = lent.select(F.struct(F.col("key").alias("v")).alias("to"), F.struct(F.col("next").alias("v")).alias("from"), "n")
     head = (
-        own.join(lent, F.col("key").eqNullSafe(F.col("next")))
+        own.join(lent, F.col("k") == F.col("from"))
         .select("to", F.struct(F.expr("substring(text, 1, n)").alias("start"), sketch(F.col("text")).alias("sketch")).alias("head"))
         .groupBy("to").agg(F.min("head").alias("head"))
     )
     edited = F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) as int)), substring(head.start, 1, cast(floor(n_chars / 3) as int)))")
     drawn = (
-        own.join(head, F.col("key").eqNullSafe(F.col("to")))
+        own.join(head, F.col("k") == F.col("to"))
+        .withColumn("n_chars", F.char_length("text").cast("long"))
         .withColumn("edited", edited)
-        .select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("a"), sketch(F.col("edited")).alias("b"), F.col("head.sketch").alias("c"))
+        .select(F.col("k.v").alias("key"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("a"), sketch(F.col("edited")).alias("b"), F.col("head.sketch").alias("c"))
     )
     return drawn.select(
         F.col("key").alias(key), "n_chars", "edited_sha256", hexed(F.col("a")).alias("fingerprint"), hexed(F.col("b")).alias("edited_fingerprint"),
