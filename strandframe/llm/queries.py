@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_tree, language, lines, mixing, secret_scan, warc
+from . import decontamination, fingerprints, html_tree, jaccard_join, language, lines, mixing, secret_scan, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_line_chunks": lines.op6_line_chunks,
         "op7_minhash_containment": decontamination.op7_minhash_containment,
         "op8_secret_forest": secret_scan.op8_secret_forest,
+        "op9_prefix_join": jaccard_join.op9_prefix_join,
         "op10_language_masks": language.op10_language_masks,
     }
 
