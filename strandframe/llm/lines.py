@@ -51,26 +51,28 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
     if clash := {"n_lines", "n_removed_lines"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"docs already has {sorted(clash)}")
     scratch = Scratch(docs.sparkSession, "lines")
-    own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    w = clear_of(docs.columns, "th", "k2", "t2", "gone", "cs")
+    hashed = docs.withColumn(w["th"], F.xxhash64(text))
+    own = hashed.select(F.col(key).alias("key"), F.col(w["th"]).alias("th"), F.col(text).alias("text"))
+    # What is joined to the texts grows with them, so it is never broadcast; both joins read one exchange if there are no other columns.
+    same = F.col(key).eqNullSafe(F.col(w["k2"])) & F.col(w["th"]).eqNullSafe(F.col(w["t2"]))
     # Which chunk hashes occur twice: shuffles one number per chunk, summed before.
     marks = own.select("key", "th", F.explode(F.transform(F.filter(chunks(F.col("text")), lambda c: c["lines"] > 1), lambda c: F.struct(c["pos"].alias("pos"), F.xxhash64(c["body"]).alias("ch")))).alias("c"))
     marks = scratch.put(marks.select("key", "th", "c.pos", "c.ch"))
     often = marks.groupBy("ch").agg(F.count("*").alias("n")).filter("n > 1").select("ch")
     seen = scratch.put(marks.join(often, "ch").groupBy("key", "th").agg(F.collect_set("pos").alias("at")))
     # The bytes of those chunks, from the documents that hold them.
-    found = own.join(seen.withColumnsRenamed({"key": "k2", "th": "t2"}), F.col("key").eqNullSafe(F.col("k2")) & F.col("th").eqNullSafe(F.col("t2")))
-    bodies = found.select("key", "th", F.explode(F.filter(chunks(F.col("text")), lambda c: F.array_contains("at", c["pos"]))).alias("c"))
-    bodies = scratch.put(bodies.select("key", "th", "c.pos", "c.body", F.xxhash64("c.body").alias("ch")))
+    seen = seen.withColumnsRenamed({"key": w["k2"], "th": w["t2"], "at": w["gone"]}).hint("merge")
+    found = hashed.join(seen, same).select(F.col(key).alias("key"), F.col(w["th"]).alias("th"), F.explode(F.filter(chunks(F.col(text)), lambda c: F.array_contains(w["gone"], c["pos"]))).alias("c"))
+    bodies = scratch.put(found.select("key", "th", "c.pos", "c.body", F.xxhash64("c.body").alias("ch")))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "th", "pos")
     first = bodies.groupBy("ch", "body").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # Equal bytes are asked for again where a chunk is struck out, so a chance equality of hashes removes nothing.
     struck = bodies.join(first.select("ch", F.col("body").alias("same"), "first"), "ch").filter((F.col("body") == F.col("same")) & (order != F.col("first")))
     struck = struck.groupBy("key", "th").agg(F.collect_set("pos").alias("gone"))
-    struck = scratch.put(struck)
-
-    w = clear_of(docs.columns, "th", "k2", "t2", "gone", "cs")
-    struck = struck.withColumnsRenamed({"key": w["k2"], "th": w["t2"], "gone": w["gone"]})
-    joined = docs.withColumn(w["th"], F.xxhash64(text)).join(struck, F.col(key).eqNullSafe(F.col(w["k2"])) & (F.col(w["th"]) == F.col(w["t2"])), "left")
+    struck = scratch.put(struck).withColumnsRenamed({"key": w["k2"], "th": w["t2"], "gone": w["gone"]}).hint("merge")
+    scratch.sweep()
+    joined = hashed.join(struck, same, "left")
     cs = F.when(F.col(w["gone"]).isNotNull(), chunks(F.col(text)))
     kept = F.filter(w["cs"], lambda c: ~F.array_contains(w["gone"], c["pos"]))
     gone = F.aggregate(F.filter(w["cs"], lambda c: F.array_contains(w["gone"], c["pos"])), F.lit(0), lambda a, c: a + c["lines"])
