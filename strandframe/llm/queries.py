@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_tree, jaccard_join, language, lines, mixing, secret_scan, warc
+from . import decontamination, fingerprints, html_tree, jaccard_join, language, lines, mixing, repeats, secret_scan, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_scaled_fingerprints": fingerprints.op2_scaled_fingerprints,
         "op3_warc_normaliser": warc.op3_warc_normaliser,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_repeated_passages": repeats.op5_repeated_passages,
         "op6_line_chunks": lines.op6_line_chunks,
         "op7_minhash_containment": decontamination.op7_minhash_containment,
         "op8_secret_forest": secret_scan.op8_secret_forest,
@@ -22,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_warc_normaliser": warc.OP3_SQL,
+        "op5_repeated_passages": repeats.OP5_SQL,
         "op6_line_chunks": lines.OP6_SQL,
         "op7_minhash_containment": decontamination.OP7_SQL,
     }
