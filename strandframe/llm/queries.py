@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontamination, fingerprints, html_tree, jaccard_join, language, lines, mixing, repeats, secret_scan, warc
 
 
@@ -17,13 +19,16 @@ def queries() -> dict:
         "op8_secret_forest": secret_scan.op8_secret_forest,
         "op9_prefix_join": jaccard_join.op9_prefix_join,
         "op10_language_masks": language.op10_language_masks,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {
+    found = {
         "op3_warc_normaliser": warc.OP3_SQL,
         "op5_repeated_passages": repeats.OP5_SQL,
         "op6_line_chunks": lines.OP6_SQL,
         "op7_minhash_containment": decontamination.OP7_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
     }
+    return {k: v for k, v in found.items() if v}
