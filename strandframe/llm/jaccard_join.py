@@ -5,10 +5,10 @@ similarity is at least t share at least l shingles among the first n - ceil(t *
 l: at least the value at which the cost of a longer prefix meets the gain of fewer candidates, and more where its prefix
 holds frequent shingles; a pair must share as many as the smaller of its two values. The order puts frequent shingles last.
 
-Links are found in two rounds. The first links each class to one hub, the smallest class of the prefix group it shares most
-with; what that joins need not be compared again. The second takes all pairs of a prefix group whose components still
-differ, in blocks, and lets through those that a signature of bucket sums cannot rule out. All links are verified on the
-whole texts.
+A prefix group holds the classes with one prefix shingle. In it, sizes and a signature of bucket sums rule out most pairs; the
+rest are joined into clusters, of which only a spanning forest leaves the task. All links lie inside clusters. A cluster's
+texts are brought together once, in blocks that meet pairwise if it is large; there pairs must share enough prefix shingles
+and are then verified on their whole sets, most promising first, and what is already connected is not compared again.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ HEAVY_FROM, LOCAL_FROM, STRETCH = 32, 3, 1 << 20
 INDEX_COST = 0.25
 MOST_MATCHES = 64
 #: Buckets of a signature, four bits each, and rows of a block of a large prefix group.
-BUCKETS, BLOCK = 128, 1024
+BUCKETS, BLOCK, CLUSTER_BLOCK = 128, 1024, 512
 
 
 def base_matches(n):
@@ -115,28 +115,8 @@ def draw(docs: DataFrame, text: str, key: str, k: int, heavy: np.ndarray, counts
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, c long, sig binary, l int, prefix array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Of pairs of classes (a, b) those whose similarity reaches the threshold, counted on whole texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 256):
-            ok, last, of = [], None, None
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if s != last:
-                    last, of = s, shingle_set(words(s, lower=True)[0], k)
-                other = shingle_set(words(t, lower=True)[0], k)
-                both = len(np.intersect1d(of, other, assume_unique=True))
-                ok.append(DEN * both >= NUM * (len(of) + len(other) - both))
-            at = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
-
-    left = texts.select(F.col("c").alias("a"), F.col("text").alias("s"))
-    right = texts.select(F.col("c").alias("b"), F.col("text").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
-
-
 def _pairs_of_groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs inside groups, a few hundred thousand at a time."""
+    """Row numbers of all pairs inside blocks, a few hundred thousand at a time."""
     for g in np.unique(sizes):
         if g < 2:
             continue
@@ -148,51 +128,116 @@ def _pairs_of_groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np
             yield (s + i).ravel(), (s + j).ravel()
 
 
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, shared): pairs of a block (tok, i, j) that differ in label and that sizes and signatures cannot rule out, counted per run of blocks."""
-
-    def judge(cols: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        tok, i, j = cols["tok"], cols["i"], cols["j"]
-        new = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        sizes = np.diff(np.r_[new, len(tok)])
-        found = []
-        for x, y in _pairs_of_groups(new, sizes):
-            n, m = cols["n"][x], cols["n"][y]
-            keep = (cols["label"][x] != cols["label"][y]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
-            keep &= (i[x] == j[x]) | (cols["blk"][x] != cols["blk"][y])
-            x, y = x[keep], y[keep]
-            if not len(x):
-                continue
-            may = (cols["n"][x] + cols["n"][y]) * (DEN - NUM) // (DEN + NUM)
-            d = cols["sig"][x] ^ cols["sig"][y]
-            differ = np.count_nonzero(d & 0xF0, axis=1) + np.count_nonzero(d & 0x0F, axis=1)
-            keep = differ <= may
-            x, y = x[keep], y[keep]
-            a, b = cols["c"][x], cols["c"][y]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.minimum(cols["l"][x], cols["l"][y])], axis=1))
-        if not found:
-            return None
-        p, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2]), pa.array(n)], ["a", "b", "want", "shared"])
+class Forest:
+    """Union-find over row numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def possible(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of row pairs those that sizes and signatures cannot rule out, with the number of buckets that differ."""
+    n, m = cols["n"][x], cols["n"][y]
+    keep = (cols["c"][x] != cols["c"][y]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
+    keep &= (cols["i"][x] == cols["j"][x]) | (cols["blk"][x] != cols["blk"][y])
+    x, y = x[keep], y[keep]
+    may = (cols["n"][x] + cols["n"][y]) * (DEN - NUM) // (DEN + NUM)
+    d = cols["sig"][x] ^ cols["sig"][y]
+    differ = np.count_nonzero(d & 0xF0, axis=1) + np.count_nonzero(d & 0x0F, axis=1)
+    keep = differ <= may
+    return x[keep], y[keep], differ[keep]
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], names: list[str], others: list[str], rows: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Columns of sorted rows, some thousands at a time, never splitting a block (the first three columns): columns, starts and sizes of blocks."""
+    held = None
+
+    def whole(cols: dict):
+        a, i, j = (cols[x] for x in names[:3])
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        return cols, new, np.diff(np.r_[new, len(a)])
+
+    for b in batches:
+        cols = {x: b.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names}
+        cols["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        cols |= {x: np.array([*b.column(x).to_pylist(), None], object)[:-1] for x in others}
+        held = cols if held is None else {x: np.concatenate([held[x], cols[x]]) for x in cols}
+        if len(held["c"]) >= rows:
+            # The last block may go on in the next batch.
+            cut = whole(held)[1][-1]
+            if cut:
+                yield whole({x: v[:cut] for x, v in held.items()})
+                held = {x: v[cut:] for x, v in held.items()}
+    if held is not None and len(held["c"]):
+        yield whole(held)
+
+
+def similar(rows: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest, per run of prefix groups, of the pairs of classes that cannot be ruled out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["tok", "i", "j", "blk", "c", "n", "l", "label"], None
-        for b in batches:
-            cols = {x: b.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names}
-            cols["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            held = cols if held is None else {x: np.concatenate([held[x], cols[x]]) for x in cols}
-            if len(held["tok"]) < 50_000:
-                continue
-            # The last block may go on in the next batch.
-            last = np.flatnonzero((held["tok"] != held["tok"][-1]) | (held["i"] != held["i"][-1]) | (held["j"] != held["j"][-1]))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut and (out := judge({x: v[:cut] for x, v in held.items()})):
-                yield out
-            held = {x: v[cut:] for x, v in held.items()}
-        if held is not None and len(held["tok"]) and (out := judge(held)):
-            yield out
+        for cols, starts, sizes in in_blocks(batches, ["tok", "i", "j", "blk", "c", "n"], [], 50_000):
+            ids, at = np.unique(cols["c"], return_inverse=True)
+            forest, a, b = Forest(len(ids)), [], []
+            for x, y in _pairs_of_groups(starts, sizes):
+                x, y, _ = possible(cols, x, y)
+                for u, v in np.unique(np.stack([at[x], at[y]], axis=1), axis=0).tolist():
+                    if forest.join(u, v):
+                        a.append(ids[u])
+                        b.append(ids[v])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long, want long, shared long")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def linked(rows: DataFrame, k: int) -> DataFrame:
+    """(a, b): a spanning forest, per block, of the links among the classes of a cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, starts, sizes in in_blocks(batches, ["label", "i", "j", "blk", "c", "n", "l"], ["prefix", "text"], 1024):
+            sets: dict[int, np.ndarray] = {}
+
+            def shingles(r: int) -> np.ndarray:
+                if r not in sets:
+                    sets[r] = shingle_set(words(cols["text"][r], lower=True)[0], k)
+                return sets[r]
+
+            forest, a, b = Forest(len(cols["c"])), [], []
+            for x, y in _pairs_of_groups(starts, sizes):
+                x, y, d = possible(cols, x, y)
+                for u, v in np.stack([x, y], axis=1)[np.argsort(d, kind="stable")].tolist():
+                    if forest.find(u) == forest.find(v):
+                        continue
+                    if len(np.intersect1d(cols["prefix"][u], cols["prefix"][v], assume_unique=True)) < min(cols["l"][u], cols["l"][v]):
+                        continue
+                    s, t = shingles(u), shingles(v)
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if DEN * both >= NUM * (len(s) + len(t) - both):
+                        forest.join(u, v)
+                        a.append(cols["c"][u])
+                        b.append(cols["c"][v])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def paired(rows: DataFrame, by: str, size: str, block: int) -> DataFrame:
+    """Deals the rows of each group to blocks that meet pairwise: adds blk, i and j, sorted and partitioned by group, i and j."""
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    laid = rows.withColumn("blk", F.pmod(F.xxhash64("c", by), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    laid = laid.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).drop("o", size)
+    return laid.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
 def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", k: int = SHINGLE) -> DataFrame:
@@ -213,44 +258,24 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     # Prefix shingles that more than one class has, of classes that have enough of them for any partner.
     rows = classes.select("c", "n", F.explode("prefix").alias("tok"))
     often = rows.groupBy("tok").agg(F.count("*").alias("group")).filter("group > 1")
-    shared = scratch.put(rows.join(often, "tok"))
+    shared = scratch.put(rows.join(often.hint("merge"), "tok"))
     scratch.sweep()
     least = F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.floor(F.sqrt(F.ceil(F.col("n") * NUM / DEN) * ((DEN - NUM) / DEN / INDEX_COST))))).cast("long")
     least = F.least(least, F.ceil(F.ceil(F.col("n") * NUM / DEN) * NUM / DEN))
-    able = shared.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c")
-    kept = scratch.put(shared.join(able, "c").select("tok", "c", "group"))
+    able = scratch.put(shared.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c").join(classes.select("c", "n", "first_id", "sig", "l", "prefix").hint("merge"), "c"))
+    groups = shared.select("tok", "c", "group").join(able.select("c", "n", "sig").hint("merge"), "c")
+    edges = scratch.put(similar(paired(groups, "tok", "group", BLOCK)))
     scratch.drop(shared)
-    wanted = scratch.put(classes.join(kept.select("c").distinct(), "c").select("c", "n", "first_id", "sig", "l"))
-    box = F.struct(F.col("first_id").alias("v"))
-    texts = docs.select(F.struct(F.col(key).alias("v")).alias("k"), F.col(text).alias("text")).join(wanted.select(box.alias("k"), "c", "n"), "k")
+    clusters = components(scratch, edges)
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
+    members = able.join(clusters.withColumnRenamed("node", "c").hint("merge"), "c").join(sizes, "label")
+    texts = docs.select(F.struct(F.col(key).alias("v")).alias("k"), F.col(text).alias("text"))
+    texts = texts.join(members.withColumn("k", F.struct(F.col("first_id").alias("v"))).hint("merge"), "k").select("c", "text", "label", "size", "n", "l", "sig", "prefix")
     # Where a key has several rows, the one of the class is found by hashing again.
-    texts = scratch.put(_of_class(texts.select("c", "text"), k).dropDuplicates(["c"]))
+    links = scratch.put(linked(paired(_of_class(texts, k), "label", "size", CLUSTER_BLOCK), k))
     scratch.sweep()
-
-    # Round one: the hub with which a class shares most.
-    hubs = kept.groupBy("tok").agg(F.min("c").alias("hub"))
-    stars = kept.join(hubs, "tok").filter("c <> hub").groupBy("c", "hub").agg(F.count("*").alias("m"))
-    best = stars.groupBy("c").agg(F.max(F.struct("m", "hub")).alias("best")).select(F.col("c").alias("b"), F.col("best.hub").alias("a"))
-    sizes = wanted.select("c", "n")
-    fits = best.join(sizes.withColumnsRenamed({"c": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"c": "b", "n": "nb"}), "b")
-    fits = fits.filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).select("a", "b")
-    links = scratch.put(verified(scratch.put(fits), texts, k))
     labels = components(scratch, links)
-    scratch.sweep()
-
-    # Round two: all other pairs of a group, large groups cut into blocks that meet pairwise.
-    state = wanted.join(labels, F.col("c") == F.col("node"), "left").select("c", "n", "l", "sig", F.coalesce("label", "c").alias("label"))
-    open_ = kept.join(state.select("c", "label"), "c").groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok")
-    blocks = F.ceil(F.col("group") / BLOCK).cast("int")
-    blk = F.pmod(F.xxhash64("c", "tok"), blocks).cast("int")
-    laid = kept.join(open_, "tok").withColumn("blk", blk).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    laid = laid.join(state, "c").select("tok", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "c", F.col("n"), "l", "label", "sig")
-    dealt = laid.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
-    pairs = block_pairs(dealt).groupBy("a", "b", "want").agg(F.sum("shared").alias("m")).filter("m >= want").select("a", "b")
-    more = scratch.put(verified(scratch.put(pairs), texts, k))
-    every = scratch.put(links.unionByName(more))
-    labels = components(scratch, every)
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
 
     names = classes.select("c", "first_id").join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
     named = names.groupBy("label").agg(F.min("first_id").alias("component_id"))
