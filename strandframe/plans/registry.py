@@ -1,11 +1,39 @@
-"""All queries by name, with their SQL."""
+"""All queries by name, with the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, and its SQL where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = f
+        if oracle:
+            _oracles[name] = oracle
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import call_queries, model_queries, population_queries, position_queries, sequence_queries, source_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_oracles)
