@@ -235,7 +235,7 @@ def phylip_blocks(df: DataFrame, width: int = 60) -> DataFrame:
     n = F.greatest(F.lit(0), F.ceil(F.length("seq") / width) - 1).cast("int")
     cut = df.select("ord", "label", "seq", F.explode(F.sequence(F.lit(0), n)).alias("chunk"))
     part = F.expr(f"substring(seq, chunk * {width} + 1, {width})")
-    return cut.select("chunk", "ord", F.concat(F.when(F.col("chunk") == 0, F.rpad("label", 11, " ")).otherwise(""), part).alias("value"))
+    return cut.select("chunk", "ord", F.concat(F.when(F.col("chunk") == 0, F.rpad("label", F.greatest(F.lit(11), F.length("label") + 1), " ")).otherwise(""), part).alias("value"))
 
 
 def concatenate(parts: list[DataFrame]) -> DataFrame:

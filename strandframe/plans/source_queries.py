@@ -1 +1,187 @@
-"""To come."""
+"""Source and sink queries: what is written to the shared folder is read back and must equal the tables it came from."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import align
+from ..sources import sequences as io
+from ..sources import traces, variants
+from .bridge import view, with_
+from .registry import query
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="strandframe-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("SRC01_fasta", with_("seqs", "SELECT label, seq, '[source=' || source || ']' AS attrs FROM seqs WHERE length(seq) > 0"))
+def _(s, d):
+    v = view(s, d, "seqs").filter(F.length("seq") > 0)
+    io.write_fasta(v.select(F.col("doc_id").alias("ord"), "label", "seq", F.create_map(F.lit("source"), F.col("source")).alias("attr")), path := shared_path(s, "fasta"))
+    return io.read_fasta(s, path).select("label", "seq", F.concat(F.lit("[source="), F.col("attr")["source"], F.lit("]")).alias("attrs"))
+
+
+@query("SRC08_flat", with_("seqs", "SELECT label, seq FROM seqs WHERE length(seq) > 0"))
+def _(s, d):
+    v = view(s, d, "seqs").filter(F.length("seq") > 0)
+    v.select(F.concat_ws("\t", "label", "seq").alias("value")).write.text(path := shared_path(s, "flat"))
+    return io.read_flat(s, path).select("label", "seq")
+
+
+@query("SRC09_fastq", with_("msa", "SELECT label, replace(seq, '-', 'N') AS seq, repeat('I', length(seq)) AS qual FROM msa"))
+def _(s, d):
+    v = view(s, d, "msa").withColumn("seq", F.translate("seq", "-", "N"))
+    text = F.concat(F.lit("@"), "label", F.lit(" x\n"), F.substring("seq", 1, 30), F.lit("\n"), F.expr("substring(seq, 31)"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    v.select(text.alias("value")).write.text(path := shared_path(s, "fastq"))
+    return io.read_fastq(s, path).select("label", "seq", "qual")
+
+
+@query("SRC10_phylip", with_("aligned", "SELECT label, seq FROM aligned"))
+def _(s, d):
+    io.write_phylip(view(s, d, "aligned").withColumn("label", F.concat(F.lit("S"), F.col("ord"))), path := shared_path(s, "phylip"))
+    got = io.read_phylip(s, path).select(F.expr("substring(label, 2)").cast("long").alias("n"), "seq")
+    return got.join(view(s, d, "aligned").select(F.col("ord").alias("n"), "label"), "n").select("label", "seq")
+
+
+def _vcf(s, d) -> str:
+    """The calls of the samples with the smallest and largest numbers in each position as VCF text; a cell without reads is ./."""
+    c = view(s, d, "calls").join(view(s, d, "variants"), "pos")
+    names = sorted(r[0] for r in view(s, d, "samples").select("sample_id").collect())
+    cell = F.concat(F.when(F.col("ad0") + F.col("ad1") < 1, "./.").when(F.col("ad1") == 0, "0/0").when(F.col("ad0") == 0, "1/1").otherwise("0|1"), F.lit(":"), F.concat_ws(",", "ad0", "ad1", "ad2"), F.lit(":"), (F.col("ad0") + F.col("ad1") + F.col("ad2")).cast("string"))
+    got = c.groupBy("chrom", "pos", "ref", "alt1", "alt2").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", cell))).alias("m"))
+    cells = F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.try_element_at("m", n), F.lit("./.:.:.")))
+    line = F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", F.concat_ws(",", "alt1", "alt2"), F.lit("."), F.lit("PASS"), F.lit("AC=1;DB"), F.lit("GT:AD:DP"), F.array_join(cells, "\t"))
+    head = s.createDataFrame([("##fileformat=VCFv4.2",), ("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *map(str, names)]),)], "value string").coalesce(1)
+    head.write.text(path := shared_path(s, "vcf"))
+    got.select(line.alias("value")).write.mode("append").text(path)
+    return path
+
+
+@query("SRC18_vcf_variants", with_("variants", "SELECT chrom, pos, ref, alt1 || ',' || alt2 AS alts, '1' AS ac FROM variants"))
+def _(s, d):
+    v, _ = variants.read_vcf(s, _vcf(s, d))
+    return v.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.col("info")["AC"].alias("ac"))
+
+
+@query("SRC20_vcf_calls", with_("calls", "SELECT CAST(sample_id AS VARCHAR) AS sample, pos, ad0, ad1, ad2, CAST(ad0 + ad1 + ad2 AS INT) AS dp, CAST(CASE WHEN ad0 + ad1 < 1 THEN -1 WHEN ad0 = 0 THEN 1 ELSE 0 END AS INT) AS first_gt, ad0 > 0 AND ad1 > 0 AS phased FROM calls"))
+def _(s, d):
+    _, c = variants.read_vcf(s, _vcf(s, d))
+    return c.filter("dp IS NOT NULL").select("sample", "pos", *[F.get("ad", i).alias(f"ad{i}") for i in range(3)], "dp", F.get("gt", 0).alias("first_gt"), "phased")
+
+
+@query("SRC19_dataset", with_("calls variants", "SELECT sample_id, pos, chrom, ad0 FROM calls JOIN variants USING (pos)"))
+def _(s, d):
+    df = view(s, d, "calls").join(view(s, d, "variants").select("pos", "chrom"), "pos").select("sample_id", "pos", "chrom", "ad0")
+    variants.save_dataset(df, path := shared_path(s, "dataset"))
+    return variants.load_dataset(s, path).select("sample_id", "pos", "chrom", "ad0")
+
+
+@query("SRC21_positions", with_("pos_a", "SELECT chrom, pos, CAST(1 AS BIGINT) AS length, pos - 1 AS start FROM pos_a"))
+def _(s, d):
+    view(s, d, "pos_a").select(F.concat_ws("\t", "chrom", "pos").alias("value")).write.text(path := shared_path(s, "points"))
+    return variants.read_positions(s, path).select("chrom", "pos", "length", "start")
+
+
+@query("SRC21_bed", with_("pos_a", "SELECT chrom, pos - 1 AS start, pos + pos % 2 AS \"end\", CASE WHEN pos % 2 = 0 THEN pos END AS pos FROM pos_a"))
+def _(s, d):
+    v = view(s, d, "pos_a")
+    v.select(F.concat_ws("\t", "chrom", F.col("pos") - 1, F.col("pos") + F.col("pos") % 2).alias("value")).write.text(path := shared_path(s, "ranges") + ".bed")
+    return variants.read_positions(s, path).select("chrom", "start", "end", "pos")
+
+
+@query("SRC23_tables", "SELECT s_suppkey, s_name FROM supplier")
+def _(s, d):
+    t = s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name")
+    variants.write_table(t, path := shared_path(s, "table") + ".tsv")
+    return variants.read_table(s, path).select(F.col("s_suppkey").cast("long"), "s_name")
+
+
+@query("SRC24_mapped_lines", "SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_nationkey <> 3")
+def _(s, d):
+    t = s.read.parquet(f"{d}/supplier.parquet")
+    t.select(F.concat_ws(";", F.when(F.col("s_nationkey") == 3, "#").otherwise(""), "s_suppkey", "s_name").alias("value")).write.text(path := shared_path(s, "lines"))
+    return variants.read_mapped(s, path, lambda x: F.expr("substring(value, 2)"), keep=lambda x: ~x.startswith("#"), schema="k long, name string", sep=";")
+
+
+@query("SRC26_matrix", with_("geno", "SELECT pos, CAST(sample_id AS VARCHAR) AS sample, nalt AS value FROM geno"))
+def _(s, d):
+    g = view(s, d, "geno")
+    ids = sorted(r[0] for r in view(s, d, "samples").select("sample_id").collect())
+    wide = g.groupBy("pos").pivot("sample_id", ids).agg(F.first("nalt"))
+    return variants.unpivot_matrix(wide, "pos", value="value").filter("value IS NOT NULL").select("pos", "sample", "value")
+
+
+@query("SRC29_groups", with_("samples", "SELECT CAST(sample_id AS VARCHAR) AS sample, pop AS grp FROM samples"))
+def _(s, d):
+    view(s, d, "samples").select("sample_id", "country", "pop").write.csv(path := shared_path(s, "meta") + ".csv", header=True)
+    return variants.read_groups(s, path, sample="sample_id", group=3)
+
+
+@query("SRC13_trace_round_trip", with_("quals", "SELECT user_id, count(*) AS n, CAST(sum(q) AS BIGINT) AS total FROM quals GROUP BY user_id"))
+def _(s, d):
+    v = view(s, d, "quals").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "q"))), lambda x: x["q"]).alias("quals"))
+
+    @F.udf("array<int>")
+    def coded(q):
+        n = len(q)
+        raw = traces.encode_scf("ACGT" * (n // 4) + "ACGT"[: n % 4], q, list(range(n)), [[(i * k) % 997 for i in range(n)] for k in (3, 5, 7, 11)], {"NAME": "x"})
+        return traces.decode(raw)["quals"]
+
+    r = v.select("user_id", coded("quals").alias("q"))
+    return r.select("user_id", F.size("q").cast("long").alias("n"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+_WINDOW = """WITH q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ord) - 1 AS i, q FROM quals), n AS (SELECT user_id, count(*) AS n FROM q GROUP BY user_id),
+  w AS (SELECT user_id, i, min(q) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS m FROM q), g AS (SELECT user_id, i FROM w WHERE m > 30)
+  SELECT user_id, CAST(min(i) FILTER (WHERE i <= n - 3) AS INT) AS start, CAST(max(i) FILTER (WHERE i >= 1 AND i <= n - 2) + 2 AS INT) AS stop FROM g JOIN n USING (user_id) GROUP BY user_id HAVING start IS NOT NULL AND stop IS NOT NULL"""
+
+
+@query("WIN06_trim_bounds", with_("quals", _WINDOW))
+def _(s, d):
+    v = view(s, d, "quals").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "q"))), lambda x: x["q"]).alias("quals"))
+    return v.select("user_id", traces.trim_bounds(F.col("quals"), winsize=2, threshold=30).alias("b")).filter("b IS NOT NULL").select("user_id", "b.start", "b.stop")
+
+
+def _pairs(s, d):
+    v = view(s, d, "aligned").select("ord", F.translate(F.replace("seq", F.lit("-"), F.lit("")), "NR", "AG").alias("x"))
+    return v.withColumn("y", F.concat(F.substring("x", 5, 20), F.substring("x", 28, 30)))
+
+
+@query("ALN01_global")
+def _(s, d):
+    return align.align_columns(_pairs(s, d), "x", "y", method="global").select("ord", "score", "aligned_x", "aligned_y")
+
+
+@query("ALN02_moves")
+def _(s, d):
+    from ..operators.sequence import run_code
+
+    return align.align_columns(_pairs(s, d), "x", "y", method="glocal").select("ord", "score", run_code(F.col("moves")).alias("code"))
+
+
+@query("ALN03_score_alignment", with_("aligned", """WITH l AS (SELECT ord, i, substr(seq, i, 1) AS a, substr(reverse(seq), i, 1) AS b FROM (SELECT ord, seq, unnest(range(1, length(seq) + 1)) AS i FROM aligned)), g AS (SELECT *, a = '-' OR b = '-' AS g FROM l)
+  SELECT ord, CAST(sum(CASE WHEN g THEN -7 WHEN a = b THEN 5 ELSE -4 END) AS DOUBLE) AS score FROM g GROUP BY ord"""))
+def _(s, d):
+    return view(s, d, "aligned").select("ord", align.score_alignment(F.col("seq"), F.reverse("seq")).alias("score"))
+
+
+@query("ALN04_align_pairs")
+def _(s, d):
+    return align.align_columns(_pairs(s, d), "x", "y").select("ord", "score", "aligned_x", "aligned_y")
+
+
+@query("ALN08_recircularise")
+def _(s, d):
+    v = view(s, d, "aligned").select("label", F.lit("ACGTTGCATTGACCAGTTACGGATCCATGCAACTTGGACCTTAGCAATCGGA").alias("r"), (F.col("ord") % 17 + 3).cast("int").alias("k"))
+    turned = v.select("label", F.concat(F.expr("substring(r, k + 1)"), F.expr("substring(r, 1, k)")).alias("seq"))
+    return align.recircularise_all(turned, "ACGTTGCATTGACCAGTTACGGATCCATGC")

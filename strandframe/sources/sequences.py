@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.sequence import build_attributes, fasta_records, parse_definition, phylip_blocks
 
@@ -84,8 +85,8 @@ def fastq_entries(text: str) -> Iterator[tuple[str, str, str | None]]:
 
 def per_file(spark: SparkSession, paths: str | list[str], parse: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows of whole text files, each parsed in one task: (file, ord, ...)."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

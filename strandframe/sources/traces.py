@@ -106,7 +106,7 @@ def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_phd(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, bases, quals, basecalls) of the BEGIN_DNA part of PHD files."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)BEGIN_DNA\s*\n(.*?)END_DNA", 1).alias("dna"))
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)BEGIN_DNA\s*\n(.*?)END_DNA", 1).alias("dna"))
     rows = F.transform(F.filter(F.split("dna", r"\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: F.split(F.trim(x), r"\s+"))
     each = whole.withColumn("r", rows)
     return each.select("file", F.array_join(F.transform("r", lambda x: x[0]), "").alias("bases"), F.transform("r", lambda x: x[1].cast("int")).alias("quals"), F.transform("r", lambda x: F.get(x, 2).try_cast("int")).alias("basecalls"))
