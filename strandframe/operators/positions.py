@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import in_ranges, numbered
+
 KEY = ["chrom", "pos"]
 
 
@@ -57,12 +59,22 @@ def to_pos(df: DataFrame) -> DataFrame:
     return df.select("chrom", one.alias("pos"))
 
 
-def runs(df: DataFrame, value: Column, order: str, *, by: list[str] | None = None) -> DataFrame:
-    """Adds run: the number of changes of value so far (null is a value), in order, within groups of by."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
-    new = F.when(F.row_number().over(w) == 1, 0).otherwise((~value.eqNullSafe(F.lag(value).over(w))).cast("int"))
-    flagged = df.withColumn("__new", new)
-    return flagged.withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def runs(df: DataFrame, value: Column, order: str) -> DataFrame:
+    """Adds run: the number of changes of value so far (null is a value) in the order of a numeric column of distinct values.
+
+    Windows run inside ranges of the order; one row per range carries the last value and the number of changes on to the next.
+    """
+    inside, ahead = Window.partitionBy("__part").orderBy(order), Window.partitionBy().orderBy("__part")
+    ranged = in_ranges(df.withColumn("__v", F.struct(value.alias("x"))), order)
+    ends = ranged.groupBy("__part").agg(F.max_by("__v", order).alias("__end"))
+    ends = ends.select("__part", F.lag("__end").over(ahead).alias("__prev"))
+    last = F.coalesce(F.lag("__v").over(inside), F.col("__prev"))
+    flagged = ranged.join(ends, "__part").withColumn("__new", F.when(last.isNull() | (last == F.col("__v")), 0).otherwise(1))
+    flagged = flagged.withColumn("__sum", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = flagged.groupBy("__part").agg(F.sum("__new").alias("__m"))
+    sums = sums.select("__part", F.coalesce(F.sum("__m").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = flagged.join(sums, "__part").withColumn("run", F.col("__sum") + F.col("__before"))
+    return out.drop("__part", "__v", "__prev", "__new", "__sum", "__before")
 
 
 def mhap_codes(df: DataFrame) -> DataFrame:
@@ -78,8 +90,7 @@ def mhap_codes(df: DataFrame) -> DataFrame:
 
 def gene_runs(df: DataFrame, *, gene: str = "gene", order: str = "pos", skip_null: bool = False, longer_than: int = -1) -> DataFrame:
     """(gene, first, last, n) of runs of one gene. A null gene closes a run, or is passed over with skip_null; last - first must exceed longer_than, in row numbers."""
-    w = Window.partitionBy().orderBy(order)
-    indexed = df.withColumn("idx", F.row_number().over(w) - 1)
+    indexed = numbered(df, order, "idx")
     base = indexed.filter(F.col(gene).isNotNull()) if skip_null else indexed
     got = runs(base, F.col(gene), order).filter(F.col(gene).isNotNull()).groupBy("run", gene)
     out = got.agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"))
@@ -128,6 +139,4 @@ def unmatched(samples: DataFrame, meta: DataFrame, on: str) -> DataFrame:
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """Row i of a beside row i of b, in the order of distinct columns."""
-    from .sequence import numbered
-
     return numbered(a, order_a, "row").join(numbered(b, order_b, "row"), "row")

@@ -164,12 +164,16 @@ def relabel(df: DataFrame, *, prefix: str = "") -> DataFrame:
     return dealt.withColumn("new_label", F.format_string(prefix + "%04d", "number"))
 
 
-def numbered(df: DataFrame, by: str, name: str = "number") -> DataFrame:
-    """Adds row numbers from 1 in the order of a column of distinct values, over ranges of it."""
+def in_ranges(df: DataFrame, by: str, rows: int = 4096) -> DataFrame:
+    """Adds __part: the range of a numeric column that a row falls in, ranges being as many as give about `rows` rows each."""
     lo = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.count("*").alias("n")).first()
-    width = max(1, ((lo["hi"] or 0) - (lo["lo"] or 0) + 1) // max(1, (lo["n"] or 1) // 4096 + 1) + 1)
-    part = F.floor((F.col(by) - F.lit(lo["lo"] or 0)) / width)
-    ranged = df.withColumn("__part", part)
+    width = max(1, ((lo["hi"] or 0) - (lo["lo"] or 0)) // max(1, (lo["n"] or 1) // rows) + 1)
+    return df.withColumn("__part", F.floor((F.col(by) - F.lit(lo["lo"] or 0)) / width))
+
+
+def numbered(df: DataFrame, by: str, name: str = "number") -> DataFrame:
+    """Adds row numbers from 1 in the order of a numeric column of distinct values, over ranges of it."""
+    ranged = in_ranges(df, by)
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__m"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(by))

@@ -104,3 +104,17 @@ def test_trimming_and_editing(spark):
     t = {"bases": "AC", "quals": [5, 6], "basecalls": [10, 20]}
     assert traces.insert_base(t, 1, "G") == {"bases": "AGC", "quals": [5, 0, 6], "basecalls": [10, 15, 20]} and traces.modify_base(t, 0, "T")["bases"] == "TC"
     assert traces.basecall_index([10, 20, 30], 24) == 1 and traces.search("ACGACG", "CG") == [(1, 3), (4, 6)]
+
+
+def test_runs_over_many_ranges_equal_a_plain_pass(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vals = [None if x == 3 else int(x) for x in np.repeat(rng.integers(0, 4, 80), rng.integers(1, 5, 80))]
+    keys = np.cumsum(rng.integers(1, 9, len(vals))).tolist()
+    small = positions.in_ranges
+    monkeypatch.setattr(positions, "in_ranges", lambda df, by: small(df, by, rows=7))
+    df = spark.createDataFrame(list(zip(keys, vals, strict=True)), "pos long, v int").repartition(3)
+    got = [r["run"] for r in positions.runs(df, F.col("v"), "pos").orderBy("pos").collect()]
+    want = [0]
+    for a, b in zip(vals, vals[1:], strict=False):
+        want.append(want[-1] + (a != b))
+    assert got == want
