@@ -36,6 +36,8 @@ INDEX_COST = 0.25
 MOST_MATCHES = 64
 #: Buckets of a signature, four bits each, and rows of a block of a large prefix group.
 BUCKETS, BLOCK, CLUSTER_BLOCK = 128, 1024, 512
+#: Sets larger than this carry a wide signature too.
+WIDE_FROM = 1000
 
 
 def base_matches(n):
@@ -73,13 +75,25 @@ def class_id(s: np.ndarray) -> int:
     return int(mixed(sums[:1] ^ mixed(sums[1:] + U(len(s)))).view(np.int64)[0])
 
 
-def signature(s: np.ndarray) -> bytes:
+def signature(s: np.ndarray, buckets: int = BUCKETS) -> bytes:
     """Sums, modulo 16, of the shingles that fall into each bucket: sets that differ in d shingles differ in d buckets at most."""
     x = mixed(s ^ U(0x5555))
-    sums = np.bincount((x % U(BUCKETS)).astype(np.int64), weights=((x >> U(32)) % U(15) + U(1)).astype(float), minlength=BUCKETS).astype(np.int64) % 16
+    sums = np.bincount((x % U(buckets)).astype(np.int64), weights=((x >> U(32)) % U(15) + U(1)).astype(float), minlength=buckets).astype(np.int64) % 16
     return (sums[::2] * 16 + sums[1::2]).astype(np.uint8).tobytes()
 
 
+def wide_signature(s: np.ndarray) -> bytes | None:
+    """For large sets, which differ in every bucket of the small signature, one with a bucket to four shingles or fewer."""
+    return signature(s, 1 << (len(s) // 4 - 1).bit_length()) if len(s) > WIDE_FROM else None
+
+
+def unpacked(sig: bytes, buckets: int | None = None) -> np.ndarray:
+    """The bucket sums, folded to fewer buckets on demand (numbers of buckets are powers of two)."""
+    raw = np.frombuffer(sig, np.uint8)
+    out = np.stack([raw >> 4, raw & 15], axis=1).ravel()
+    return out if buckets is None else out.reshape(-1, buckets).sum(axis=0) & 15
+
+
 def prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
     """How many matches the set asks for, and its prefix for that many."""
     n = len(s)
@@ -95,24 +109,25 @@ def prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple[int, n
 
 
 def draw(docs: DataFrame, text: str, key: str, k: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(id, n, c, sig, l, prefix) per row: set size, class and what the join needs of it."""
+    """(id, n, c, sig, wide, l, prefix) per row: set size, class and what the join needs of it."""
     known = docs.sparkSession.sparkContext.broadcast((heavy, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            n, c, sig, l, p = [], [], [], [], []
+            n, c, sig, wide, l, p = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(words(t, lower=True)[0], k)
                 want, first = prefix(s, *known.value) if len(s) else (0, s)
                 n.append(len(s))
                 c.append(class_id(s) if len(s) else None)
                 sig.append(signature(s))
+                wide.append(wide_signature(s))
                 l.append(want)
                 p.append(signed(first))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), pa.array(l, pa.int32()), list_array(p, pa.int64())], ["id", "n", "c", "sig", "l", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(l, pa.int32()), list_array(p, pa.int64())], ["id", "n", "c", "sig", "wide", "l", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, c long, sig binary, l int, prefix array<long>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, c long, sig binary, wide binary, l int, prefix array<long>")
 
 
 def _pairs_of_groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,7 +171,16 @@ def possible(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple
     d = cols["sig"][x] ^ cols["sig"][y]
     differ = np.count_nonzero(d & 0xF0, axis=1) + np.count_nonzero(d & 0x0F, axis=1)
     keep = differ <= may
-    return x[keep], y[keep], differ[keep]
+    x, y, differ, may = x[keep], y[keep], differ[keep], may[keep]
+    large = np.flatnonzero((cols["n"][x] > WIDE_FROM) & (cols["n"][y] > WIDE_FROM))
+    if len(large):
+        keep = np.ones(len(x), bool)
+        for k in large.tolist():
+            a, b = cols["wide"][x[k]], cols["wide"][y[k]]
+            buckets = 2 * min(len(a), len(b))
+            keep[k] = np.count_nonzero(unpacked(a, buckets) != unpacked(b, buckets)) <= may[k]
+        x, y, differ = x[keep], y[keep], differ[keep]
+    return x, y, differ
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], names: list[str], others: list[str], rows: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
@@ -187,7 +211,7 @@ def similar(rows: DataFrame) -> DataFrame:
     """(a, b): a spanning forest, per run of prefix groups, of the pairs of classes that cannot be ruled out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, starts, sizes in in_blocks(batches, ["tok", "i", "j", "blk", "c", "n"], [], 50_000):
+        for cols, starts, sizes in in_blocks(batches, ["tok", "i", "j", "blk", "c", "n"], ["wide"], 20_000):
             ids, at = np.unique(cols["c"], return_inverse=True)
             forest, a, b = Forest(len(ids)), [], []
             for x, y in _pairs_of_groups(starts, sizes):
@@ -205,7 +229,7 @@ def linked(rows: DataFrame, k: int) -> DataFrame:
     """(a, b): a spanning forest, per block, of the links among the classes of a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, starts, sizes in in_blocks(batches, ["label", "i", "j", "blk", "c", "n", "l"], ["prefix", "text"], 1024):
+        for cols, starts, sizes in in_blocks(batches, ["label", "i", "j", "blk", "c", "n", "l"], ["wide", "prefix", "text"], 1024):
             sets: dict[int, np.ndarray] = {}
 
             def shingles(r: int) -> np.ndarray:
@@ -253,7 +277,7 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     heavy = known["h"].to_numpy(np.int64).view(U)
     by = np.argsort(heavy)
     drawn = scratch.put(draw(docs, text, key, k, heavy[by], known["n"].to_numpy(np.int64)[by]))
-    classes = drawn.filter("n > 0").groupBy("c", "n").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
+    classes = drawn.filter("n > 0").groupBy("c", "n").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
 
     # Prefix shingles that more than one class has, of classes that have enough of them for any partner.
     rows = classes.select("c", "n", F.explode("prefix").alias("tok"))
@@ -262,15 +286,15 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     scratch.sweep()
     least = F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.floor(F.sqrt(F.ceil(F.col("n") * NUM / DEN) * ((DEN - NUM) / DEN / INDEX_COST))))).cast("long")
     least = F.least(least, F.ceil(F.ceil(F.col("n") * NUM / DEN) * NUM / DEN))
-    able = scratch.put(shared.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c").join(classes.select("c", "n", "first_id", "sig", "l", "prefix").hint("merge"), "c"))
-    groups = shared.select("tok", "c", "group").join(able.select("c", "n", "sig").hint("merge"), "c")
+    able = scratch.put(shared.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c").join(classes.select("c", "n", "first_id", "sig", "wide", "l", "prefix").hint("merge"), "c"))
+    groups = shared.select("tok", "c", "group").join(able.select("c", "n", "sig", "wide").hint("merge"), "c")
     edges = scratch.put(similar(paired(groups, "tok", "group", BLOCK)))
     scratch.drop(shared)
     clusters = components(scratch, edges)
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
     members = able.join(clusters.withColumnRenamed("node", "c").hint("merge"), "c").join(sizes, "label")
     texts = docs.select(F.struct(F.col(key).alias("v")).alias("k"), F.col(text).alias("text"))
-    texts = texts.join(members.withColumn("k", F.struct(F.col("first_id").alias("v"))).hint("merge"), "k").select("c", "text", "label", "size", "n", "l", "sig", "prefix")
+    texts = texts.join(members.withColumn("k", F.struct(F.col("first_id").alias("v"))).hint("merge"), "k").select("c", "text", "label", "size", "n", "l", "sig", "wide", "prefix")
     # Where a key has several rows, the one of the class is found by hashing again.
     links = scratch.put(linked(paired(_of_class(texts, k), "label", "size", CLUSTER_BLOCK), k))
     scratch.sweep()
