@@ -72,3 +72,8 @@ def clear_of(columns: list[str], *names: str) -> dict[str, str]:
         taken.add(new.lower())
         out[name] = new
     return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The frame less the columns that an operator is about to add: those of the input are replaced."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])

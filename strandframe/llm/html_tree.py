@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import table, without
 from .tokens import small
 
 BOILER, CONTENT, MIXED = range(3)
@@ -366,9 +366,8 @@ def labelled_pages(n: int = 1500, seed: int = 7) -> list[tuple[str, set[str]]]:
 
 
 def extract(pages: DataFrame, model: TreeModel, *, html: str = "html", to: str = "text") -> DataFrame:
-    """Adds the main text and n_chars, its code points. A null or empty page gives '' and 0. Rows are taken one by one; other columns pass through."""
-    if clash := {to, "n_chars"} & {c.lower() for c in pages.columns}:
-        raise ValueError(f"pages already has {sorted(clash)}")
+    """Adds the main text and n_chars, its code points. A null or empty page gives '' and 0. Rows are taken one by one; other columns pass through, columns of the added names are replaced."""
+    pages = without(pages, to, "n_chars")
     shared = pages.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*pages.schema.fields, StructField(to, StringType()), StructField("n_chars", LongType())])
     at = pages.columns.index(html)

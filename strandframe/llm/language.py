@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import clear_of, table, without
 from .tokens import U, mixed, small
 
 #: Bytes of an n-gram; runs of anything but letters count as one blank, and a text starts and ends with one.
@@ -150,10 +150,11 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
 def identify(docs: DataFrame, model: LanguageFilters, *, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1) from the text alone: 'und' with 0 for a null text or one without a letter.
 
-    Works row by row on whole texts; rows that repeat come out alike, ties go to the language first in code point order.
+    Works row by row on whole texts; rows that repeat come out alike, ties go to the language first in code point order. Other columns pass
+    through; columns of the added names are replaced.
     """
-    if clash := {"lang_pred", "score"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has {sorted(clash)}")
+    docs = without(docs, "lang_pred", "score")
+    p = clear_of(docs.columns, "p")["p"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -161,7 +162,7 @@ def identify(docs: DataFrame, model: LanguageFilters, *, text: str = "text") ->
         for s in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in s], columns=["lang_pred", "score"])
 
-    return docs.withColumn("__p", predict(F.col(text))).select(*docs.columns, "__p.lang_pred", "__p.score")
+    return docs.withColumn(p, predict(F.col(text))).select(*docs.columns, f"{p}.lang_pred", f"{p}.score")
 
 
 def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, clear_of, table
+from .common import Scratch, clear_of, table, without
 
 #: Lines whose hashes roll into one boundary hash, and the hexadecimal digits at the start of that hash that end a chunk.
 ROLL = 2
@@ -45,11 +45,10 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 
     A document of which nothing is left has the text ''. A null text stays null, with 0 lines. Rows alike in key and text
     are the same occurrence and come out alike, whole unless an earlier document holds their chunks; a null key comes last
-    in the order of occurrences. Empty tables give empty ones; other columns pass through, whatever their names, but docs
-    may not have the two added columns.
+    in the order of occurrences. Empty tables give empty ones; other columns pass through, whatever their names, but
+    columns of the two added names are replaced.
     """
-    if clash := {"n_lines", "n_removed_lines"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has {sorted(clash)}")
+    docs = without(docs, "n_lines", "n_removed_lines")
     scratch = Scratch(docs.sparkSession, "lines")
     w = clear_of(docs.columns, "th", "k2", "t2", "gone", "cs")
     hashed = docs.withColumn(w["th"], F.xxhash64(text))

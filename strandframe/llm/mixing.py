@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, clear_of, n_words, table
+from .common import Scratch, clear_of, n_words, table, without
 
 #: Parts into which equal-sized documents of a source are dealt, so that none of them has to be ranked in one task.
 SALTS = 64
@@ -82,12 +82,11 @@ def mix(
     """Adds size, source_size, target, copies and taken (= copies * size) to every row of docs.
 
     A null text has size 0; documents of size 0 keep one copy. A null source is a source of its own, after all others. Rows
-    that repeat are documents of their own. An empty table gives an empty one. Extra columns pass through, but docs may not
-    have columns of the added names. The outcome depends on the rows alone, not on their order or partitioning.
+    that repeat are documents of their own. An empty table gives an empty one. Extra columns pass through; columns of the
+    added names are replaced. The outcome depends on the rows alone, not on their order or partitioning.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
-    if clash := {"size", "source_size", "target", "copies", "taken"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has {sorted(clash)}")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    docs = without(docs, "size", "source_size", "target", "copies", "taken")
     w = clear_of(docs.columns, "skey", "order", "salt", "rank")
     sized = docs.withColumns({
         "size": n_words(F.col(text)),

@@ -181,8 +181,9 @@ def test_mix_meets_its_targets_and_repeats(spark):
 
 
 def test_mix_of_odd_rows(spark, odd):
-    docs = odd.drop("base")
-    assert mixing.mix(docs).count() == odd.count() and mixing.mix(docs.limit(0)).count() == 0
+    docs = odd.withColumns({"Size": F.lit("?"), "target": F.lit(None).cast("int")})
+    got = mixing.mix(docs)
+    assert got.columns == [*odd.columns, "size", "source_size", "target", "copies", "taken"] and got.count() == odd.count() and mixing.mix(docs.limit(0)).count() == 0
     only = mixing.mix(frame(spark, [None, ""])).collect()
     assert [(r["size"], r["taken"], r["target"]) for r in only] == [(0, 0, 0.0)] * 2
 
@@ -239,7 +240,7 @@ def test_line_chunks_join_to_the_text_and_repeats_go(spark, odd):
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
     assert got[0]["text"] == texts[0] and got[0]["n_removed_lines"] == 0 and got[3]["text"] == "single" and got[4]["text"] is None and got[5]["text"] == texts[5]
     assert got[1]["n_removed_lines"] > 10 and got[2]["n_removed_lines"] > 10 and got[1]["text"].startswith(texts[1].split("\n")[0])
-    out = lines.dedup_lines(odd)
+    out = lines.dedup_lines(odd.withColumn("N_lines", F.lit("?")))
     assert out.columns == [*odd.columns, "n_lines", "n_removed_lines"] and out.count() == odd.count() and lines.dedup_lines(odd.limit(0)).count() == 0
 
 
@@ -366,7 +367,7 @@ def test_languages_are_told_apart(spark, odd):
     import zlib
 
     assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
-    out = {r["text"]: r["lang_pred"] for r in language.identify(odd, model).collect()}
+    out = {r["text"]: r["lang_pred"] for r in language.identify(odd.withColumn("score", F.lit("?")).withColumn("__p", F.lit(1)), model).collect()}
     assert out[None] == out[""] == out[" \n\t "] == "und"
     empty = language.learn(docs.limit(0))
     assert language.identify(docs.limit(3), empty).first()["lang_pred"] == "und" and language.identify(odd.limit(0), model).count() == 0
