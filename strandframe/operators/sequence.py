@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,16 @@ def literal_map(pairs: dict[str, str]) -> Column:
 
 def translate(seq: Column, *, start: int = 1, cds: bool = True, table: str = "compat", include_last: bool = False) -> Column:
     """Protein of a reading frame; unknown codons give X. The last complete codon is left out unless include_last; cds stops at *."""
-    # Codons come from one pass of a pattern: reading them by place would start at the front each time.
-    frame = F.substring(seq, F.lit(start), F.length(seq))
-    found = F.regexp_extract_all(F.upper(frame), F.lit("(.{3})"), 1)
+    # Symbols become digits and codons numbers of a base, which index an array; other symbols share the last digit.
+    symbols = "TCAGRYKMSWBDHVN-"
+    digits, base = "0123456789abcdefg", len(symbols) + 1
+    known = codons(table)
+    amino = "".join(known.get("".join(c), "X") for c in product(symbols + "?", repeat=3))
+    frame = F.regexp_replace(F.upper(F.substring(seq, F.lit(start), F.length(seq))), f"[^{symbols}]", "?")
+    found = F.regexp_extract_all(F.translate(frame, symbols + "?", digits), F.lit("(.{3})"), 1)
     whole = F.size(found) if include_last else F.size(found) - F.when(F.length(frame) % 3 == 0, 1).otherwise(0)
-    codes = literal_map(codons(table))
-    protein = F.array_join(F.transform(F.slice(found, 1, F.greatest(whole, F.lit(0))), lambda c: F.coalesce(F.try_element_at(codes, c), F.lit("X"))), "")
+    codes = F.split(F.lit(amino), "")
+    protein = F.array_join(F.transform(F.slice(found, 1, F.greatest(whole, F.lit(0))), lambda c: F.get(codes, F.conv(c, base, 10).cast("int"))), "")
     return F.substring_index(protein, "*", 1) if cds else protein
 
 
@@ -56,9 +62,14 @@ def restriction_sites(seq: Column, pattern: str, *, max_unmatches: int = 0, incl
 
 def gaps(seq: Column) -> Column:
     """array<struct<start, extent>> of the runs of gaps."""
-    parts = F.regexp_extract_all(seq, F.lit("(-+|[^-]+)"), 1)
-    ends = F.transform(parts, lambda p, i: F.struct(F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x)).alias("start"), F.length(p).alias("extent"), p.alias("p")))
-    return F.transform(F.filter(ends, lambda x: x["p"].startswith("-")), lambda x: F.struct(x["start"].alias("start"), x["extent"].alias("extent")))
+
+    def of(letters: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(letters) - 1)
+        gap = lambda i: F.coalesce(F.get(letters, i) == "-", F.lit(False))
+        starts, ends = F.filter(at, lambda i: gap(i) & ~gap(i - 1)), F.filter(at, lambda i: gap(i) & ~gap(i + 1))
+        return F.zip_with(starts, ends, lambda x, y: F.struct(x.alias("start"), (y - x + 1).alias("extent")))
+
+    return F.get(F.transform(F.array(F.split(seq, "")), of), 0)
 
 
 def relative_position(seq: Column, pos: int | Column) -> Column:

@@ -58,8 +58,11 @@ def _vcf(s, d) -> str:
     c = view(s, d, "calls").join(view(s, d, "variants"), "pos")
     names = sorted(r[0] for r in view(s, d, "samples").select("sample_id").collect())
     cell = F.concat(F.when(F.col("ad0") + F.col("ad1") < 1, "./.").when(F.col("ad1") == 0, "0/0").when(F.col("ad0") == 0, "1/1").otherwise("0|1"), F.lit(":"), F.concat_ws(",", "ad0", "ad1", "ad2"), F.lit(":"), (F.col("ad0") + F.col("ad1") + F.col("ad2")).cast("string"))
-    got = c.groupBy("chrom", "pos", "ref", "alt1", "alt2").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", cell))).alias("m"))
-    cells = F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.try_element_at("m", n), F.lit("./.:.:.")))
+    # Absent cells are laid in by an outer step over all samples of a position, so a line is one ordered aggregate.
+    sites = c.select("chrom", "pos", "ref", "alt1", "alt2").distinct().withColumn("sample_id", F.explode(F.array(*map(F.lit, names))))
+    full = sites.join(c.select("pos", "sample_id", cell.alias("cell")), ["pos", "sample_id"], "left").withColumn("cell", F.coalesce("cell", F.lit("./.:.:.")))
+    got = full.groupBy("chrom", "pos", "ref", "alt1", "alt2").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "cell"))), lambda x: x["cell"]).alias("cells"))
+    cells = F.col("cells")
     line = F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", F.concat_ws(",", "alt1", "alt2"), F.lit("."), F.lit("PASS"), F.lit("AC=1;DB"), F.lit("GT:AD:DP"), F.array_join(cells, "\t"))
     head = s.createDataFrame([("##fileformat=VCFv4.2",), ("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *map(str, names)]),)], "value string").coalesce(1)
     head.write.text(path := shared_path(s, "vcf"))
