@@ -127,13 +127,16 @@ def fst_of(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def ld(geno: DataFrame, *, max_distance: int | None = None, group: str | None = None) -> DataFrame:
-    """(p, q, r2) of positions p < q: squared correlation of dosages over samples called at both, joined by sample (and within group, if given)."""
+    """(p, q, r2) of positions p < q: squared correlation of dosages over samples called at both, joined by sample (and within group, if given); null where one does not vary."""
     g = geno.filter("nalt >= 0")
     key = ["sample_id", *([group] if group else [])]
     a = g.select(*key, F.col("pos").alias("p"), F.col("nalt").cast("double").alias("x"))
     b = g.select(*key, F.col("pos").alias("q"), F.col("nalt").cast("double").alias("y"))
     near = (F.col("p") < F.col("q")) & (F.lit(True) if max_distance is None else F.col("q") - F.col("p") <= max_distance)
-    return a.join(b, key).filter(near).groupBy("p", "q").agg(F.pow(F.corr("x", "y"), 2).alias("r2"))
+    x, y, n = F.col("x"), F.col("y"), F.count("*")
+    both = n * F.sum(x * y) - F.sum(x) * F.sum(y)
+    own = (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))
+    return a.join(b, key).filter(near).groupBy("p", "q").agg(F.try_divide(both * both, own).alias("r2"))
 
 
 def prune(geno: DataFrame, scores: DataFrame, *, r2: float = 0.5, group: str = "chrom") -> DataFrame:

@@ -9,8 +9,12 @@ from .bridge import view, with_
 from .registry import query
 
 CV = "calls variants"
-_AD = F.array("ad0", "ad1", "ad2")
-_ALLELES = F.array("ref", "alt1", "alt2")
+def _ad():
+    return F.array("ad0", "ad1", "ad2")
+
+
+def _alleles():
+    return F.array("ref", "alt1", "alt2")
 
 
 def _cv(s, d):
@@ -26,18 +30,18 @@ def _sql(het: str = "or", hetratio: float = 0.67, minalt: int = 2) -> str:
 
 
 def _letters(s, d, **kw):
-    return _cv(s, d).withColumn("allele", ca.barcode(ca.call(_AD, **kw), _ALLELES))
+    return _cv(s, d).withColumn("allele", ca.barcode(ca.call(_ad(), **kw), _alleles()))
 
 
 @query("CALL01_call_or", with_(CV, f"{_sql()} SELECT sample_id, pos, CAST(idx AS INT) AS idx, failed, het FROM called"))
 def _(s, d):
-    c = ca.call(_AD)
+    c = ca.call(_ad())
     return _cv(s, d).select("sample_id", "pos", c["idx"].alias("idx"), c["failed"].alias("failed"), c["het"].alias("het"))
 
 
 @query("CALL02_call_and", with_(CV, f"{_sql('and')} SELECT sample_id, pos, CAST(idx AS INT) AS idx, failed, het FROM called"))
 def _(s, d):
-    c = ca.call(_AD, het_rule="and")
+    c = ca.call(_ad(), het_rule="and")
     return _cv(s, d).select("sample_id", "pos", c["idx"].alias("idx"), c["failed"].alias("failed"), c["het"].alias("het"))
 
 
@@ -57,12 +61,12 @@ def _(s, d):
 
 @query("CALL04_realmccoil", with_(CV, f"{_sql()} SELECT sample_id, pos, CAST(CASE WHEN failed THEN -1 WHEN het THEN 0.5 ELSE least(idx, 1) END AS DOUBLE) AS code FROM called"))
 def _(s, d):
-    return _cv(s, d).select("sample_id", "pos", ca.realmccoil(ca.call(_AD)).alias("code"))
+    return _cv(s, d).select("sample_id", "pos", ca.realmccoil(ca.call(_ad())).alias("code"))
 
 
 @query("CALL05_hmmibd", with_(CV, f"{_sql(hetratio=-1)} SELECT sample_id, pos, CAST(CASE WHEN failed THEN -1 ELSE idx END AS INT) AS code FROM called"))
 def _(s, d):
-    return _cv(s, d).select("sample_id", "pos", ca.hmmibd(ca.call(_AD, hetratio=-1, minaltdepth=-1)).alias("code"))
+    return _cv(s, d).select("sample_id", "pos", ca.hmmibd(ca.call(_ad(), hetratio=-1, minaltdepth=-1)).alias("code"))
 
 
 @query("CALL06_major_allele", with_(CV, f"{_sql(hetratio=-1)} SELECT sample_id, pos, allele FROM letters"))
@@ -104,7 +108,7 @@ def _(s, d):
 
 @query("CALL13_depth_index", with_("calls", "SELECT sample_id, pos, CAST(CASE WHEN ad0 + ad1 + ad2 < 5 THEN 255 WHEN ad0 = greatest(ad0, ad1, ad2) THEN 0 WHEN ad1 = greatest(ad0, ad1, ad2) THEN 1 ELSE 2 END AS INT) AS code FROM calls"))
 def _(s, d):
-    return view(s, d, "calls").select("sample_id", "pos", ca.depth_index(_AD).alias("code"))
+    return view(s, d, "calls").select("sample_id", "pos", ca.depth_index(_ad()).alias("code"))
 
 
 @query("CALL14_dense_codes", "SELECT n_nationkey, n_name, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 255 ELSE dense_rank() OVER (PARTITION BY n_nationkey % 5 = 0 ORDER BY substr(n_name, 1, 1)) END AS INT) AS code FROM nation")
@@ -185,7 +189,7 @@ for _id, _kw, _where in (
 @query("FIL12_redetermine", with_("calls", """SELECT sample_id, pos, CASE WHEN ad0 + ad1 + ad2 < 5 THEN './.' WHEN len(x) = 1 THEN x[1] || '/' || x[1] WHEN len(x) >= 2 THEN x[1] || '/' || x[2] ELSE '0/0' END AS gt
   FROM (SELECT *, list_filter(list_value(CASE WHEN ad0 >= 2 THEN 0 END, CASE WHEN ad1 >= 2 THEN 1 END, CASE WHEN ad2 >= 2 THEN 2 END), lambda i: i IS NOT NULL) AS x FROM calls)"""))
 def _(s, d):
-    return view(s, d, "calls").select("sample_id", "pos", ca.redetermine(_AD, F.lit("0/0")).alias("gt"))
+    return view(s, d, "calls").select("sample_id", "pos", ca.redetermine(_ad(), F.lit("0/0")).alias("gt"))
 
 
 @query("FIL13_haplotype_sequences", with_("geno variants", "SELECT sample_id, string_agg(CASE nalt WHEN 0 THEN ref WHEN 2 THEN alt1 ELSE 'N' END, '' ORDER BY pos) AS seq FROM geno JOIN variants USING (pos) GROUP BY sample_id"))

@@ -265,7 +265,7 @@ def _(s, d):
 
 
 @query("AGG09_consensus", with_("msa", f"""WITH {_PROF}, best AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY round(weight, 9) DESC, k) AS r FROM prof),
-  th AS (SELECT unnest([0.5, 0.7, 0.8, 0.9, 0.99]) AS threshold)
+  th AS (SELECT unnest([0.5, 0.7, 0.8, 0.9, 0.99]::DOUBLE[]) AS threshold)
   SELECT threshold, string_agg(CASE WHEN weight < threshold THEN lower(symbol) ELSE symbol END, '' ORDER BY col) AS consensus FROM best, th WHERE r = 1 GROUP BY threshold"""))
 def _(s, d):
     return profile.consensus(profile.fit(view(s, d, "msa")))
