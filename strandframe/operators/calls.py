@@ -207,3 +207,18 @@ def haplotype_sequences(calls: DataFrame) -> DataFrame:
     """(sample_id, seq) from (sample_id, pos, nalt, ref, alt1): the homozygous base, N for the rest, in order of position."""
     base = F.when(F.col("nalt") == 0, F.col("ref")).when(F.col("nalt") == 2, F.col("alt1")).otherwise("N")
     return ordered(calls, ["sample_id"], "pos", base, "seq")
+
+
+def split_geno(df: DataFrame, *, key: str = "SAMPLE") -> tuple[DataFrame, DataFrame]:
+    """A wide genotype frame as (alleles: sample, chrom, pos, allele) of its CHR:POS columns and the rest; rows whose sample starts with % are metadata."""
+    cols = [c for c in df.columns if ":" in c]
+    samples = df.filter(~F.col(key).startswith("%"))
+    long = samples.unpivot([key], [F.col(f"`{c}`") for c in cols], "place", "allele")
+    alleles = long.select(F.col(key).alias("sample"), F.substring_index("place", ":", 1).alias("chrom"), F.substring_index("place", ":", -1).cast("long").alias("pos"), "allele")
+    return alleles, df.select(*[c for c in df.columns if ":" not in c])
+
+
+def colours(df: DataFrame, value: str, wheel: list[str]) -> DataFrame:
+    """Adds a colour per distinct value, going round a wheel in the values' order."""
+    coded = dense_codes(df, value, "__k")
+    return coded.withColumn("colour", F.element_at(F.array(*map(F.lit, wheel)), ((F.col("__k") - 1) % len(wheel) + 1).cast("int"))).drop("__k")

@@ -188,3 +188,108 @@ def _(s, d):
     v = view(s, d, "aligned").select("label", F.lit("ACGTTGCATTGACCAGTTACGGATCCATGCAACTTGGACCTTAGCAATCGGA").alias("r"), (F.col("ord") % 17 + 3).cast("int").alias("k"))
     turned = v.select("label", F.concat(F.expr("substring(r, k + 1)"), F.expr("substring(r, 1, k)")).alias("seq"))
     return align.recircularise_all(turned, "ACGTTGCATTGACCAGTTACGGATCCATGC")
+
+
+@query("SRC02_extra_tracks", with_("aligned", "SELECT label AS owner, 'quality' AS label, reverse(seq) AS seq FROM aligned"))
+def _(s, d):
+    v = view(s, d, "aligned")
+    v.select(F.concat(F.lit(">"), F.col("label"), F.lit("\n"), F.col("seq"), F.lit("\n>@quality\n"), F.reverse("seq")).alias("value")).coalesce(1).write.text(path := shared_path(s, "tracks"))
+    return io.read_fasta(s, path, keep="extra").select("owner", "label", "seq")
+
+
+@query("SRC04_genbank", with_("msa", "SELECT label, lower(replace(seq, '-', 'n')) AS seq, 'host ' || ord AS isolate, 'record of ' || label AS definition, '1..67' AS location FROM msa"))
+def _(s, d):
+    v = view(s, d, "msa").withColumn("seq", F.lower(F.translate("seq", "-", "n")))
+    lines = [
+        F.concat(F.lit("LOCUS       "), "label", F.lit(" 67 bp")), F.concat(F.lit("DEFINITION  record of"), F.lit("\n            "), "label"), F.concat(F.lit("ACCESSION   "), "label"),
+        F.lit("FEATURES             Location/Qualifiers"), F.concat(F.lit("     source          1.."), F.length("seq").cast("string")), F.concat(F.lit('                     /isolate="host '), "ord", F.lit('"')),
+        F.lit("ORIGIN"), F.concat(F.lit("        1 "), F.substring("seq", 1, 10), F.lit(" "), F.expr("substring(seq, 11)")), F.lit("//"),
+    ]
+    v.select(F.concat_ws("\n", *lines).alias("value")).write.text(path := shared_path(s, "genbank"))
+    return io.read_genbank(s, path).select("label", "seq", F.col("attr")["isolate"].alias("isolate"), "definition", F.get("features", 0)["location"].alias("location"))
+
+
+@query("SRC07_embl", with_("msa", "SELECT label, lower(replace(seq, '-', 'n')) AS seq FROM msa"))
+def _(s, d):
+    v = view(s, d, "msa").withColumn("seq", F.lower(F.translate("seq", "-", "n")))
+    v.select(F.concat(F.lit("ID   "), F.col("label"), F.lit("; SV 1;\nSQ   Sequence 67 BP;\n     "), F.substring("seq", 1, 10), F.lit(" "), F.expr("substring(seq, 11)"), F.lit(" 67\n//")).alias("value")).write.text(path := shared_path(s, "embl"))
+    return io.read_embl(s, path).select("label", "seq")
+
+
+@query("SRC12_dispatch_gzip", with_("aligned", "SELECT label, seq FROM aligned"))
+def _(s, d):
+    view(s, d, "aligned").select(F.concat(F.lit(">"), F.col("label"), F.lit("\n"), F.col("seq")).alias("value")).write.option("compression", "gzip").text(path := shared_path(s, "packed") + ".fasta")
+    return io.read(s, path).select("label", "seq")
+
+
+@query("SRC16_phd", with_("quals", "SELECT n, total, 'ACGT' AS first FROM (SELECT user_id, count(*) AS n, CAST(sum(q) AS BIGINT) AS total FROM quals GROUP BY user_id)"))
+def _(s, d):
+    each = F.transform(F.array_sort(F.collect_list(F.struct("ord", "q"))), lambda x, i: F.concat_ws(" ", F.substring(F.lit("ACGT"), i % 4 + 1, F.lit(1)), x["q"], i * 10))
+    v = view(s, d, "quals").groupBy("user_id").agg(F.concat(F.lit("BEGIN_DNA\n"), F.array_join(each, "\n"), F.lit("\nEND_DNA")).alias("value"))
+    v.repartition(v.count(), "user_id").select("value").write.option("maxRecordsPerFile", 1).text(path := shared_path(s, "phd"))
+    p = traces.read_phd(s, path).filter(F.length("bases") > 0)
+    return p.select(F.size("quals").cast("long").alias("n"), F.aggregate("quals", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.substring(F.rpad("bases", 4, "-"), 1, 4).alias("first"))
+
+
+@query("SRC28_gff_genes", with_("variants genes", "SELECT v.pos, gene FROM variants v JOIN genes g ON v.chrom = g.chrom AND v.pos BETWEEN start_pos AND end_pos"))
+def _(s, d):
+    from ..operators.positions import in_intervals
+
+    g = view(s, d, "genes")
+    g.select(F.concat_ws("\t", "chrom", F.lit("x"), F.lit("gene"), "start_pos", "end_pos", F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID="), "gene", F.lit(";n=1"))).alias("value")).write.text(path := shared_path(s, "gff"))
+    return in_intervals(view(s, d, "variants").select("pos", "chrom"), variants.read_gff(s, path)).select("pos", "gene")
+
+
+@query("VIS01_colours", "SELECT r_name, list_value('red', 'green', 'blue')[CAST((dense_rank() OVER (ORDER BY r_name) - 1) % 3 + 1 AS BIGINT)] AS colour FROM region")
+def _(s, d):
+    from ..operators.calls import colours
+
+    return colours(s.read.parquet(f"{d}/region.parquet").select("r_name"), "r_name", ["red", "green", "blue"])
+
+
+@query("CALL16_wide_frame", with_("geno variants", "SELECT CAST(sample_id AS VARCHAR) AS sample, chrom, pos, nalt AS allele FROM geno JOIN variants USING (pos)"))
+def _(s, d):
+    from ..operators.calls import split_geno
+
+    g = view(s, d, "geno").join(view(s, d, "variants").select("pos", "chrom"), "pos").withColumn("place", F.concat_ws(":", "chrom", "pos"))
+    places = sorted(r[0] for r in view(s, d, "variants").select(F.concat_ws(":", "chrom", "pos")).collect())
+    wide = g.groupBy(F.col("sample_id").cast("string").alias("SAMPLE")).pivot("place", places).agg(F.first("nalt"))
+    return split_geno(wide)[0].filter("allele IS NOT NULL")
+
+
+@query("SNK13_profile_export", with_("geno samples", "SELECT pop AS grp, pos, CAST(sum(2 - nalt) AS BIGINT) AS n0 FROM geno JOIN samples USING (sample_id) WHERE nalt >= 0 GROUP BY pop, pos"))
+def _(s, d):
+    from ..operators.popgen import population_counts
+
+    c = population_counts(view(s, d, "geno"), view(s, d, "samples").select("sample_id", F.col("pop").alias("grp")))
+    variants.write_table(c, path := shared_path(s, "profile") + ".parquet")
+    return variants.read_table(s, path).select("grp", "pos", "n0")
+
+
+@query("SEQ23_trace_reverse", with_("quals", "SELECT user_id, list(q ORDER BY ord DESC) AS quals FROM quals GROUP BY user_id"))
+def _(s, d):
+    v = view(s, d, "quals").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "q"))), lambda x: x["q"]).alias("quals"))
+    t = v.withColumns({"bases": F.lit("ACGT"), "basecalls": F.col("quals"), **{c: F.col("quals") for c in "acgt"}})
+    return traces.reverse_complement(t).select("user_id", "quals")
+
+
+@query("ALN07_map_reads")
+def _(s, d):
+    @F.udf("struct<start:int,end:int,mismatches:int,inserts:int,dels:int>")
+    def placed(x, y):
+        return align.map_read(x, y)
+
+    return _pairs(s, d).select("ord", placed(F.substring("x", 11, 20), F.col("x")).alias("m")).select("ord", "m.*")
+
+
+@query("ALN06_both_strands")
+def _(s, d):
+    from ..operators.sequence import reverse_complement
+
+    @F.udf("struct<strand:string,score:double>")
+    def better(x, y):
+        strand, r = align.map_both_strands(x, y)
+        return strand, r["score"]
+
+    back = F.when(F.col("ord") % 2 == 0, reverse_complement(F.substring("x", 5, 30), "standard")).otherwise(F.substring("x", 5, 30))
+    return _pairs(s, d).select("ord", better(back, F.col("x")).alias("m")).select("ord", "m.*")
