@@ -6,6 +6,7 @@ import argparse
 import functools
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,13 +185,10 @@ def mapread(spark, a):
     t = traces.read_traces(spark, a.infile).select("file", traces.trimmed(F.col("bases"), F.col("quals")).alias("seq"))
 
     @F.pandas_udf("strand string, score double, start int, stop int, moves string")
-    def run(seqs):
-        import pandas as pd
-
+    def run(seqs: pd.Series) -> pd.DataFrame:
         got = [align.map_both_strands(s, ref) for s in seqs]
         return pd.DataFrame([(k, r["score"], r["start_i"], r["end_i"], r["moves"]) for k, r in got], columns=["strand", "score", "start", "stop", "moves"])
 
-    run.__annotations__ = {}
     m = t.withColumn("m", run("seq"))
     return _table(m.select("file", "m.strand", "m.score", "m.start", "m.stop", sq.run_code(F.col("m.moves")).alias("code")), a)
 

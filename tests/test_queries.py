@@ -55,6 +55,18 @@ def test_commands(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "d")).count() == 4
 
 
+def test_map_traces(spark, tmp_path):
+    from strandframe.sources import traces
+
+    ref = "ACGTTGCATTGACCAGTTACGGATCCATGCAACTTGGACCTTAGCAATCGGA"
+    n = len(ref)
+    (tmp_path / "t.scf").write_bytes(traces.encode_scf(ref, [40] * n, list(range(n)), [[1] * n] * 4, {}))
+    (tmp_path / "r.fasta").write_text(f">r\n{ref}\n")
+    cli.main(["mapread", str(tmp_path / "t.scf"), "--reference", str(tmp_path / "r.fasta"), "-o", str(tmp_path / "m.tsv")], spark)
+    row = spark.read.csv(str(tmp_path / "m.tsv"), sep="\t", header=True).first()
+    assert row["strand"] == "+" and row["start"] == "0"
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.tsv").write_text("x\tAACG-\ny\tN\n")
