@@ -14,6 +14,7 @@ another place too. Three steps find all such windows without counting every wind
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,15 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import Scratch, table
+from .marks import MOST_MARKED, has_mark, marks
 from .tokens import U, grams, list_array, signed, small, words
 
 WINDOW = 35
+BLANKS = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
+MANY = re.compile(rb"  +")
 #: Words of an anchor; a window has WINDOW - GRAM + 1 of these to choose from.
 GRAM = 8
 #: Bytes of patterns in one automaton, and bodies of one anchor that one automaton is given.
 AUTOMATON_BYTES, SHARD_ROWS = 1 << 19, 2048
-#: Anchors up to which a bitmap of so many bits (8 MB) tells the tasks which of them recur; beyond, a shuffled join does.
-MOST_MARKED, MARK_BITS = 1 << 23, 26
 
 
 def anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -59,9 +61,15 @@ def stretches(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nda
     return new, np.diff(np.r_[new, len(a)]), grams(h, gram)[a[new]]
 
 
+def spaced(raw: bytes) -> bytes:
+    """The words of UTF-8 bytes with one blank between them."""
+    out = raw.translate(BLANKS)
+    return MANY.sub(b" ", out) if b"  " in out else out
+
+
 def joined(raw: bytes, s: np.ndarray, e: np.ndarray, first: int, n: int) -> str:
     """n words from the first one, one blank before and after each."""
-    return " " + " ".join(raw[s[i] : e[i]].decode("utf-8", "surrogatepass") for i in range(first, first + n)) + " "
+    return f" {spaced(raw[s[first] : e[first + n - 1]]).decode('utf-8', 'surrogatepass')} "
 
 
 def recurring_anchors(docs: DataFrame, text: str, window: int, gram: int) -> DataFrame:
@@ -76,24 +84,14 @@ def recurring_anchors(docs: DataFrame, text: str, window: int, gram: int) -> Dat
     return docs.select(text).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
-def marks(recurring: DataFrame) -> np.ndarray:
-    """A bitmap of the anchors' low bits; folded in the tasks, so what arrives has a bounded size."""
-    low = F.pmod("anchor", F.lit(1 << MARK_BITS))
-    bits = recurring.select(F.floor(low / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (low % 64).cast("int")).alias("bit"))
-    got = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(U)
-
-
 def pieces_by_marks(docs: DataFrame, recurring: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc, th, anchor, first, body) of the stretches whose anchors the bitmap has: all that recur, and a few that do not."""
-    shared = docs.sparkSession.sparkContext.broadcast(marks(recurring))
+    shared = docs.sparkSession.sparkContext.broadcast(marks(recurring, "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = shared.value
         for b in small(batches, 64):
-            yield from _pieces(b, window, gram, lambda a, _: np.flatnonzero((filled[(a & U((1 << MARK_BITS) - 1)) >> U(6)] >> (a & U(63))) & U(1)))
+            yield from _pieces(b, window, gram, lambda a, _: np.flatnonzero(has_mark(filled, a)))
 
     return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, anchor long, first long, body string")
 
@@ -139,7 +137,7 @@ def windows_of(bodies: DataFrame, window: int) -> DataFrame:
             got = [signed(grams(words(t)[0], window)) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), list_array(got, pa.int64())], ["anchor", "bid", "copies", "whs"])
 
-    out = bodies.select("anchor", "bid", "copies", "body").mapInArrow(run, "anchor long, bid binary, copies long, whs array<long>")
+    out = bodies.select("anchor", "bid", "copies", "body").mapInArrow(run, "anchor long, bid long, copies long, whs array<long>")
     return out.select("anchor", "bid", "copies", F.posexplode("whs").alias("at", "wh"))
 
 
@@ -168,7 +166,7 @@ def located(rows: DataFrame) -> DataFrame:
     holds the passages of as many anchors as fit AUTOMATON_BYTES.
     """
 
-    def scan(patterns: dict[str, int], held: list[tuple[int, bytes, str]]) -> pa.RecordBatch:
+    def scan(patterns: dict[str, int], held: list[tuple[int, int, str]]) -> pa.RecordBatch:
         auto = ahocorasick.Automaton()
         for p, n in patterns.items():
             auto.add_word(p, (len(p), n))
@@ -185,11 +183,11 @@ def located(rows: DataFrame) -> DataFrame:
                 elif s + n > stop:
                     out[-1][3] = stop = s + n
         cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["anchor", "bid", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["anchor", "bid", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns: dict[str, int] = {}
-        held: list[tuple[int, bytes, str]] = []
+        held: list[tuple[int, int, str]] = []
         size = 0
         for b in small(batches, 256):
             for anchor, bid, body in zip(*(b.column(x).to_pylist() for x in range(3)), strict=True):
@@ -204,7 +202,7 @@ def located(rows: DataFrame) -> DataFrame:
         if patterns and held:
             yield scan(patterns, held)
 
-    return rows.select("anchor", "bid", "body").mapInArrow(run, "anchor long, bid binary, start long, stop long")
+    return rows.select("anchor", "bid", "body").mapInArrow(run, "anchor long, bid long, start long, stop long")
 
 
 def cut_out(docs: DataFrame) -> DataFrame:
@@ -224,7 +222,10 @@ def cut_out(docs: DataFrame) -> DataFrame:
                 keep = np.flatnonzero(np.cumsum(out[:-1]) == 0)
                 n.append(len(s))
                 gone.append(len(s) - len(keep))
-                kept.append(b" ".join(raw[s[i] : e[i]] for i in keep).decode("utf-8", "surrogatepass"))
+                # Words that stay in a row are one slice.
+                cut = np.flatnonzero(np.diff(keep) > 1)
+                runs = zip(keep[np.r_[0, cut + 1]], keep[np.r_[cut, -1]], strict=True) if len(keep) else ()
+                kept.append(b" ".join(spaced(raw[s[i] : e[j]]) for i, j in runs).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -242,7 +243,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     recurring = scratch.put(recurring_anchors(own, "text", window, gram))
     scratch.sweep()
     way = pieces_by_marks if recurring.count() <= most_marked else pieces_by_join
-    pieces = scratch.put(way(own, recurring, window, gram).withColumn("bid", F.unhex(F.md5("body"))))
+    pieces = scratch.put(way(own, recurring, window, gram).withColumn("bid", F.xxhash64("body")))
     scratch.sweep()
     bodies = scratch.put(pieces.groupBy("anchor", "bid").agg(F.count("*").alias("copies"), F.first("body").alias("body")))
     kinds = bodies.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).filter("all > 1")
@@ -258,8 +259,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     passages = passages_of(hit, window).distinct()
     shards = hit.groupBy("anchor").agg(parts.alias("parts"))
     texts = hit.select("anchor", "bid", "body").join(shards, "anchor").select("anchor", F.pmod(F.xxhash64("bid"), "parts").cast("int").alias("salt"), "bid", "body")
-    needles = passages.join(shards, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("bid"), F.col("passage").alias("body"))
-    both = whole.select("anchor", F.lit(0).alias("salt"), F.explode(F.array(F.lit(None).cast("binary"), "bid")).alias("bid"), "body")
+    needles = passages.join(shards, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("bid"), F.col("passage").alias("body"))
+    both = whole.select("anchor", F.lit(0).alias("salt"), F.explode(F.array(F.lit(None).cast("long"), "bid")).alias("bid"), "body")
     rows = texts.unionByName(needles).unionByName(both)
     found = scratch.put(located(rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.col("bid").asc_nulls_first())))
     scratch.sweep()
@@ -276,7 +277,8 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
 rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
 hit AS (SELECT DISTINCT doc_id, i + j AS i FROM win JOIN rep USING (h), range(0, 35) r(j)),
