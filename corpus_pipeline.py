@@ -18,6 +18,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of a text's n-grams that its language must know; what has less is in none of the learned languages.
 LEAST_SCORE = 0.3
 
+#: Near copies share 80 % of their five-word shingles.
+NEAR = jaccard_join.Rule(k=5, num=80, den=100)
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those whose n-grams no learned language knows."""
@@ -33,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, once if its row repeats; texts without words link with nothing and stay."""
-    groups = jaccard_join.join_components(docs).select("doc_id", "component_id", "class_id")
+    groups = jaccard_join.join_components(docs, rule=NEAR).select("doc_id", "component_id", "class_id")
     stays = groups.filter(F.col("class_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct(F.col("doc_id").alias("v")).alias("k")).distinct()
     boxed = docs.withColumns({"key": F.struct(F.col("doc_id").alias("v")), "th": F.xxhash64("text")})
     kept = boxed.join(stays.hint("merge"), F.col("key") == F.col("k"), "left_semi")

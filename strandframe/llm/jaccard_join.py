@@ -14,6 +14,7 @@ and are then verified on their whole sets, most promising first, and what is alr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .components import components
+from .marks import MOST_MARKED, has_mark, marks
 from .tokens import U, list_array, mixed, shingle_set, signed, small, words
 
-SHINGLE = 3
-#: Similarity at which two documents link, as a fraction of whole numbers.
-NUM, DEN = 90, 100
 #: Frequent shingles that the order knows; more of them only make the order finer.
 HEAVY = 1 << 16
 #: A shingle counts as frequent from this many documents on, and from this many in one stretch of a partition.
@@ -36,13 +35,39 @@ INDEX_COST = 0.25
 MOST_MATCHES = 64
 #: Buckets of a signature, four bits each, and rows of a block of a large prefix group.
 BUCKETS, BLOCK, CLUSTER_BLOCK = 128, 1024, 512
-#: Sets larger than this carry a wide signature too.
-WIDE_FROM = 1000
 
 
-def base_matches(n):
-    """Shared prefix shingles a set of n asks for at least; grows with n."""
-    return np.maximum(1, np.minimum(MOST_MATCHES, np.sqrt((DEN - NUM) / DEN * n / INDEX_COST).astype(np.int64)))
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the similarity num / den at which two sets link, in whole numbers."""
+
+    k: int = 3
+    num: int = 90
+    den: int = 100
+    #: Sets larger than this carry a wide signature too; by default those whose links may differ in most buckets of the small one.
+    wide_from: int | None = None
+
+    def least(self, n):
+        """Shingles that a set of n shares with any that links to it, at least."""
+        return -(-self.num * n // self.den)
+
+    def matches(self, n):
+        """Shared prefix shingles that a set of n asks for at least; grows with n."""
+        return np.maximum(1, np.minimum(MOST_MATCHES, np.sqrt((self.den - self.num) / self.den * n / INDEX_COST).astype(np.int64)))
+
+    def differ(self, n, m):
+        """Shingles in which two linked sets of n and m differ, at most."""
+        return (n + m) * (self.den - self.num) // (self.den + self.num)
+
+    def linked(self, n, m, both):
+        return self.den * both >= self.num * (n + m - both)
+
+    def large(self) -> int:
+        return self.wide_from if self.wide_from is not None else BUCKETS * 4 // 5 * (self.den + self.num) // (2 * (self.den - self.num))
+
+    def buckets(self, n: int) -> int:
+        """Buckets of a wide signature: about twice as many as linked sets differ in, as a power of two."""
+        return 1 << max(1, (self.differ(n, n) * 19 // 8 - 1).bit_length())
 
 
 def heavy_shingles(docs: DataFrame, text: str, k: int) -> DataFrame:
@@ -82,9 +107,9 @@ def signature(s: np.ndarray, buckets: int = BUCKETS) -> bytes:
     return (sums[::2] * 16 + sums[1::2]).astype(np.uint8).tobytes()
 
 
-def wide_signature(s: np.ndarray) -> bytes | None:
-    """For large sets, which differ in every bucket of the small signature, one with a bucket to four shingles or fewer."""
-    return signature(s, 1 << (len(s) // 4 - 1).bit_length()) if len(s) > WIDE_FROM else None
+def wide_signature(s: np.ndarray, rule: Rule) -> bytes | None:
+    """For large sets, which differ in every bucket of the small signature, one with more buckets."""
+    return signature(s, rule.buckets(len(s))) if len(s) > rule.large() else None
 
 
 def unpacked(sig: bytes, buckets: int | None = None) -> np.ndarray:
@@ -94,21 +119,21 @@ def unpacked(sig: bytes, buckets: int | None = None) -> np.ndarray:
     return out if buckets is None else out.reshape(-1, buckets).sum(axis=0) & 15
 
 
-def prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
+def prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, rule: Rule) -> tuple[int, np.ndarray]:
     """How many matches the set asks for, and its prefix for that many."""
     n = len(s)
     at = np.minimum(np.searchsorted(heavy, s), max(0, len(heavy) - 1))
     weight = np.where(heavy[at] == s, counts[at], 0) if len(heavy) else np.zeros(n, np.int64)
     order = np.lexsort((s, weight))
-    least = -(-NUM * n // DEN)
-    want = int(min(least, base_matches(n)))
+    least = rule.least(n)
+    want = int(min(least, rule.matches(n)))
     cost = float(np.maximum(1, weight[order[: n - least + want]]).sum())
     # Candidates are at most cost / l: lengthen until another shingle costs as much as it saves.
     want = int(min(least, max(want, min(MOST_MATCHES, (cost / INDEX_COST) ** 0.5 / 2))))
     return want, s[order[: n - least + want]]
 
 
-def draw(docs: DataFrame, text: str, key: str, k: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
+def draw(docs: DataFrame, text: str, key: str, rule: Rule, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(id, n, c, sig, wide, l, prefix) per row: set size, class and what the join needs of it."""
     known = docs.sparkSession.sparkContext.broadcast((heavy, counts))
 
@@ -116,12 +141,12 @@ def draw(docs: DataFrame, text: str, key: str, k: int, heavy: np.ndarray, counts
         for b in small(batches):
             n, c, sig, wide, l, p = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
-                s = shingle_set(words(t, lower=True)[0], k)
-                want, first = prefix(s, *known.value) if len(s) else (0, s)
+                s = shingle_set(words(t, lower=True)[0], rule.k)
+                want, first = prefix(s, *known.value, rule) if len(s) else (0, s)
                 n.append(len(s))
                 c.append(class_id(s) if len(s) else None)
                 sig.append(signature(s))
-                wide.append(wide_signature(s))
+                wide.append(wide_signature(s, rule))
                 l.append(want)
                 p.append(signed(first))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(l, pa.int32()), list_array(p, pa.int64())], ["id", "n", "c", "sig", "wide", "l", "prefix"])
@@ -161,18 +186,18 @@ class Forest:
         return x != y
 
 
-def possible(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def possible(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of row pairs those that sizes and signatures cannot rule out, with the number of buckets that differ."""
     n, m = cols["n"][x], cols["n"][y]
-    keep = (cols["c"][x] != cols["c"][y]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
+    keep = (cols["c"][x] != cols["c"][y]) & (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m))
     keep &= (cols["i"][x] == cols["j"][x]) | (cols["blk"][x] != cols["blk"][y])
     x, y = x[keep], y[keep]
-    may = (cols["n"][x] + cols["n"][y]) * (DEN - NUM) // (DEN + NUM)
+    may = rule.differ(cols["n"][x], cols["n"][y])
     d = cols["sig"][x] ^ cols["sig"][y]
     differ = np.count_nonzero(d & 0xF0, axis=1) + np.count_nonzero(d & 0x0F, axis=1)
     keep = differ <= may
     x, y, differ, may = x[keep], y[keep], differ[keep], may[keep]
-    large = np.flatnonzero((cols["n"][x] > WIDE_FROM) & (cols["n"][y] > WIDE_FROM))
+    large = np.flatnonzero((cols["n"][x] > rule.large()) & (cols["n"][y] > rule.large()))
     if len(large):
         keep = np.ones(len(x), bool)
         for k in large.tolist():
@@ -207,7 +232,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch], names: list[str], others: list[
         yield whole(held)
 
 
-def similar(rows: DataFrame) -> DataFrame:
+def similar(rows: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): a spanning forest, per run of prefix groups, of the pairs of classes that cannot be ruled out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +240,7 @@ def similar(rows: DataFrame) -> DataFrame:
             ids, at = np.unique(cols["c"], return_inverse=True)
             forest, a, b = Forest(len(ids)), [], []
             for x, y in _pairs_of_groups(starts, sizes):
-                x, y, _ = possible(cols, x, y)
+                x, y, _ = possible(cols, x, y, rule)
                 for u, v in np.unique(np.stack([at[x], at[y]], axis=1), axis=0).tolist():
                     if forest.join(u, v):
                         a.append(ids[u])
@@ -225,7 +250,7 @@ def similar(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def linked(rows: DataFrame, k: int) -> DataFrame:
+def linked(rows: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): a spanning forest, per block, of the links among the classes of a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +259,12 @@ def linked(rows: DataFrame, k: int) -> DataFrame:
 
             def shingles(r: int) -> np.ndarray:
                 if r not in sets:
-                    sets[r] = shingle_set(words(cols["text"][r], lower=True)[0], k)
+                    sets[r] = shingle_set(words(cols["text"][r], lower=True)[0], rule.k)
                 return sets[r]
 
             forest, a, b = Forest(len(cols["c"])), [], []
             for x, y in _pairs_of_groups(starts, sizes):
-                x, y, d = possible(cols, x, y)
+                x, y, d = possible(cols, x, y, rule)
                 for u, v in np.stack([x, y], axis=1)[np.argsort(d, kind="stable")].tolist():
                     if forest.find(u) == forest.find(v):
                         continue
@@ -247,7 +272,7 @@ def linked(rows: DataFrame, k: int) -> DataFrame:
                         continue
                     s, t = shingles(u), shingles(v)
                     both = len(np.intersect1d(s, t, assume_unique=True))
-                    if DEN * both >= NUM * (len(s) + len(t) - both):
+                    if rule.linked(len(s), len(t), both):
                         forest.join(u, v)
                         a.append(cols["c"][u])
                         b.append(cols["c"][v])
@@ -264,7 +289,7 @@ def paired(rows: DataFrame, by: str, size: str, block: int) -> DataFrame:
     return laid.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
-def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", k: int = SHINGLE) -> DataFrame:
+def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rule: Rule = Rule(), most_marked: int = MOST_MARKED) -> DataFrame:
     """(key, n_shingles, component_id, class_id, n_links): set size, smallest key reachable over links, class of equal sets, links of the class that were followed.
 
     Texts are lower-cased (A-Z). A null text, or one without words, has no shingles and links with nothing, not even its
@@ -273,22 +298,27 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     others already imply are not listed: n_links counts those that joined components.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    known = heavy_shingles(docs, text, k).orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
-    heavy = known["h"].to_numpy(np.int64).view(U)
+    known = heavy_shingles(docs, text, rule.k).orderBy(F.desc("n"), "h").limit(HEAVY).toArrow()
+    heavy = known.column("h").to_numpy().view(U)
     by = np.argsort(heavy)
-    drawn = scratch.put(draw(docs, text, key, k, heavy[by], known["n"].to_numpy(np.int64)[by]))
+    drawn = scratch.put(draw(docs, text, key, rule, heavy[by], known.column("n").to_numpy()[by]))
     classes = drawn.filter("n > 0").groupBy("c", "n").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
+    classes = scratch.put(classes)
+    scratch.sweep()
 
     # Prefix shingles that more than one class has, of classes that have enough of them for any partner.
-    rows = classes.select("c", "n", F.explode("prefix").alias("tok"))
-    often = rows.groupBy("tok").agg(F.count("*").alias("group")).filter("group > 1")
-    shared = scratch.put(rows.join(often.hint("merge"), "tok"))
+    often = scratch.put(classes.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("group")).filter("group > 1"))
+    scratch.sweep()
+    rows = marked(classes.select("c", "n", "prefix"), often) if often.count() <= most_marked else classes.select("c", "n", "prefix")
+    shared = scratch.put(rows.select("c", "n", F.explode("prefix").alias("tok")).join(often.hint("merge"), "tok"))
     scratch.sweep()
-    least = F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.floor(F.sqrt(F.ceil(F.col("n") * NUM / DEN) * ((DEN - NUM) / DEN / INDEX_COST))))).cast("long")
-    least = F.least(least, F.ceil(F.ceil(F.col("n") * NUM / DEN) * NUM / DEN))
-    able = scratch.put(shared.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c").join(classes.select("c", "n", "first_id", "sig", "wide", "l", "prefix").hint("merge"), "c"))
+    # One less than the partner's least demand, so that rounding cannot tell the two sides apart.
+    partner = F.ceil(F.col("n") * rule.num / rule.den)
+    least = F.least(F.lit(MOST_MATCHES), F.floor(F.sqrt(partner * ((rule.den - rule.num) / rule.den / INDEX_COST))), F.ceil(partner * rule.num / rule.den)) - 1
+    able = shared.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c")
+    able = scratch.put(able.join(classes.select("c", "n", "first_id", "sig", "wide", "l", "prefix").hint("merge"), "c"))
     groups = shared.select("tok", "c", "group").join(able.select("c", "n", "sig", "wide").hint("merge"), "c")
-    edges = scratch.put(similar(paired(groups, "tok", "group", BLOCK)))
+    edges = scratch.put(similar(paired(groups, "tok", "group", BLOCK), rule))
     scratch.drop(shared)
     clusters = components(scratch, edges)
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
@@ -296,7 +326,7 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     texts = docs.select(F.struct(F.col(key).alias("v")).alias("k"), F.col(text).alias("text"))
     texts = texts.join(members.withColumn("k", F.struct(F.col("first_id").alias("v"))).hint("merge"), "k").select("c", "text", "label", "size", "n", "l", "sig", "wide", "prefix")
     # Where a key has several rows, the one of the class is found by hashing again.
-    links = scratch.put(linked(paired(_of_class(texts, k), "label", "size", CLUSTER_BLOCK), k))
+    links = scratch.put(linked(paired(_of_class(texts, rule.k), "label", "size", CLUSTER_BLOCK), rule))
     scratch.sweep()
     labels = components(scratch, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -308,6 +338,18 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def marked(classes: DataFrame, often: DataFrame) -> DataFrame:
+    """Classes (c, n, prefix) with the shingles of the prefix that a bitmap of often has: all of these, and a few others."""
+    bits = classes.sparkSession.sparkContext.broadcast(marks(often, "tok"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            p = [np.array(x, np.int64) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array([x[has_mark(bits.value, x.view(U))] for x in p], pa.int64())], ["c", "n", "prefix"])
+
+    return classes.mapInArrow(run, "c long, n long, prefix array<long>")
+
+
 def _of_class(rows: DataFrame, k: int) -> DataFrame:
     """Of rows (c, text) those whose text has the class c."""
 

@@ -292,16 +292,16 @@ def test_secrets_on_held_out_findings(spark, odd):
 # ---- 9 ---------------------------------------------------------------------------------------------------------------
 
 
-def plain_components(texts):
+def plain_components(texts, size=3, num=90):
     sets = []
     for t in texts:
         w = split(lowered(t))
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
             k = len(sets[i] & sets[j])
-            if k and 100 * k >= 90 * (len(sets[i]) + len(sets[j]) - k):
+            if k and 100 * k >= num * (len(sets[i]) + len(sets[j]) - k):
                 a, b = sorted((label[i], label[j]))
                 label = [a if x == b else x for x in label]
     return [(len(s), c) for s, c in zip(sets, label, strict=True)]
@@ -326,9 +326,12 @@ def test_components_equal_plain_ones(spark, monkeypatch):
     got = [tuple(r)[1:3] for r in jaccard_join.join_components(frame(spark, texts)).orderBy("doc_id").collect()]
     assert got == want
     # Small blocks and a full table of frequent shingles change nothing.
-    for name, v in {"BLOCK": 3, "CLUSTER_BLOCK": 4, "HEAVY_FROM": 2, "LOCAL_FROM": 2, "WIDE_FROM": 100}.items():
+    for name, v in {"BLOCK": 3, "CLUSTER_BLOCK": 4, "HEAVY_FROM": 2, "LOCAL_FROM": 2}.items():
         monkeypatch.setattr(jaccard_join, name, v)
-    assert [tuple(r)[1:3] for r in jaccard_join.join_components(frame(spark, texts)).orderBy("doc_id").collect()] == want
+    got = jaccard_join.join_components(frame(spark, texts), rule=jaccard_join.Rule(wide_from=100), most_marked=0)
+    assert [tuple(r)[1:3] for r in got.orderBy("doc_id").collect()] == want
+    got = jaccard_join.join_components(frame(spark, texts), rule=jaccard_join.Rule(k=5, num=80))
+    assert [tuple(r)[1:3] for r in got.orderBy("doc_id").collect()] == plain_components(texts, 5, 80)
 
 
 def test_components_of_odd_rows(spark, odd):

@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
     assert len(seen["line_dedup"][n + 6]["text"]) < len(texts[n + 6]) and seen["line_dedup"][n + 5]["text"] == texts[n + 5]
     kept = seen["line_dedup"]
     ids = sorted(kept)
-    groups = plain_components([kept[i]["text"] for i in ids])
+    groups = plain_components([kept[i]["text"] for i in ids], 5, 80)
     assert set(seen["near_dedup"]) == {ids[c] for _, c in groups}
     assert set(seen["near_dedup"]) - set(seen["decontamination"]) == {n + 2}
     assert set(range(2, n)) <= set(seen["decontamination"])
