@@ -233,19 +233,20 @@ def in_blocks(batches: Iterator[pa.RecordBatch], names: list[str], others: list[
 
 
 def similar(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): a spanning forest, per run of prefix groups, of the pairs of classes that cannot be ruled out."""
+    """(a, b): per run of prefix groups, each class with the smallest that pairs which cannot be ruled out connect it to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts, sizes in in_blocks(batches, ["tok", "i", "j", "blk", "c", "n"], ["wide"], 20_000):
             ids, at = np.unique(cols["c"], return_inverse=True)
-            forest, a, b = Forest(len(ids)), [], []
+            forest = Forest(len(ids))
             for x, y in _pairs_of_groups(starts, sizes):
                 x, y, _ = possible(cols, x, y, rule)
                 for u, v in np.unique(np.stack([at[x], at[y]], axis=1), axis=0).tolist():
-                    if forest.join(u, v):
-                        a.append(ids[u])
-                        b.append(ids[v])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    forest.join(u, v)
+            # Stars around the smallest class: those of different tasks coincide, where trees of links would add up.
+            top = np.array([forest.find(u) for u in range(len(ids))], np.int64)
+            far = np.flatnonzero(top != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[top[far]]), pa.array(ids[far])], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
