@@ -12,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe.llm import decontamination, fingerprints, html_tree, jaccard_join, language, lines, mixing, repeats, secret_scan, tokens, warc
+from strandframe.llm.common import Scratch
+from strandframe.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in "bcdfgklmnprst" for b in ("a", "el", "in", "or", "u")]
@@ -334,6 +336,15 @@ def test_components_equal_plain_ones(spark, monkeypatch):
     assert [tuple(r)[1:3] for r in got.orderBy("doc_id").collect()] == plain_components(texts, 5, 80)
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(23)
+    ids = [rng.getrandbits(64) - (1 << 63) for _ in range(1500)]
+    chains = [ids[:700], ids[700:1400], sorted(ids[1400:])]
+    links = [(a, b) if rng.random() < 0.5 else (b, a) for c in chains for a, b in zip(c, c[1:], strict=False)]
+    got = components(Scratch(spark, "chains"), spark.createDataFrame([*links, *links[:50], (5, 5)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, min(c)) for c in chains for x in c)
+
+
 def test_components_of_odd_rows(spark, odd):
     got = jaccard_join.join_components(odd)
     assert got.count() == odd.count() and jaccard_join.join_components(odd.limit(0)).count() == 0
