@@ -8,7 +8,7 @@ holds frequent shingles; a pair must share as many as the smaller of its two val
 A prefix group holds the classes with one prefix shingle. In it, sizes and a signature of bucket sums rule out most pairs; the
 rest are joined into clusters, of which only a spanning forest leaves the task. All links lie inside clusters. A cluster's
 texts are brought together once, in blocks that meet pairwise if it is large; there pairs must share enough prefix shingles
-and are then verified on their whole sets, most promising first, and what is already connected is not compared again.
+and are then verified on their whole sets, every one. A block leaves one row per class: its number of links, and a star.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ INDEX_COST = 0.25
 MOST_MATCHES = 64
 #: Buckets of a signature, four bits each, and rows of a block of a large prefix group.
 BUCKETS, BLOCK, CLUSTER_BLOCK = 128, 1024, 512
+#: Elements of sets that are counted at once.
+MOST_AT_ONCE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -251,35 +253,63 @@ def similar(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def in_common(sets: dict[int, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements the sets of rows x and y have in common, pair by pair; no set is empty."""
+    rows = np.unique(np.r_[x, y])
+    parts = [sets[r] for r in rows.tolist()]
+    sizes = np.array([len(p) for p in parts])
+    if sizes.sum() > MOST_AT_ONCE and len(x) > 1:
+        half = len(x) // 2
+        return np.r_[in_common(sets, x[:half], y[:half]), in_common(sets, x[half:], y[half:])]
+    ids = np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.int32)
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    seen = np.zeros(ids.max() + 1, bool)
+    u, v = np.searchsorted(rows, x), np.searchsorted(rows, y)
+    out, order = np.empty(len(x), np.int64), np.argsort(u, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(u[order])) + 1):
+        seen[parts[u[at[0]]]] = True
+        ends = np.cumsum(sizes[v[at]])
+        for few in np.split(at, np.flatnonzero(np.diff(ends // MOST_AT_ONCE)) + 1):
+            held = seen[np.concatenate([parts[k] for k in v[few].tolist()])]
+            out[few] = np.add.reduceat(held, np.r_[0, np.cumsum(sizes[v[few]])[:-1]], dtype=np.int64)
+        seen[parts[u[at[0]]]] = False
+    return out
+
+
 def linked(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): a spanning forest, per block, of the links among the classes of a cluster."""
+    """(a, b, n) per block and class b that has links in it: how many, and the smallest class they connect it to in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts, sizes in in_blocks(batches, ["label", "i", "j", "blk", "c", "n", "l"], ["wide", "prefix", "text"], 1024):
             sets: dict[int, np.ndarray] = {}
-
-            def shingles(r: int) -> np.ndarray:
-                if r not in sets:
-                    sets[r] = shingle_set(words(cols["text"][r], lower=True)[0], rule.k)
-                return sets[r]
-
-            forest, a, b = Forest(len(cols["c"])), [], []
+            ids, at = np.unique(cols["c"], return_inverse=True)
+            # Rows of one key that repeat are in a block as often; the class counts once.
+            block = np.repeat(np.arange(len(starts)), sizes)
+            once = np.zeros(len(at), bool)
+            once[np.unique(block * len(ids) + at, return_index=True)[1]] = True
+            prefixes = dict(enumerate(cols["prefix"]))
+            forest, degree = Forest(len(ids)), np.zeros(len(at), np.int64)
             for x, y in _pairs_of_groups(starts, sizes):
-                x, y, d = possible(cols, x, y, rule)
-                for u, v in np.stack([x, y], axis=1)[np.argsort(d, kind="stable")].tolist():
-                    if forest.find(u) == forest.find(v):
-                        continue
-                    if len(np.intersect1d(cols["prefix"][u], cols["prefix"][v], assume_unique=True)) < min(cols["l"][u], cols["l"][v]):
-                        continue
-                    s, t = shingles(u), shingles(v)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if rule.linked(len(s), len(t), both):
-                        forest.join(u, v)
-                        a.append(cols["c"][u])
-                        b.append(cols["c"][v])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                keep = once[x] & once[y]
+                x, y, _ = possible(cols, x[keep], y[keep], rule)
+                if len(x):
+                    keep = in_common(prefixes, x, y) >= np.minimum(cols["l"][x], cols["l"][y])
+                    x, y = x[keep], y[keep]
+                if not len(x):
+                    continue
+                for r in np.unique(np.r_[x, y]).tolist():
+                    if r not in sets:
+                        sets[r] = shingle_set(words(cols["text"][r], lower=True)[0], rule.k)
+                keep = rule.linked(cols["n"][x], cols["n"][y], in_common(sets, x, y))
+                x, y = x[keep], y[keep]
+                degree += np.bincount(np.r_[x, y], minlength=len(degree))
+                for u, v in zip(at[x].tolist(), at[y].tolist(), strict=True):
+                    forest.join(u, v)
+            has = np.flatnonzero(degree)
+            top = np.array([forest.find(u) for u in at[has].tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(cols["c"][has]), pa.array(degree[has])], ["a", "b", "n"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, n long")
 
 
 def paired(rows: DataFrame, by: str, size: str, block: int) -> DataFrame:
@@ -291,12 +321,11 @@ def paired(rows: DataFrame, by: str, size: str, block: int) -> DataFrame:
 
 
 def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rule: Rule = Rule(), most_marked: int = MOST_MARKED) -> DataFrame:
-    """(key, n_shingles, component_id, class_id, n_links): set size, smallest key reachable over links, class of equal sets, links of the class that were followed.
+    """(key, n_shingles, component_id, class_id, n_links): set size, smallest key reachable over links, class of equal sets, number of other classes that link to it.
 
     Texts are lower-cased (A-Z). A null text, or one without words, has no shingles and links with nothing, not even its
     like; its class is null. A text of fewer than k words is one shingle. Rows that repeat share a class. A null key takes
-    part, but names a component only if nothing else does. An empty table gives an empty one. Links inside a component that
-    others already imply are not listed: n_links counts those that joined components.
+    part, but names a component only if nothing else does. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     known = heavy_shingles(docs, text, rule.k).orderBy(F.desc("n"), "h").limit(HEAVY).toArrow()
@@ -330,11 +359,11 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     links = scratch.put(linked(paired(_of_class(texts, rule.k), "label", "size", CLUSTER_BLOCK), rule))
     scratch.sweep()
     labels = components(scratch, links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.groupBy(F.col("b").alias("of")).agg(F.sum("n").alias("n_links"))
 
     names = classes.select("c", "first_id").join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
     named = names.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    per_class = names.join(named, "label").join(degree, "node", "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_class = names.join(named, "label").join(degree, F.col("c") == F.col("of"), "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = drawn.select("id", "n", F.col("c").alias("of")).join(per_class, F.col("of") == F.col("c"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

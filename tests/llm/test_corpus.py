@@ -336,6 +336,28 @@ def test_components_equal_plain_ones(spark, monkeypatch):
     assert [tuple(r)[1:3] for r in got.orderBy("doc_id").collect()] == plain_components(texts, 5, 80)
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    rng = random.Random(29)
+    base = split(prose(rng, 120))
+    texts = [" ".join([*base[:i], f"zz{i}", *base[i + 1 :]]) for i in range(0, 120, 3)]
+    texts += [" ".join([*base, *split(prose(rng, n))]) for n in range(2, 30, 3)] + [texts[0].upper()] + [prose(rng, 50) for _ in range(5)]
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in (split(lowered(t)) for t in texts)]
+    kinds = set(sets)
+    want = [sum(s != t and 100 * len(s & t) >= 90 * len(s | t) for t in kinds) for s in sets]
+    assert max(want) > 30
+    docs = frame(spark, texts)
+    docs = docs.unionByName(docs.filter("doc_id < 3"))
+    for block in (512, 7):
+        monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", block)
+        got = {(r["doc_id"], r["n_links"]) for r in jaccard_join.join_components(docs).collect()}
+        assert got == set(enumerate(want))
+    parts = {i: np.unique(np.array([hash(g) for g in s], np.int64)) for i, s in enumerate(sets)}
+    x, y = np.triu_indices(len(parts), 1)
+    for most in (1 << 22, 3000, 100, 1):
+        monkeypatch.setattr(jaccard_join, "MOST_AT_ONCE", most)
+        assert jaccard_join.in_common(parts, x, y).tolist() == [len(sets[i] & sets[j]) for i, j in zip(x, y, strict=True)]
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(23)
     ids = [rng.getrandbits(64) - (1 << 63) for _ in range(1500)]
