@@ -73,6 +73,23 @@ def _(s, d):
     return am.haplotype_likelihood(haps, am.haplotype_profile(haps, _groups(s, d))).withColumn("loglk", F.round("loglk", 2))
 
 
+#: The same over every called position of a region; MOD06_haplotype_model keeps three of fifty, as its SQL does.
+_ALL_HAPS = _HAPS.replace(" AND pos % 50 < 3", "")
+
+
+def _all_haps(s, d):
+    from ..operators.calls import ordered
+
+    v = view(s, d, "variants").select("pos", F.col("chrom").alias("region"))
+    return ordered(view(s, d, "geno").filter("nalt >= 0").join(v, "pos"), ["sample_id", "region"], "pos", F.col("nalt").cast("string"), "hap")
+
+
+@query("MOD06_haplotype_model_all", with_("geno samples variants", f"{_ALL_HAPS} SELECT sample_id, p.grp, round(sum(logp), 2) AS loglk FROM h JOIN p USING (region, hap) GROUP BY sample_id, p.grp"))
+def _(s, d):
+    haps = _all_haps(s, d)
+    return am.haplotype_likelihood(haps, am.haplotype_profile(haps, _groups(s, d))).withColumn("loglk", F.round("loglk", 2))
+
+
 def _positions(s, d) -> list[int]:
     return [r[0] for r in view(s, d, "variants").select("pos").orderBy("pos").collect()]
 

@@ -44,6 +44,13 @@ def test_query(spark, db, name):
         assert got == sorted((tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
 
 
+def test_haplotypes_of_all_called_positions(spark, db):
+    from strandframe.plans import bridge, model_queries
+
+    called = db.execute(bridge.with_("geno", "SELECT count(*) FROM geno WHERE nalt >= 0")).fetchone()[0]
+    assert "%" not in model_queries._ALL_HAPS and sum(len(r["hap"]) for r in model_queries._all_haps(spark, DATA).collect()) == called
+
+
 def test_commands(spark, tmp_path):
     f = tmp_path / "a.fasta"
     f.write_text(">x 1999\nACGTNN\n>y\nACG\n>x\nTT\n")
