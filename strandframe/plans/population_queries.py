@@ -88,6 +88,14 @@ def _(s, d):
     return pg.ld(view(s, d, "geno"), max_distance=10).withColumn("r2", F.round("r2", 6))
 
 
+#: All pairs of positions; POP03_ld stays within ten, as its SQL does.
+@query("POP03_ld_all", with_("geno", """WITH s AS (SELECT x.pos AS p, y.pos AS q, count(*)::DOUBLE AS n, sum(x.nalt)::DOUBLE AS sx, sum(y.nalt)::DOUBLE AS sy, sum(x.nalt * y.nalt)::DOUBLE AS sxy, sum(x.nalt * x.nalt)::DOUBLE AS sxx, sum(y.nalt * y.nalt)::DOUBLE AS syy
+  FROM geno x JOIN geno y ON x.sample_id = y.sample_id AND x.pos < y.pos WHERE x.nalt >= 0 AND y.nalt >= 0 GROUP BY 1, 2)
+  SELECT p, q, round((n * sxy - sx * sy) * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0), 6) AS r2 FROM s"""))
+def _(s, d):
+    return pg.ld(view(s, d, "geno")).withColumn("r2", F.round("r2", 6))
+
+
 @query("POP04_ld_pruning")
 def _(s, d):
     from ..operators.qc import allele_counts

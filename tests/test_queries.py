@@ -51,6 +51,15 @@ def test_haplotypes_of_all_called_positions(spark, db):
     assert "%" not in model_queries._ALL_HAPS and sum(len(r["hap"]) for r in model_queries._all_haps(spark, DATA).collect()) == called
 
 
+def test_linkage_of_all_positions(spark, db):
+    from strandframe.plans import bridge
+
+    both = "FROM geno x JOIN geno y ON x.sample_id = y.sample_id AND x.pos < y.pos WHERE x.nalt >= 0 AND y.nalt >= 0"
+    n, far = db.execute(bridge.with_("geno", f"SELECT count(DISTINCT (x.pos, y.pos)), max(y.pos - x.pos) {both}")).fetchone()
+    got = registry.queries()["POP03_ld_all"](spark, DATA).selectExpr("count(*)", "max(q - p)").first()
+    assert tuple(got) == (n, far) and far > 10
+
+
 def test_commands(spark, tmp_path):
     f = tmp_path / "a.fasta"
     f.write_text(">x 1999\nACGTNN\n>y\nACG\n>x\nTT\n")
