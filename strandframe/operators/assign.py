@@ -55,7 +55,7 @@ def select_snps(geno: DataFrame, *, keep: list[int] | None = None, random: int |
     if keep is not None:
         return geno.filter(F.col("pos").isin(keep))
     if random is not None:
-        some = geno.select("pos").distinct().orderBy(F.xxhash64(F.lit(seed), "pos"), "pos").limit(random)
+        some = geno.select("pos").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), "pos")), "pos").limit(random)
         return geno.join(some, "pos", "left_semi")
     return geno
 
@@ -121,16 +121,17 @@ def classify(geno: DataFrame, groups: DataFrame, *, positions: list[int], model:
 
 
 def refine(geno: DataFrame, groups: DataFrame, counts: DataFrame, tree: list, *, target: float = 0.75, max_iter: int = 10) -> DataFrame:
-    """(pos) chosen by FST, taking more per node until the least MCC of a group reaches the target, max_iter times at most."""
-    chosen = None
+    """(pos, reached) chosen by FST, taking one more per node until the least MCC of a group reaches the target, max_iter times at most; reached tells whether it did."""
+    chosen, reached = None, False
     for k in range(1, max_iter + 1):
         chosen = hierarchical_fst(counts, tree, k=k).select("pos").distinct()
         g = geno.join(chosen, "pos", "left_semi")
         pred = predict(likelihood(g, fit(g, groups))).join(groups, "sample_id")
         least = scores(pred.select(F.col("grp").alias("truth"), "pred")).agg(F.min("mcc")).first()[0]
-        if least is not None and least >= target:
+        reached = least is not None and least >= target
+        if reached:
             break
-    return chosen
+    return chosen.withColumn("reached", F.lit(reached))
 
 
 def scores(pairs: DataFrame, *, by: list[str] | None = None) -> DataFrame:
@@ -173,7 +174,7 @@ def folds(groups: DataFrame, *, k: int, repeats: int, seed: int = 1) -> DataFram
     size = groups.groupBy("grp").agg(F.count("*").alias("m"))
     more = groups.join(size, "grp").withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("m") < 2 * k, F.ceil(2 * k / F.col("m"))).otherwise(0).cast("int"))))
     each = more.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy("repeat", "grp").orderBy(F.xxhash64(F.lit(seed), "repeat", "sample_id", "copy"), "sample_id", "copy")
+    w = Window.partitionBy("repeat", "grp").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "repeat", "sample_id", "copy")), "sample_id", "copy")
     return each.withColumn("fold", (F.row_number().over(w) % k).cast("int")).select("repeat", "fold", "sample_id", "grp", "copy")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from .sequence import columns_of
 
 BLOCK = 256
@@ -126,33 +129,71 @@ def fst_of(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(between == 0, -1.0).otherwise((between - within) / between)
 
 
-def ld(geno: DataFrame, *, max_distance: int | None = None, group: str | None = None) -> DataFrame:
-    """(p, q, r2) of positions p < q: squared correlation of dosages over samples called at both, joined by sample (and within group, if given); null where one does not vary."""
-    g = geno.filter("nalt >= 0")
-    key = ["sample_id", *([group] if group else [])]
-    a = g.select(*key, F.col("pos").alias("p"), F.col("nalt").cast("double").alias("x"))
-    b = g.select(*key, F.col("pos").alias("q"), F.col("nalt").cast("double").alias("y"))
-    near = (F.col("p") < F.col("q")) & (F.lit(True) if max_distance is None else F.col("q") - F.col("p") <= max_distance)
-    x, y, n = F.col("x"), F.col("y"), F.count("*")
-    both = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-    own = (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))
-    return a.join(b, key).filter(near).groupBy("p", "q").agg(F.try_divide(both * both, own).alias("r2"))
+def ld(geno: DataFrame, *, max_distance: int | None = None, group: str | None = None, size: int = BLOCK) -> DataFrame:
+    """(p, q, r2) of positions p < q (of one group, if given): squared correlation of dosages over samples called at both; null where one does not vary.
 
+    Positions are cut into blocks that meet pairwise, or, with max_distance, into bins as wide as it that meet their
+    neighbours; the sums over samples are products of matrices, and no two cells are joined.
+    """
+    g = geno.filter("nalt >= 0").withColumn("g", F.col(group).cast("string") if group else F.lit(""))
+    rows = g.groupBy("g", "pos").agg(F.collect_list(F.struct(F.col("sample_id").cast("long").alias("s"), F.col("nalt").cast("double").alias("x"))).alias("row"))
+    if max_distance is None:
+        n = rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+        blocks = max(1, -(-n // size))
+        own = rows.withColumn("b", F.pmod(F.xxhash64("pos"), F.lit(blocks)).cast("long")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        laid = own.withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")}).drop("o")
+    else:
+        own = rows.withColumn("b", F.floor(F.col("pos") / max(1, max_distance)))
+        laid = own.withColumn("bi", F.explode(F.array("b", F.col("b") + 1))).withColumn("bj", F.lit(None).cast("long"))
 
-def prune(geno: DataFrame, scores: DataFrame, *, r2: float = 0.5, group: str = "chrom") -> DataFrame:
-    """(group, pos) kept by greedy pruning: best score first (ties by position), dropping what correlates with a kept one at r2 or more. One chromosome is one task; its matrix of samples by positions must fit."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="sample_id", columns="pos", values="nalt")
-        order = pdf.drop_duplicates("pos").sort_values(["score", "pos"], ascending=[False, True])["pos"]
-        kept: list = []
-        for p in order:
-            if all(not (m[p].corr(m[q]) ** 2 >= r2) for q in kept):
-                kept.append(p)
-        return pd.DataFrame({group: pdf[group].iloc[0], "pos": kept})
-
-    joined = geno.filter("nalt >= 0").join(scores.select("pos", "score", group), "pos")
-    return joined.select(group, "pos", "sample_id", "nalt", "score").groupBy(group).applyInPandas(run, f"{group} string, pos long")
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pos, b, first, last = pdf["pos"].to_numpy(), pdf["b"].to_numpy(), pdf["bi"].iloc[0], pdf["bj"].iloc[0]
+        k = np.repeat(np.arange(len(pos)), [len(r) for r in pdf["row"]])
+        who = np.unique([c["s"] for r in pdf["row"] for c in r], return_inverse=True)[1]
+        x, m = np.zeros((len(pos), who.max() + 1)), np.zeros((len(pos), who.max() + 1))
+        x[k, who] = [c["x"] for r in pdf["row"] for c in r]
+        m[k, who] = 1
+        i, j = np.triu_indices(len(pos), 1)
+        if max_distance is not None:
+            keep = ((b[i] == first) | (b[j] == first)) & (pos[j] - pos[i] <= max_distance)
+        else:
+            keep = (b[i] != b[j]) | (first == last)
+        i, j = i[keep], j[keep]
+        n, sx, sy, sxy, sxx, syy = ((u @ v.T)[i, j] for u, v in ((m, m), (x, m), (m, x), (x, x), (x * x, m), (m, x * x)))
+        own = (n * sxx - sx * sx) * (n * syy - sy * sy)
+        met = n > 0
+        r2 = np.divide((n * sxy - sx * sy) ** 2, own, out=np.full(len(own), np.nan), where=own != 0)
+        return pd.DataFrame({"p": pos[i][met], "q": pos[j][met], "r2": r2[met]})
+
+    out = laid.groupBy("g", "bi", "bj").applyInPandas(count, "p long, q long, r2 double")
+    return out.withColumn("r2", F.nanvl("r2", F.lit(None).cast("double")))
+
+
+def prune(geno: DataFrame, scores: DataFrame, *, r2: float = 0.5, group: str = "chrom", max_distance: int | None = None) -> DataFrame:
+    """(group, pos) kept by greedy pruning: best score first (ties by position), dropping what correlates with a kept one at r2 or more.
+
+    What greedy pruning keeps is found in rounds over the pairs that correlate: a position stays once no better neighbour is
+    undecided or kept, and its neighbours go. All chromosomes and all parts of them move on at once; rounds are as many as
+    the longest chain of neighbours of falling score, and the loop ends when none is undecided.
+    """
+    scratch = Scratch(geno.sparkSession, "prune")
+    nodes = geno.filter("nalt >= 0").select("pos").distinct().join(scores.select("pos", "score", group), "pos")
+    nodes = scratch.put(nodes)
+    near = ld(geno.join(scores.select("pos", group), "pos"), group=group, max_distance=max_distance).filter(F.col("r2") >= r2)
+    both = near.select("p", "q").unionByName(near.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    rank = lambda n, x: nodes.select(F.col("pos").alias(n), F.struct(-F.col("score"), F.col("pos")).alias(x))
+    edges = scratch.put(both.join(rank("p", "rp"), "p").join(rank("q", "rq"), "q").select("p", "q", (F.col("rq") < F.col("rp")).alias("better")))
+    left, kept = nodes.select("pos"), []
+    while left.limit(1).count():
+        blocked = edges.filter("better").select(F.col("p").alias("pos")).distinct()
+        stay = scratch.put(left.join(blocked, "pos", "left_anti"))
+        gone = edges.join(stay.select(F.col("pos").alias("q")), "q", "left_semi").select(F.col("p").alias("pos")).distinct()
+        left = scratch.put(left.join(stay, "pos", "left_anti").join(gone, "pos", "left_anti"))
+        edges = scratch.put(edges.join(left.select(F.col("pos").alias("p")), "p", "left_semi").join(left.select(F.col("pos").alias("q")), "q", "left_semi"))
+        kept.append(stay)
+    out = nodes.select(group, "pos")
+    return out.join(functools.reduce(DataFrame.unionByName, kept), "pos", "left_semi") if kept else out
 
 
 def pca(df: DataFrame, column: str, k: int, *, scale: bool = False) -> tuple[DataFrame, list[float]]:
@@ -166,16 +207,35 @@ def pca(df: DataFrame, column: str, k: int, *, scale: bool = False) -> tuple[Dat
     return model.transform(scaled).withColumn("pc", vector_to_array("__p")).drop("__v", "__s", "__p"), list(model.explainedVariance)
 
 
-def jitter(df: DataFrame, columns: list[str], *, scale: float = 0.01, seed: int = 1) -> DataFrame:
-    """Adds seeded Gaussian noise, scaled by each column's range."""
+def jitter(df: DataFrame, columns: list[str], *, key: str, scale: float = 0.01, seed: int = 1) -> DataFrame:
+    """Adds Gaussian noise, scaled by each column's range, from a seeded hash of the key: reruns give the same, whatever the partitions."""
     spread = df.agg(*[(F.max(c) - F.min(c)).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.col(c) + F.randn(seed + i) * (scale * (spread[c] or 0)) for i, c in enumerate(columns)})
+
+    def even(c: str, k: int) -> Column:
+        return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(c), key)), 8 * k + 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+    normal = lambda c: F.sqrt(-2 * F.ln(even(c, 0))) * F.cos(2 * math.pi * even(c, 1))
+    return df.withColumns({c: F.col(c) + normal(c) * (scale * (spread[c] or 0)) for c in columns})
 
 
 def patristic(tree: DataFrame) -> DataFrame:
-    """(i, j, d) of the leaves of a tree (leaf, ancestor, dist): the shortest way over a common ancestor."""
-    a = tree.select(F.col("leaf").alias("i"), "ancestor", F.col("dist").alias("x"))
-    b = tree.select(F.col("leaf").alias("j"), "ancestor", F.col("dist").alias("y"))
-    return a.join(b, "ancestor").filter("i < j").groupBy("i", "j").agg(F.min(F.col("x") + F.col("y")).alias("d"))
+    """(i, j, d) of the leaves of a tree (leaf, ancestor, dist): the shortest way over a common ancestor. Leaves are cut into blocks that meet pairwise."""
+    rows = tree.groupBy(F.col("leaf").alias("id")).agg(F.collect_list(F.struct(F.col("ancestor").cast("string").alias("a"), F.col("dist").cast("double").alias("x"))).alias("row"))
 
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, b = pdf["id"].to_numpy(), pdf["b"].to_numpy()
+        k = np.repeat(np.arange(len(ids)), [len(r) for r in pdf["row"]])
+        over = np.unique([c["a"] for r in pdf["row"] for c in r], return_inverse=True)[1]
+        far = np.array([c["x"] for r in pdf["row"] for c in r])
+        d = np.full((len(ids), len(ids)), np.inf)
+        for a in range(over.max() + 1):
+            at = np.flatnonzero(over == a)
+            box = np.ix_(k[at], k[at])
+            d[box] = np.minimum(d[box], far[at][:, None] + far[at][None, :])
+        i, j = np.triu_indices(len(ids), 1)
+        keep = ((b[i] != b[j]) | (pdf["bi"].iloc[0] == pdf["bj"].iloc[0])) & np.isfinite(d[i, j])
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"i": np.minimum(ids[i], ids[j]), "j": np.maximum(ids[i], ids[j]), "d": d[i, j]})
 
+    kind = tree.schema["leaf"].dataType.simpleString()
+    return _blocks(rows, BLOCK).groupBy("bi", "bj").applyInPandas(count, f"i {kind}, j {kind}, d double")

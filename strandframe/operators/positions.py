@@ -103,12 +103,16 @@ def chrom_runs(df: DataFrame) -> DataFrame:
 
 
 def sliding_windows(df: DataFrame, *, size: int, min_snp: int = 3) -> DataFrame:
-    """(chrom, first, last, n): from each position as far as size reaches; kept where the right edge moves on and min_snp positions are in it. Chromosomes are apart, so each is a group of its own."""
-    ahead = Window.partitionBy("chrom").orderBy("pos").rangeBetween(0, size)
-    before = Window.partitionBy("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    w = df.select("chrom", F.col("pos").alias("first"), "pos", F.max("pos").over(ahead).alias("last"), F.count("*").over(ahead).alias("n"))
-    edge = F.max(F.when(F.col("n") >= min_snp, F.col("last"))).over(before)
-    return w.withColumn("edge", edge).filter((F.col("n") >= min_snp) & (F.col("edge").isNull() | (F.col("last") > F.col("edge")))).select("chrom", "first", "last", "n")
+    """(chrom, first, last, n): from each position as far as size reaches; kept where the right edge moves on and min_snp positions are in it.
+
+    Positions are laid into bins as wide as the window, each with the next one beside it, so no task orders a chromosome.
+    Right edges never move back, so of the windows with one right edge the first is the one that moved it on.
+    """
+    own = F.floor(F.col("pos") / max(1, size))
+    laid = df.select("chrom", "pos").withColumn("own", own).withColumn("bin", F.explode(F.array("own", F.col("own") - 1)))
+    ahead = Window.partitionBy("chrom", "bin").orderBy("pos").rangeBetween(0, size)
+    w = laid.withColumns({"last": F.max("pos").over(ahead), "n": F.count("*").over(ahead)}).filter((F.col("own") == F.col("bin")) & (F.col("n") >= min_snp))
+    return w.groupBy("chrom", "last").agg(F.min("pos").alias("first"), F.min_by("n", "pos").alias("n")).select("chrom", "first", "last", "n")
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, *, bin_size: int = 64) -> DataFrame:

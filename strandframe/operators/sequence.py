@@ -152,13 +152,17 @@ def haplotype_clusters(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def sequence_type(df: DataFrame) -> DataFrame:
-    """DNA, RNA or PROTEIN by majority of the first and last sequences by ord: more than half of the letters are bases of the kind."""
-    n = df.agg(F.count("*").alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"))
-    mid = df.join(n, (F.col("ord") == F.col("lo")) | (F.col("ord") == F.col("hi")))
-    letters = F.length(F.regexp_replace("seq", "[^A-Za-z]", ""))
-    dna = F.try_divide(F.length(F.regexp_replace("seq", "[^ACGTNacgtn]", "")), letters)
-    rna = F.try_divide(F.length(F.regexp_replace("seq", "[^ACGUNacgun]", "")), letters)
-    return mid.agg(F.when(F.avg(dna) > 0.5, "DNA").when(F.avg(rna) > 0.5, "RNA").otherwise("PROTEIN").alias("seqtype"))
+    """DNA, RNA or PROTEIN by the first, the last and the middle sequence by ord (of n the one after n // 2 others).
+
+    The shares of acgt and of acgu among the symbols that are no gaps (- and ~) are averaged over the three. If one of the
+    means is above a half, the larger one decides, and RNA is meant where they are equal. No sequences count as DNA.
+    """
+    n = df.agg(F.count("*").alias("__n"))
+    places = F.array(F.lit(1).cast("long"), F.col("__n"), F.floor(F.col("__n") / 2) + 1)
+    picked = numbered(df.select("ord", "seq"), "ord").join(n.select(F.explode(places).alias("number")), "number")
+    of = lambda letters: F.coalesce(F.try_divide(F.length(F.regexp_replace("seq", f"[^{letters}{letters.upper()}]", "")), F.length(F.regexp_replace("seq", "[-~]", ""))), F.lit(0.0))
+    dna, rna = F.avg(of("acgt")), F.avg(of("acgu"))
+    return picked.agg(F.when(F.coalesce(F.greatest(dna, rna), F.lit(0.0)) <= 0.5, F.when(F.count("*") == 0, "DNA").otherwise("PROTEIN")).when(dna > rna, "DNA").otherwise("RNA").alias("seqtype"))
 
 
 def lengths(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -63,4 +63,6 @@ def with_(views: str, sql: str) -> str:
     for v in views.split():
         put(v)
     more = sql.strip()
+    if more.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(parts)}, {more[15:]}"
     return f"WITH {', '.join(parts)}" + (f", {more[5:]}" if more.upper().startswith("WITH ") else f" {more}")

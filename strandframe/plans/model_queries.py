@@ -59,7 +59,7 @@ def _(s, d):
     return pq._counts(s, d)
 
 
-_HAPS = """WITH h AS (SELECT sample_id, chrom AS region, string_agg(nalt, '' ORDER BY pos) AS hap FROM geno JOIN variants USING (pos) WHERE nalt >= 0 AND pos % 50 < 3 GROUP BY sample_id, chrom), g AS (SELECT h.*, pop AS grp FROM h JOIN samples USING (sample_id)),
+_HAPS = """WITH h AS (SELECT sample_id, chrom AS region, string_agg(nalt, '' ORDER BY pos) AS hap FROM geno JOIN variants USING (pos) WHERE nalt >= 0 GROUP BY sample_id, chrom), g AS (SELECT h.*, pop AS grp FROM h JOIN samples USING (sample_id)),
   kinds AS (SELECT DISTINCT region, hap FROM g), m AS (SELECT region, count(*) AS m FROM kinds GROUP BY region), own AS (SELECT region, grp, count(*) AS n FROM g GROUP BY region, grp),
   p AS (SELECT own.region, own.grp, kinds.hap, ln((coalesce(k, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * m)) AS logp FROM own JOIN kinds USING (region) JOIN m USING (region) LEFT JOIN (SELECT region, grp, hap, count(*) AS k FROM g GROUP BY ALL) s ON s.region = own.region AND s.grp = own.grp AND s.hap = kinds.hap)"""
 
@@ -69,24 +69,7 @@ def _(s, d):
     from ..operators.calls import ordered
 
     v = view(s, d, "variants").select("pos", F.col("chrom").alias("region"))
-    haps = ordered(view(s, d, "geno").filter("nalt >= 0 AND pos % 50 < 3").join(v, "pos"), ["sample_id", "region"], "pos", F.col("nalt").cast("string"), "hap")
-    return am.haplotype_likelihood(haps, am.haplotype_profile(haps, _groups(s, d))).withColumn("loglk", F.round("loglk", 2))
-
-
-#: The same over every called position of a region; MOD06_haplotype_model keeps three of fifty, as its SQL does.
-_ALL_HAPS = _HAPS.replace(" AND pos % 50 < 3", "")
-
-
-def _all_haps(s, d):
-    from ..operators.calls import ordered
-
-    v = view(s, d, "variants").select("pos", F.col("chrom").alias("region"))
-    return ordered(view(s, d, "geno").filter("nalt >= 0").join(v, "pos"), ["sample_id", "region"], "pos", F.col("nalt").cast("string"), "hap")
-
-
-@query("MOD06_haplotype_model_all", with_("geno samples variants", f"{_ALL_HAPS} SELECT sample_id, p.grp, round(sum(logp), 2) AS loglk FROM h JOIN p USING (region, hap) GROUP BY sample_id, p.grp"))
-def _(s, d):
-    haps = _all_haps(s, d)
+    haps = ordered(view(s, d, "geno").filter("nalt >= 0").join(v, "pos"), ["sample_id", "region"], "pos", F.col("nalt").cast("string"), "hap")
     return am.haplotype_likelihood(haps, am.haplotype_profile(haps, _groups(s, d))).withColumn("loglk", F.round("loglk", 2))
 
 
@@ -99,7 +82,12 @@ def _(s, d):
     return am.classify(view(s, d, "geno"), _groups(s, d), positions=_positions(s, d))
 
 
-@query("MOD07_naive_bayes")
+@query("MOD07_naive_bayes", with_(GS, """WITH x AS (SELECT sample_id, pop AS grp, pos, nalt FROM geno JOIN samples USING (sample_id) WHERE nalt >= 0), d AS (SELECT DISTINCT sample_id, grp FROM x), g AS (SELECT grp, count(*) AS n FROM d GROUP BY grp),
+  every AS (SELECT DISTINCT pos FROM geno), size AS (SELECT grp, sum(nalt) AS total FROM x GROUP BY grp), cell AS (SELECT grp, pos, sum(nalt) AS k FROM x GROUP BY grp, pos),
+  theta AS (SELECT g.grp, e.pos, ln(coalesce(k, 0) + 1.0) - ln(total + CAST((SELECT count(*) FROM every) AS DOUBLE)) AS t FROM g CROSS JOIN every e JOIN size USING (grp) LEFT JOIN cell ON cell.grp = g.grp AND cell.pos = e.pos),
+  lk AS (SELECT sample_id, theta.grp, sum(nalt * t) AS l FROM x JOIN theta USING (pos) GROUP BY sample_id, theta.grp),
+  best AS (SELECT sample_id, lk.grp, row_number() OVER (PARTITION BY sample_id ORDER BY l + ln(n + 1.0) DESC, lk.grp) AS k FROM lk JOIN g USING (grp))
+  SELECT sample_id, grp AS pred FROM best WHERE k = 1"""))
 def _(s, d):
     return am.classify(view(s, d, "geno"), _groups(s, d), positions=_positions(s, d), model="multinomial")
 
@@ -109,7 +97,7 @@ def _(s, d):
     return am.select_snps(view(s, d, "geno"), keep=[3, 5, 8, 13, 21, 34, 55, 89, 144])
 
 
-@query("SEL01_random_snps")
+@query("SEL01_random_snps", with_("geno", "SELECT sample_id, pos, nalt FROM geno WHERE pos IN (SELECT pos FROM (SELECT DISTINCT pos FROM geno) ORDER BY md5('1:' || pos), pos LIMIT 20)"))
 def _(s, d):
     return am.select_snps(view(s, d, "geno"), random=20)
 
@@ -144,7 +132,25 @@ def _(s, d):
     return am.top_groups(_lk(s, d), 2).select("sample_id", "grp")
 
 
-@query("SEL05_refined_snps")
+_MCC = "min(round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / CASE WHEN r = 0 THEN 1e-5 ELSE r END, 6))"
+
+
+def _least_mcc(pairs: str, by: str) -> str:
+    """CTE least: the least MCC of a group in each part of pairs (by, truth, pred)."""
+    return f"""labels_ AS (SELECT DISTINCT {by}, truth AS grp FROM {pairs} UNION SELECT DISTINCT {by}, pred FROM {pairs}),
+  cells_ AS (SELECT p.{by}, grp, CAST(count(*) FILTER (WHERE truth = grp AND pred = grp) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE truth <> grp AND pred <> grp) AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE truth <> grp AND pred = grp) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE truth = grp AND pred <> grp) AS DOUBLE) AS fn FROM {pairs} p JOIN labels_ l ON l.{by} = p.{by} GROUP BY p.{by}, grp),
+  least AS (SELECT {by}, {_MCC} AS least FROM (SELECT *, sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) AS r FROM cells_) GROUP BY {by})"""
+
+
+_REFINED = f"""{_FST}, top_ AS (SELECT pos, row_number() OVER (PARTITION BY node ORDER BY fst DESC, pos) AS rank FROM f), ch AS (SELECT DISTINCT k, pos FROM top_, range(1, 4) ks(k) WHERE rank <= k),
+  own AS (SELECT grp, pos, n0 + 0.1::DOUBLE AS r, n1 + 0.1::DOUBLE AS a FROM c),
+  lk AS (SELECT k, sample_id, grp, round(sum((2 - nalt) * ln(r / (r + a)) + nalt * ln(a / (r + a))), 6) AS loglk FROM geno JOIN ch USING (pos) JOIN own USING (pos) WHERE nalt >= 0 GROUP BY k, sample_id, grp),
+  pr AS (SELECT k, pop AS truth, grp AS pred FROM (SELECT *, row_number() OVER (PARTITION BY k, sample_id ORDER BY loglk DESC, grp) AS j FROM lk) JOIN samples USING (sample_id) WHERE j = 1),
+  {_least_mcc('pr', 'k')}, won AS (SELECT coalesce(min(k) FILTER (WHERE least >= 0.75), 3) AS k, bool_or(least >= 0.75) AS reached FROM least)
+  SELECT pos, reached FROM ch JOIN won USING (k)"""
+
+
+@query("SEL05_refined_snps", with_(GS, _REFINED))
 def _(s, d):
     return am.refine(view(s, d, "geno"), _groups(s, d), pq._counts(s, d), TREE, max_iter=3)
 
@@ -184,13 +190,22 @@ def _cv(s, d):
     return am.cross_validate(view(s, d, "geno"), _groups(s, d))
 
 
-@query("EVA03_best_iteration")
+_CV = """WITH sized AS (SELECT sample_id, pop AS grp, count(*) OVER (PARTITION BY pop) AS m FROM samples), copies AS (SELECT sample_id, grp, unnest(range(0, CASE WHEN m < 6 THEN CAST(ceil(6.0 / m) AS BIGINT) + 1 ELSE 1 END)) AS copy FROM sized),
+  fold_ AS (SELECT repeat, sample_id, grp, copy, row_number() OVER (PARTITION BY repeat, grp ORDER BY md5('1:' || repeat || ':' || sample_id || ':' || copy), sample_id, copy) % 3 AS fold FROM copies, range(0, 2) r(repeat)),
+  train AS (SELECT repeat, o AS fold, sample_id, grp FROM fold_, range(0, 3) t(o) WHERE o <> fold),
+  prof AS (SELECT repeat, fold, grp, pos, sum(2 - nalt) + 0.1::DOUBLE AS r, sum(nalt) + 0.1::DOUBLE AS a FROM geno JOIN train USING (sample_id) WHERE nalt >= 0 GROUP BY repeat, fold, grp, pos),
+  lk AS (SELECT t.repeat, t.fold, t.sample_id, p.grp, round(sum((2 - nalt) * ln(r / (r + a)) + nalt * ln(a / (r + a))), 6) AS loglk FROM (SELECT DISTINCT repeat, fold, sample_id FROM fold_) t JOIN geno USING (sample_id) JOIN prof p ON p.repeat = t.repeat AND p.fold = t.fold AND p.pos = geno.pos WHERE nalt >= 0 GROUP BY ALL),
+  best AS (SELECT repeat, fold, sample_id, grp AS pred FROM (SELECT *, row_number() OVER (PARTITION BY repeat, fold, sample_id ORDER BY loglk DESC, grp) AS k FROM lk) WHERE k = 1),
+  cv AS (SELECT CAST(repeat AS INT) AS repeat, CAST(fold AS INT) AS fold, sample_id, CAST(copy AS INT) AS copy, grp, pred FROM fold_ JOIN best USING (repeat, fold, sample_id))"""
+
+
+@query("EVA03_best_iteration", with_(GS, f"{_CV}, it AS (SELECT repeat AS iteration, grp AS truth, pred FROM cv), {_least_mcc('it', 'iteration')} SELECT iteration FROM least ORDER BY least DESC, iteration LIMIT 1"))
 def _(s, d):
     t = am.scores(_cv(s, d).select(F.col("repeat").alias("iteration"), F.col("grp").alias("truth"), "pred"), by=["iteration"])
     return am.best_iteration(t)
 
 
-@query("EVA04_cross_validation")
+@query("EVA04_cross_validation", with_(GS, f"{_CV} SELECT * FROM cv"))
 def _(s, d):
     return _cv(s, d)
 
@@ -206,6 +221,7 @@ def _(s, d):
     return am.scan_segments(g, _groups(s, d), segments).select("segment", "grp", "tp", "fp")
 
 
-@query("EVA07_predictions")
+@query("EVA07_predictions", with_(GS, f"{_CV} SELECT sample_id, string_agg(repeat || ':' || fold || ':' || copy || ':' || pred, ',' ORDER BY repeat, fold, copy, pred) AS predictions FROM cv GROUP BY sample_id"))
 def _(s, d):
-    return _cv(s, d).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("repeat", "fold", "copy", "pred"))).alias("predictions"))
+    each = F.array_sort(F.collect_list(F.struct("repeat", "fold", "copy", "pred")))
+    return _cv(s, d).groupBy("sample_id").agg(F.array_join(F.transform(each, lambda x: F.concat_ws(":", x["repeat"], x["fold"], x["copy"], x["pred"])), ",").alias("predictions"))

@@ -81,22 +81,28 @@ def _(s, d):
     return pg.hudson_fst(_counts(s, d), "ASIA", ["EUROPE", "AFRICA"]).withColumn("fst", F.round("fst", 6))
 
 
-@query("POP03_ld", with_("geno", """WITH s AS (SELECT x.pos AS p, y.pos AS q, count(*)::DOUBLE AS n, sum(x.nalt)::DOUBLE AS sx, sum(y.nalt)::DOUBLE AS sy, sum(x.nalt * y.nalt)::DOUBLE AS sxy, sum(x.nalt * x.nalt)::DOUBLE AS sxx, sum(y.nalt * y.nalt)::DOUBLE AS syy
-  FROM geno x JOIN geno y ON x.sample_id = y.sample_id AND x.pos < y.pos AND y.pos - x.pos <= 10 WHERE x.nalt >= 0 AND y.nalt >= 0 GROUP BY 1, 2)
-  SELECT p, q, round((n * sxy - sx * sy) * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0), 6) AS r2 FROM s"""))
-def _(s, d):
-    return pg.ld(view(s, d, "geno"), max_distance=10).withColumn("r2", F.round("r2", 6))
+_R2 = """s AS (SELECT x.pos AS p, y.pos AS q, count(*)::DOUBLE AS n, sum(x.nalt)::DOUBLE AS sx, sum(y.nalt)::DOUBLE AS sy, sum(x.nalt * y.nalt)::DOUBLE AS sxy, sum(x.nalt * x.nalt)::DOUBLE AS sxx, sum(y.nalt * y.nalt)::DOUBLE AS syy
+  FROM geno x JOIN geno y ON x.sample_id = y.sample_id AND x.pos < y.pos WHERE x.nalt >= 0 AND y.nalt >= 0 GROUP BY 1, 2),
+  r AS (SELECT p, q, (n * sxy - sx * sy) * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0) AS r2 FROM s)"""
 
 
-#: All pairs of positions; POP03_ld stays within ten, as its SQL does.
-@query("POP03_ld_all", with_("geno", """WITH s AS (SELECT x.pos AS p, y.pos AS q, count(*)::DOUBLE AS n, sum(x.nalt)::DOUBLE AS sx, sum(y.nalt)::DOUBLE AS sy, sum(x.nalt * y.nalt)::DOUBLE AS sxy, sum(x.nalt * x.nalt)::DOUBLE AS sxx, sum(y.nalt * y.nalt)::DOUBLE AS syy
-  FROM geno x JOIN geno y ON x.sample_id = y.sample_id AND x.pos < y.pos WHERE x.nalt >= 0 AND y.nalt >= 0 GROUP BY 1, 2)
-  SELECT p, q, round((n * sxy - sx * sy) * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0), 6) AS r2 FROM s"""))
+@query("POP03_ld", with_("geno", f"WITH {_R2} SELECT p, q, round(r2, 6) AS r2 FROM r"))
 def _(s, d):
     return pg.ld(view(s, d, "geno")).withColumn("r2", F.round("r2", 6))
 
 
-@query("POP04_ld_pruning")
+def _pruned(scores: str) -> str:
+    """Greedy pruning of scored positions (pos, chrom, score), one after another by rank inside each chromosome."""
+    return f"""WITH RECURSIVE {_R2}, scored AS ({scores}), ranked AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY score DESC, pos) AS rank FROM scored WHERE pos IN (SELECT pos FROM geno WHERE nalt >= 0)),
+  near AS (SELECT p AS x, q AS y FROM r WHERE r2 >= 0.1 UNION ALL SELECT q, p FROM r WHERE r2 >= 0.1), of_ AS (SELECT chrom, rank, pos, coalesce(list(y) FILTER (WHERE y IS NOT NULL), []) AS ys FROM ranked LEFT JOIN near ON x = pos GROUP BY chrom, rank, pos),
+  g AS (SELECT DISTINCT chrom, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS kept FROM ranked UNION ALL SELECT g.chrom, o.rank, CASE WHEN list_has_any(g.kept, o.ys) THEN g.kept ELSE list_append(g.kept, o.pos) END FROM g JOIN of_ o ON o.chrom = g.chrom AND o.rank = g.rank + 1)
+  SELECT chrom, unnest(kept) AS pos FROM (SELECT chrom, arg_max(kept, rank) AS kept FROM g GROUP BY chrom)"""
+
+
+_MAC = "SELECT pos, least(count(*) FILTER (WHERE nalt < 0.5), count(*) FILTER (WHERE nalt >= 0.5)) AS mac FROM geno WHERE nalt >= 0 GROUP BY pos"
+
+
+@query("POP04_ld_pruning", with_("geno variants", _pruned(f"SELECT pos, chrom, mac AS score FROM ({_MAC}) m JOIN variants USING (pos)")))
 def _(s, d):
     from ..operators.qc import allele_counts
 
@@ -105,7 +111,7 @@ def _(s, d):
     return pg.prune(g, scores, r2=0.1)
 
 
-@query("POP05_weighted_pruning")
+@query("POP05_weighted_pruning", with_("geno variants genes", _pruned(f"SELECT v.pos, v.chrom, mac * CASE WHEN v.pos IN (SELECT w.pos FROM variants w JOIN genes g ON w.chrom = g.chrom AND w.pos BETWEEN start_pos AND end_pos) THEN 2.0 ELSE 1.0 END AS score FROM ({_MAC}) m JOIN variants v USING (pos)")))
 def _(s, d):
     from ..operators.positions import in_intervals
     from ..operators.qc import allele_counts
@@ -124,9 +130,12 @@ def _(s, d):
     return out.select("vec_id", F.transform("pc", lambda x: F.round(F.abs(x), 4)).alias("pc"))
 
 
-@query("POP07_jitter")
+_EVEN = "(CAST('0x' || substr(md5('1:s_acctbal:' || s_suppkey), {}, 8) AS BIGINT) + 0.5) / 4294967296.0"
+
+
+@query("POP07_jitter", f"SELECT s_suppkey, round(s_acctbal + sqrt(-2 * ln({_EVEN.format(1)})) * cos(2 * pi() * {_EVEN.format(9)}) * 0.01 * (SELECT max(s_acctbal) - min(s_acctbal) FROM supplier), 6) AS s_acctbal FROM supplier")
 def _(s, d):
-    return pg.jitter(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal"), ["s_acctbal"])
+    return pg.jitter(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal"), ["s_acctbal"], key="s_suppkey").withColumn("s_acctbal", F.round("s_acctbal", 6))
 
 
 @query("POP08_missingness", with_("geno", "SELECT sample_id, round(count(*) FILTER (WHERE nalt < 0) / count(*), 6) AS f_missing FROM geno GROUP BY sample_id"))

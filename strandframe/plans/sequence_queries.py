@@ -125,14 +125,24 @@ def _(s, d):
     return view(s, d, "msa").select("ord", sq.run_code(moves).alias("code"))
 
 
-@query("SEQ19_encode_haplotype", with_("msa", "SELECT ord, CAST(list_sum(list_transform(range(1, 24), lambda i: (strpos('-ACGT', substr(translate(seq, 'NR', '--'), i, 1)) - 1) * CAST(pow(5, 23 - i) AS BIGINT))) AS BIGINT) AS code FROM msa"))
+_PIECES = "WITH p AS (SELECT ord, k, substr(translate(seq, 'NR', '--'), k * 23 + 1, 23) AS h FROM (SELECT ord, seq, unnest(range(0, (length(seq) + 22) // 23)) AS k FROM msa))"
+
+
+def _pieces(s, d):
+    """Haplotypes of 23 columns, which a number holds, one after another over the whole alignment."""
+    v = view(s, d, "msa").withColumn("h", F.translate("seq", "NR", "--"))
+    return v.select("ord", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("h") - 1) / 23)), lambda k: F.substr("h", (k * 23 + 1).cast("int"), F.lit(23)))).alias("k", "h")).withColumn("k", F.col("k").cast("long"))
+
+
+@query("SEQ19_encode_haplotype", with_("msa", f"{_PIECES} SELECT ord, k, CAST(list_sum(list_transform(range(1, length(h) + 1), lambda i: (strpos('-ACGT', substr(h, i, 1)) - 1) * CAST(pow(5, length(h) - i) AS BIGINT))) AS BIGINT) AS code FROM p"))
 def _(s, d):
-    return view(s, d, "msa").select("ord", sq.encode_haplotype(F.substring(F.translate("seq", "NR", "--"), 1, 23)).alias("code"))
+    return _pieces(s, d).select("ord", "k", sq.encode_haplotype(F.col("h")).alias("code"))
 
 
-@query("SEQ20_decode_haplotype", with_("msa", "SELECT ord, substr(translate(seq, 'NR', '--'), 1, 23) AS haplotype FROM msa"))
+@query("SEQ20_decode_haplotype", with_("msa", f"{_PIECES} SELECT ord, k, h AS haplotype FROM p"))
 def _(s, d):
-    return view(s, d, "msa").select("ord", sq.decode_haplotype(sq.encode_haplotype(F.substring(F.translate("seq", "NR", "--"), 1, 23)), 23).alias("haplotype"))
+    p = _pieces(s, d).withColumn("code", sq.encode_haplotype(F.col("h")))
+    return p.select("ord", "k", F.when(F.length("h") == 23, sq.decode_haplotype(F.col("code"), 23)).otherwise(sq.decode_haplotype(F.col("code"), 21)).alias("haplotype"))
 
 
 @query("SEQ21_mhap_columns", with_("variants", "SELECT mhapidx, chrom, chrom || ':' || pos AS first_col, len(list_value(pos)) + (CASE WHEN pos % 2 = 0 THEN 2 ELSE 0 END) AS n_cols, chrom || ':' || (pos + (CASE WHEN pos % 2 = 0 THEN 9 ELSE 0 END)) AS last_col FROM variants"))
@@ -195,7 +205,11 @@ def _(s, d):
     return sq.haplotype_clusters(view(s, d, "seqs").withColumnRenamed("doc_id", "ord"))
 
 
-@query("AGG06_sequence_type", with_("seqs", "SELECT CASE WHEN avg((length(regexp_replace(seq, '[^ACGTNacgtn]', '', 'g'))) / length(regexp_replace(seq, '[^A-Za-z]', '', 'g'))) > 0.5 THEN 'DNA' ELSE 'PROTEIN' END AS seqtype FROM seqs WHERE doc_id IN (SELECT min(doc_id) FROM seqs UNION SELECT max(doc_id) FROM seqs)"))
+@query("AGG06_sequence_type", with_("seqs", """WITH r AS (SELECT lower(seq) AS q, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM seqs),
+  p AS (SELECT length(regexp_replace(q, '[^acgt]', '', 'g')) / nullif(length(regexp_replace(q, '[-~]', '', 'g')), 0) AS dna, length(regexp_replace(q, '[^acgu]', '', 'g')) / nullif(length(regexp_replace(q, '[-~]', '', 'g')), 0) AS rna
+    FROM (SELECT q, n, i, unnest([0, n - 1, n // 2]) AS k FROM r) WHERE i = k),
+  m AS (SELECT avg(coalesce(dna, 0)) AS dna, avg(coalesce(rna, 0)) AS rna FROM p)
+  SELECT CASE WHEN greatest(dna, rna) <= 0.5 THEN 'PROTEIN' WHEN dna > rna THEN 'DNA' ELSE 'RNA' END AS seqtype FROM m"""))
 def _(s, d):
     return sq.sequence_type(view(s, d, "seqs").withColumnRenamed("doc_id", "ord"))
 

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align
 from ..sources import sequences as io
 from ..sources import traces, variants
+from ..storage import shared_path
 from .bridge import view, with_
 from .registry import query
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="strandframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query("SRC01_fasta", with_("seqs", "SELECT label, seq, '[source=' || source || ']' AS attrs FROM seqs WHERE length(seq) > 0"))
 def _(s, d):
     v = view(s, d, "seqs").filter(F.length("seq") > 0)
@@ -54,9 +43,13 @@ def _(s, d):
 
 
 def _vcf(s, d) -> str:
-    """The calls of the samples with the smallest and largest numbers in each position as VCF text; a cell without reads is ./."""
+    """The calls as VCF text; a cell without reads is ./."""
     c = view(s, d, "calls").join(view(s, d, "variants"), "pos")
     names = sorted(r[0] for r in view(s, d, "samples").select("sample_id").collect())
+    return _vcf_of(s, c, names)
+
+
+def _vcf_of(s, c, names: list[int]) -> str:
     cell = F.concat(F.when(F.col("ad0") + F.col("ad1") < 1, "./.").when(F.col("ad1") == 0, "0/0").when(F.col("ad0") == 0, "1/1").otherwise("0|1"), F.lit(":"), F.concat_ws(",", "ad0", "ad1", "ad2"), F.lit(":"), (F.col("ad0") + F.col("ad1") + F.col("ad2")).cast("string"))
     # Absent cells are laid in by an outer step over all samples of a position, so a line is one ordered aggregate.
     sites = c.select("chrom", "pos", "ref", "alt1", "alt2").distinct().withColumn("sample_id", F.explode(F.array(*map(F.lit, names))))
@@ -82,6 +75,17 @@ def _(s, d):
     return c.filter("dp IS NOT NULL").select("sample", "pos", *[F.get("ad", i).alias(f"ad{i}") for i in range(3)], "dp", F.get("gt", 0).alias("first_gt"), "phased")
 
 
+#: Files of different samples, read and saved as one dataset.
+@query("CLI05_vcf_many_files", with_("calls variants", "SELECT chrom, CAST(sample_id AS VARCHAR) AS sample, pos, ad0, ad1, ad2 FROM calls JOIN variants USING (pos)"))
+def _(s, d):
+    c = view(s, d, "calls").join(view(s, d, "variants"), "pos")
+    names = sorted(r[0] for r in view(s, d, "samples").select("sample_id").collect())
+    paths = [_vcf_of(s, c.filter(F.col("sample_id") % 3 == k), [x for x in names if x % 3 == k]) for k in range(3)]
+    _, calls = variants.read_vcf(s, paths)
+    variants.save_dataset(calls.filter("dp IS NOT NULL"), path := shared_path(s, "merged"))
+    return variants.load_dataset(s, path).select("chrom", "sample", "pos", *[F.get("ad", i).alias(f"ad{i}") for i in range(3)])
+
+
 @query("SRC19_dataset", with_("calls variants", "SELECT sample_id, pos, chrom, ad0 FROM calls JOIN variants USING (pos)"))
 def _(s, d):
     df = view(s, d, "calls").join(view(s, d, "variants").select("pos", "chrom"), "pos").select("sample_id", "pos", "chrom", "ad0")

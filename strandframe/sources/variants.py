@@ -13,12 +13,17 @@ FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 def read_vcf(spark: SparkSession, paths: str | list[str], *, chroms: list[str] | None = None, max_alt: int = 3) -> tuple[DataFrame, DataFrame]:
     """(variants, calls). variants: chrom, pos, id, ref, alts, qual, filter, info; calls: chrom, pos, ref, sample, gt, ad, dp, phased.
 
-    Sample names come from the header line; missing ids are null, a missing genotype is an array of -1. Sites with more than
-    max_alt alternate alleles keep the first ones.
+    Each file has the sample names of its own header line, or, where it has none (text written in parts), of the one header in
+    its folder. Missing ids are null, a missing genotype is an array of -1. Sites with more than max_alt alternate alleles
+    keep the first ones.
     """
-    lines = spark.read.text(paths)
-    names = (lines.filter(F.col("value").startswith("#CHROM")).first() or [""])[0].split("\t")[9:]
-    body = lines.filter(~F.col("value").startswith("#") & (F.length("value") > 0)).select(F.split("value", "\t").alias("f"))
+    file = F.col("_metadata.file_path")
+    lines = spark.read.text(paths).select("value", file.alias("file"), F.regexp_extract(file, "^(.*)/", 1).alias("folder"))
+    heads = lines.filter(F.col("value").startswith("#CHROM")).select("file", "folder", F.slice(F.split("value", "\t"), 10, 1 << 30).alias("names"))
+    own = heads.groupBy("file").agg(F.first("names").alias("own"))
+    near = heads.groupBy("folder").agg(F.min_by("names", "file").alias("near"))
+    body = lines.filter(~F.col("value").startswith("#") & (F.length("value") > 0)).join(own, "file", "left").join(near, "folder", "left")
+    body = body.select(F.split("value", "\t").alias("f"), F.coalesce("own", "near", F.array().cast("array<string>")).alias("names"))
     c = {n: F.get(F.col("f"), i) for i, n in enumerate(FIXED)}
     if chroms:
         body = body.filter(c["chrom"].isin(*chroms))
@@ -26,7 +31,7 @@ def read_vcf(spark: SparkSession, paths: str | list[str], *, chroms: list[str] |
     info = F.map_from_entries(F.transform(F.filter(F.split(c["info"], ";"), lambda x: x != "."), lambda x: F.struct(F.substring_index(x, "=", 1), F.when(x.contains("="), F.regexp_replace(x, r"^[^=]*=", "")))))
     alts = F.filter(F.slice(F.split(c["alt"], ","), 1, max_alt), lambda a: a != ".")
     variants = body.select(c["chrom"].alias("chrom"), c["pos"].cast("long").alias("pos"), null(c["id"]).alias("id"), c["ref"].alias("ref"), alts.alias("alts"), null(c["qual"]).cast("double").alias("qual"), null(c["filter"]).alias("filter"), info.alias("info"))
-    cells = F.zip_with(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"), F.slice("f", 10, max(1, len(names))), lambda s, x: F.struct(s.alias("sample"), x.alias("x")))
+    cells = F.zip_with("names", F.slice("f", F.lit(10), F.size("names")), lambda s, x: F.struct(s.alias("sample"), x.alias("x")))
     each = body.select(c["chrom"].alias("chrom"), c["pos"].cast("long").alias("pos"), c["ref"].alias("ref"), F.split(c["format"], ":").alias("keys"), F.explode(cells).alias("c"))
     values = F.split("c.x", ":")
     at = lambda k: F.when(F.array_position("keys", k) > 0, F.get(values, (F.array_position("keys", k) - 1).cast("int")))

@@ -26,6 +26,51 @@ def test_vcf_reader(spark, tmp_path):
     assert calls.no_indels(v).count() == 1 and calls.exclude_keywords(v, ["q10"]).count() == 1
 
 
+def test_vcf_files_of_different_samples(spark, tmp_path):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    paths = []
+    for name, samples, cells in (("a", "s1", "0/0"), ("b", "s2\ts3", "1/1\t0|1")):
+        (tmp_path / f"{name}.vcf").write_text(f"{head}{samples}\n1\t5\t.\tA\tC\t.\t.\t.\tGT\t{cells}\n")
+        paths.append(str(tmp_path / f"{name}.vcf"))
+    got = {(r["sample"], tuple(r["gt"])) for r in variants.read_vcf(spark, paths)[1].collect()}
+    assert got == {("s1", (0, 0)), ("s2", (1, 1)), ("s3", (0, 1))}
+
+
+def test_sequence_type_takes_three_and_counts_no_n(spark):
+    from strandframe.operators.sequence import sequence_type
+
+    of = lambda *seqs: sequence_type(spark.createDataFrame(list(enumerate(seqs)), "ord long, seq string")).first()[0]
+    assert of("NNNNNNNNAC", "ACGT", "NNNNNNNNNN") == "PROTEIN"
+    assert of("ACGT", "MKVL", "ACGA", "acgt") == "DNA" and of("ACGU", "ACGU") == "RNA" and of("--", "~") == "PROTEIN" and of("ACG") == "RNA"
+    assert sequence_type(spark.createDataFrame([], "ord long, seq string")).first()[0] == "DNA"
+
+
+def test_windows_that_cross_bins(spark):
+    pos = [1, 2, 3, 9, 10, 11, 12, 30, 31, 45, 46, 47, 48, 49]
+    got = positions.sliding_windows(spark.createDataFrame([("c", p) for p in pos], "chrom string, pos long"), size=10).collect()
+    want, edge = set(), None
+    for p in pos:
+        w = [q for q in pos if p <= q <= p + 10]
+        if len(w) >= 3 and (edge is None or w[-1] > edge):
+            want.add((p, w[-1], len(w)))
+            edge = w[-1]
+    assert {(r["first"], r["last"], r["n"]) for r in got} == want
+
+
+def test_pruning_over_a_chain_of_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (40, 1))
+    geno = [(s, p, int(v)) for p in range(12) for s, v in enumerate(np.where(rng.random((40, 1)) < 0.15 * (p % 4), rng.integers(0, 3, (40, 1)), x)[:, 0])]
+    df = spark.createDataFrame(geno, "sample_id long, pos long, nalt int")
+    scores = spark.createDataFrame([(p, float(p * 7 % 5), "c") for p in range(12)], "pos long, score double, chrom string")
+    r2 = {frozenset((r["p"], r["q"])): r["r2"] or 0 for r in popgen.ld(df).collect()}
+    kept: list[int] = []
+    for p in sorted(range(12), key=lambda p: (-(p * 7 % 5), p)):
+        if all(r2[frozenset((p, q))] < 0.5 for q in kept):
+            kept.append(p)
+    assert {r["pos"] for r in popgen.prune(df, scores, r2=0.5).collect()} == set(kept) and len(kept) < 12
+
+
 def test_position_files(spark, tmp_path):
     (tmp_path / "p.txt").write_text("CHROM\tPOS\tGENE\nc1\t5\tx\n# note\nc2\t7\ty\n")
     got = variants.read_positions(spark, str(tmp_path / "p.txt")).orderBy("pos").collect()

@@ -44,20 +44,21 @@ def test_query(spark, db, name):
         assert got == sorted((tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
 
 
-def test_haplotypes_of_all_called_positions(spark, db):
-    from strandframe.plans import bridge, model_queries
-
-    called = db.execute(bridge.with_("geno", "SELECT count(*) FROM geno WHERE nalt >= 0")).fetchone()[0]
-    assert "%" not in model_queries._ALL_HAPS and sum(len(r["hap"]) for r in model_queries._all_haps(spark, DATA).collect()) == called
-
-
 def test_linkage_of_all_positions(spark, db):
+    from strandframe.operators import popgen
     from strandframe.plans import bridge
 
     both = "FROM geno x JOIN geno y ON x.sample_id = y.sample_id AND x.pos < y.pos WHERE x.nalt >= 0 AND y.nalt >= 0"
     n, far = db.execute(bridge.with_("geno", f"SELECT count(DISTINCT (x.pos, y.pos)), max(y.pos - x.pos) {both}")).fetchone()
-    got = registry.queries()["POP03_ld_all"](spark, DATA).selectExpr("count(*)", "max(q - p)").first()
-    assert tuple(got) == (n, far) and far > 10
+    got = registry.queries()["POP03_ld"](spark, DATA)
+    assert tuple(got.selectExpr("count(*)", "max(q - p)").first()) == (n, far) and far > 10
+    # Small blocks, and bins of neighbours, give the same pairs.
+    rows = {(r["p"], r["q"]): r["r2"] for r in got.collect()}
+    geno = bridge.view(spark, DATA, "geno")
+    for kw in ({"size": 7}, {"max_distance": 10}):
+        part = {(r["p"], r["q"]): r["r2"] for r in popgen.ld(geno, **kw).collect()}
+        want = {k: v for k, v in rows.items() if k[1] - k[0] <= kw.get("max_distance", far)}
+        assert part.keys() == want.keys() and all(a == want[k] or abs(a - want[k]) < 1e-5 for k, a in part.items())
 
 
 def test_commands(spark, tmp_path):
