@@ -5,10 +5,16 @@ similarity is at least t share at least l shingles among the first n - ceil(t *
 l: at least the value at which the cost of a longer prefix meets the gain of fewer candidates, and more where its prefix
 holds frequent shingles; a pair must share as many as the smaller of its two values. The order puts frequent shingles last.
 
-A prefix group holds the classes with one prefix shingle. In it, sizes and a signature of bucket sums rule out most pairs; the
-rest are joined into clusters, of which only a spanning forest leaves the task. All links lie inside clusters. A cluster's
-texts are brought together once, in blocks that meet pairwise if it is large; there pairs must share enough prefix shingles
-and are then verified on their whole sets, every one. A block leaves one row per class: its number of links, and a star.
+Sizes are cut into bands so wide that linked sets lie in one band or in neighbouring ones. A prefix group holds the classes
+of one band, and those of the band below, that have one prefix shingle. Classes with too few shingles that others have are
+dropped. In a group sizes and a signature of bucket sums rule out most pairs; the rest are joined into clusters, of which
+only a spanning forest leaves the task. All links lie inside clusters.
+
+Each text of a cluster then meets the text of its representative once and is turned into the shingles in which the two sets
+differ. These differences, far smaller than texts, go to blocks that meet pairwise if the cluster is large. There pairs must
+share enough prefix shingles and are then verified, every one: for sets A and B that share a and b shingles with the
+representative R and differ from it in D and E, the intersection of A and B is a + b - |R| + |D and E in common|, exactly.
+A block leaves one row per class: its number of links, and a star.
 """
 
 from __future__ import annotations
@@ -23,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .components import components
-from .marks import MOST_MARKED, has_mark, marks
 from .tokens import U, list_array, mixed, shingle_set, signed, small, words
 
 #: Frequent shingles that the order knows; more of them only make the order finer.
@@ -34,7 +39,7 @@ HEAVY_FROM, LOCAL_FROM, STRETCH = 32, 3, 1 << 20
 INDEX_COST = 0.25
 MOST_MATCHES = 64
 #: Buckets of a signature, four bits each, and rows of a block of a large prefix group.
-BUCKETS, BLOCK, CLUSTER_BLOCK = 128, 1024, 512
+BUCKETS, BLOCK, CLUSTER_BLOCK = 128, 512, 512
 #: Elements of sets that are counted at once.
 MOST_AT_ONCE = 1 << 22
 
@@ -64,6 +69,13 @@ class Rule:
     def linked(self, n, m, both):
         return self.den * both >= self.num * (n + m - both)
 
+    def bands(self) -> np.ndarray:
+        """Smallest sizes of the bands: each is the first that no set of the size before the last band can link to."""
+        out = [1]
+        while out[-1] < 1 << 40:
+            out.append(out[-1] * self.den // self.num + 1)
+        return np.array(out, np.int64)
+
     def large(self) -> int:
         return self.wide_from if self.wide_from is not None else BUCKETS * 4 // 5 * (self.den + self.num) // (2 * (self.den - self.num))
 
@@ -136,7 +148,8 @@ def prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, rule: Rule) ->
 
 
 def draw(docs: DataFrame, text: str, key: str, rule: Rule, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(id, n, c, sig, wide, l, prefix) per row: set size, class and what the join needs of it."""
+    """(id, n, band, c, sig, wide, l, prefix) per row: set size, its band, class and what the join needs of it."""
+    bands = rule.bands()
     known = docs.sparkSession.sparkContext.broadcast((heavy, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +164,10 @@ def draw(docs: DataFrame, text: str, key: str, rule: Rule, heavy: np.ndarray, co
                 wide.append(wide_signature(s, rule))
                 l.append(want)
                 p.append(signed(first))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(l, pa.int32()), list_array(p, pa.int64())], ["id", "n", "c", "sig", "wide", "l", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.searchsorted(bands, n, "right"), pa.int32()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(l, pa.int32()), list_array(p, pa.int64())], ["id", "n", "band", "c", "sig", "wide", "l", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, c long, sig binary, wide binary, l int, prefix array<long>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, band int, c long, sig binary, wide binary, l int, prefix array<long>")
 
 
 def _pairs_of_groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -167,38 +180,48 @@ def _pairs_of_groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np
         step = max(1, 200_000 // len(i))
         for x in range(0, len(at), step):
             s = at[x : x + step, None]
-            yield (s + i).ravel(), (s + j).ravel()
-
-
-class Forest:
-    """Union-find over row numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def possible(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of row pairs those that sizes and signatures cannot rule out, with the number of buckets that differ."""
+            u, v = (s + i).ravel(), (s + j).ravel()
+            for k in range(0, len(u), 200_000):
+                yield u[k : k + 200_000], v[k : k + 200_000]
+
+
+def smallest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest that links (u, v) connect it to: roots are hooked to smaller ones until no link joins two."""
+    top = np.arange(n)
+    while True:
+        a, b = top[u], top[v]
+        apart = a != b
+        if not apart.any():
+            return top
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (top[top] != top).any():
+            top = top[top]
+
+
+def stars(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Two rows of numbers, the smallest and each other one that links (u, v) connect to it."""
+    top = smallest(n, u, v)
+    far = np.flatnonzero(top != np.arange(n))
+    return np.stack([top[far], far])
+
+
+def in_reach(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Of row pairs those of two classes whose sizes allow a link, which meet in this block alone."""
     n, m = cols["n"][x], cols["n"][y]
     keep = (cols["c"][x] != cols["c"][y]) & (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m))
     keep &= (cols["i"][x] == cols["j"][x]) | (cols["blk"][x] != cols["blk"][y])
-    x, y = x[keep], y[keep]
+    return x[keep], y[keep]
+
+
+def possible(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Of row pairs those that sizes and signatures cannot rule out; pairs of the band below meet in a group of their own."""
+    keep = (cols["own"][x] | cols["own"][y]) == 1
+    x, y = in_reach(cols, x[keep], y[keep], rule)
     may = rule.differ(cols["n"][x], cols["n"][y])
     d = cols["sig"][x] ^ cols["sig"][y]
-    differ = np.count_nonzero(d & 0xF0, axis=1) + np.count_nonzero(d & 0x0F, axis=1)
-    keep = differ <= may
-    x, y, differ, may = x[keep], y[keep], differ[keep], may[keep]
+    keep = np.count_nonzero(d & 0xF0, axis=1) + np.count_nonzero(d & 0x0F, axis=1) <= may
+    x, y, may = x[keep], y[keep], may[keep]
     large = np.flatnonzero((cols["n"][x] > rule.large()) & (cols["n"][y] > rule.large()))
     if len(large):
         keep = np.ones(len(x), bool)
@@ -206,8 +229,8 @@ def possible(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rule: Ru
             a, b = cols["wide"][x[k]], cols["wide"][y[k]]
             buckets = 2 * min(len(a), len(b))
             keep[k] = np.count_nonzero(unpacked(a, buckets) != unpacked(b, buckets)) <= may[k]
-        x, y, differ = x[keep], y[keep], differ[keep]
-    return x, y, differ
+        x, y = x[keep], y[keep]
+    return x, y
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], names: list[str], others: list[str], rows: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
@@ -221,8 +244,16 @@ def in_blocks(batches: Iterator[pa.RecordBatch], names: list[str], others: list[
 
     for b in batches:
         cols = {x: b.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names}
-        cols["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-        cols |= {x: np.array([*b.column(x).to_pylist(), None], object)[:-1] for x in others}
+        for x in others:
+            if x == "sig":
+                cols[x] = np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            elif pa.types.is_list(b.column(x).type):
+                flat, ends = b.column(x).flatten().to_numpy(), np.cumsum(b.column(x).value_lengths().to_numpy())
+                cols[x] = np.empty(b.num_rows, object)
+                for k, part in enumerate(np.split(flat, ends[:-1])):
+                    cols[x][k] = part
+            else:
+                cols[x] = np.array([*b.column(x).to_pylist(), None], object)[:-1]
         held = cols if held is None else {x: np.concatenate([held[x], cols[x]]) for x in cols}
         if len(held["c"]) >= rows:
             # The last block may go on in the next batch.
@@ -238,23 +269,23 @@ def similar(rows: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): per run of prefix groups, each class with the smallest that pairs which cannot be ruled out connect it to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, starts, sizes in in_blocks(batches, ["tok", "i", "j", "blk", "c", "n"], ["wide"], 20_000):
+        for cols, starts, sizes in in_blocks(batches, ["key", "i", "j", "blk", "c", "n", "own"], ["sig", "wide"], 20_000):
             ids, at = np.unique(cols["c"], return_inverse=True)
-            forest = Forest(len(ids))
+            met = []
             for x, y in _pairs_of_groups(starts, sizes):
-                x, y, _ = possible(cols, x, y, rule)
-                for u, v in np.unique(np.stack([at[x], at[y]], axis=1), axis=0).tolist():
-                    forest.join(u, v)
+                x, y = possible(cols, x, y, rule)
+                met.append(stars(len(ids), at[x], at[y]))
             # Stars around the smallest class: those of different tasks coincide, where trees of links would add up.
-            top = np.array([forest.find(u) for u in range(len(ids))], np.int64)
-            far = np.flatnonzero(top != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[top[far]]), pa.array(ids[far])], ["a", "b"])
+            top, far = stars(len(ids), *np.concatenate([np.zeros((2, 0), np.int64), *met], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(ids[far])], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def in_common(sets: dict[int, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def in_common(sets: np.ndarray | dict[int, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many elements the sets of rows x and y have in common, pair by pair; no set is empty."""
+    if not len(x):
+        return np.zeros(0, np.int64)
     rows = np.unique(np.r_[x, y])
     parts = [sets[r] for r in rows.tolist()]
     sizes = np.array([len(p) for p in parts])
@@ -276,38 +307,53 @@ def in_common(sets: dict[int, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.n
     return out
 
 
+def differences(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(c, label, s, r, d) of rows (c, label, text, other): shingles shared with the representative's text, that one's number of shingles, and those in which they differ.
+
+    Rows whose text is not of class c are left out: where a key has several rows, the one of the class is found by hashing
+    again. d starts with a zero that stands for no shingle, so that it is never empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, r = None, np.zeros(0, U)
+        for b in small(batches, 256):
+            at, s, n, d = [], [], [], []
+            for i, (c, t, other) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                own = shingle_set(words(t, lower=True)[0], rule.k)
+                if not len(own) or class_id(own) != c:
+                    continue
+                if other != last:
+                    last, r = other, shingle_set(words(other, lower=True)[0], rule.k)
+                apart = np.setxor1d(own, r, assume_unique=True)
+                at.append(i)
+                s.append((len(own) + len(r) - len(apart)) // 2)
+                n.append(len(r))
+                d.append(np.r_[0, signed(apart)])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(s, pa.int64()), pa.array(n, pa.int64()), list_array(d, pa.int64())], ["c", "label", "s", "r", "d"])
+
+    return texts.select("c", "label", "text", "other").mapInArrow(run, "c long, label long, s long, r long, d array<long>")
+
+
 def linked(rows: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, n) per block and class b that has links in it: how many, and the smallest class they connect it to in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, starts, sizes in in_blocks(batches, ["label", "i", "j", "blk", "c", "n", "l"], ["wide", "prefix", "text"], 1024):
-            sets: dict[int, np.ndarray] = {}
+        for cols, starts, sizes in in_blocks(batches, ["label", "i", "j", "blk", "c", "n", "l", "s", "r"], ["prefix", "d"], 1024):
             ids, at = np.unique(cols["c"], return_inverse=True)
-            # Rows of one key that repeat are in a block as often; the class counts once.
-            block = np.repeat(np.arange(len(starts)), sizes)
-            once = np.zeros(len(at), bool)
-            once[np.unique(block * len(ids) + at, return_index=True)[1]] = True
-            prefixes = dict(enumerate(cols["prefix"]))
-            forest, degree = Forest(len(ids)), np.zeros(len(at), np.int64)
+            degree, met = np.zeros(len(at), np.int64), []
             for x, y in _pairs_of_groups(starts, sizes):
-                keep = once[x] & once[y]
-                x, y, _ = possible(cols, x[keep], y[keep], rule)
-                if len(x):
-                    keep = in_common(prefixes, x, y) >= np.minimum(cols["l"][x], cols["l"][y])
-                    x, y = x[keep], y[keep]
-                if not len(x):
-                    continue
-                for r in np.unique(np.r_[x, y]).tolist():
-                    if r not in sets:
-                        sets[r] = shingle_set(words(cols["text"][r], lower=True)[0], rule.k)
-                keep = rule.linked(cols["n"][x], cols["n"][y], in_common(sets, x, y))
+                x, y = in_reach(cols, x, y, rule)
+                keep = in_common(cols["prefix"], x, y) >= np.minimum(cols["l"][x], cols["l"][y])
+                x, y = x[keep], y[keep]
+                both = cols["s"][x] + cols["s"][y] - cols["r"][x] + in_common(cols["d"], x, y) - 1
+                keep = rule.linked(cols["n"][x], cols["n"][y], both)
                 x, y = x[keep], y[keep]
                 degree += np.bincount(np.r_[x, y], minlength=len(degree))
-                for u, v in zip(at[x].tolist(), at[y].tolist(), strict=True):
-                    forest.join(u, v)
-            has = np.flatnonzero(degree)
-            top = np.array([forest.find(u) for u in at[has].tolist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(cols["c"][has]), pa.array(degree[has])], ["a", "b", "n"])
+                met.append(stars(len(ids), at[x], at[y]))
+            u, v = np.concatenate([np.zeros((2, 0), np.int64), *met], axis=1)
+            top, has = smallest(len(ids), u, v), np.flatnonzero(degree)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[top[at[has]]]), pa.array(cols["c"][has]), pa.array(degree[has])], ["a", "b", "n"])
 
     return rows.mapInArrow(run, "a long, b long, n long")
 
@@ -320,7 +366,33 @@ def paired(rows: DataFrame, by: str, size: str, block: int) -> DataFrame:
     return laid.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
-def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rule: Rule = Rule(), most_marked: int = MOST_MARKED) -> DataFrame:
+def prefix_groups(scratch: Scratch, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(c, key, own, group): of classes (c, n, band, prefix) the prefix groups in which they may meet a partner, with the size of the group.
+
+    A group is a prefix shingle and a band; own is 1 for classes of that band and 0 for those of the band below, which meet
+    one another elsewhere. Partners share as many groups as the smaller of their demands, so of a class only sides (own or
+    not) with that many groups stay.
+    """
+    key = lambda band, own: F.struct(F.xxhash64("tok", band).alias("key"), F.lit(own).cast("byte").alias("own"))
+    each = classes.select("c", "n", "band", F.explode("prefix").alias("tok")).select("c", "n", F.inline(F.array(key(F.col("band"), 1), key(F.col("band") + 1, 0))))
+    shared = scratch.put(_in_company(scratch, each))
+    # One less than the partner's least demand, so that rounding cannot tell the two sides apart.
+    partner = F.ceil(F.col("n") * rule.num / rule.den)
+    least = F.least(F.lit(MOST_MATCHES), F.floor(F.sqrt(partner * ((rule.den - rule.num) / rule.den / INDEX_COST))), F.ceil(partner * rule.num / rule.den)) - 1
+    able = shared.groupBy("c", "n", "own").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c", "own")
+    left = scratch.put(shared.drop("group").join(able.hint("merge"), ["c", "own"]))
+    out = scratch.put(_in_company(scratch, left))
+    scratch.drop(shared, left)
+    return out
+
+
+def _in_company(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """Rows (key, own, ..) of groups with at least two rows, one of them own; adds group, the number of rows."""
+    often = scratch.put(rows.groupBy("key").agg(F.count("*").alias("group"), F.max("own").alias("any")).filter("group > 1 AND any = 1").select("key", "group"))
+    return rows.join(often.hint("merge"), "key")
+
+
+def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
     """(key, n_shingles, component_id, class_id, n_links): set size, smallest key reachable over links, class of equal sets, number of other classes that link to it.
 
     Texts are lower-cased (A-Z). A null text, or one without words, has no shingles and links with nothing, not even its
@@ -332,54 +404,42 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     heavy = known.column("h").to_numpy().view(U)
     by = np.argsort(heavy)
     drawn = scratch.put(draw(docs, text, key, rule, heavy[by], known.column("n").to_numpy()[by]))
-    classes = drawn.filter("n > 0").groupBy("c", "n").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
+    classes = drawn.filter("n > 0").groupBy("c", "n", "band").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
     classes = scratch.put(classes)
     scratch.sweep()
 
-    # Prefix shingles that more than one class has, of classes that have enough of them for any partner.
-    often = scratch.put(classes.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("group")).filter("group > 1"))
-    scratch.sweep()
-    rows = marked(classes.select("c", "n", "prefix"), often) if often.count() <= most_marked else classes.select("c", "n", "prefix")
-    shared = scratch.put(rows.select("c", "n", F.explode("prefix").alias("tok")).join(often.hint("merge"), "tok"))
-    scratch.sweep()
-    # One less than the partner's least demand, so that rounding cannot tell the two sides apart.
-    partner = F.ceil(F.col("n") * rule.num / rule.den)
-    least = F.least(F.lit(MOST_MATCHES), F.floor(F.sqrt(partner * ((rule.den - rule.num) / rule.den / INDEX_COST))), F.ceil(partner * rule.num / rule.den)) - 1
-    able = shared.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c")
-    able = scratch.put(able.join(classes.select("c", "n", "first_id", "sig", "wide", "l", "prefix").hint("merge"), "c"))
-    groups = shared.select("tok", "c", "group").join(able.select("c", "n", "sig", "wide").hint("merge"), "c")
-    edges = scratch.put(similar(paired(groups, "tok", "group", BLOCK), rule))
-    scratch.drop(shared)
-    clusters = components(scratch, edges)
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    members = able.join(clusters.withColumnRenamed("node", "c").hint("merge"), "c").join(sizes, "label")
-    texts = docs.select(F.struct(F.col(key).alias("v")).alias("k"), F.col(text).alias("text"))
-    texts = texts.join(members.withColumn("k", F.struct(F.col("first_id").alias("v"))).hint("merge"), "k").select("c", "text", "label", "size", "n", "l", "sig", "wide", "prefix")
-    # Where a key has several rows, the one of the class is found by hashing again.
-    links = scratch.put(linked(paired(_of_class(texts, rule.k), "label", "size", CLUSTER_BLOCK), rule))
+    groups = prefix_groups(scratch, classes, rule)
+    signed_ = groups.join(classes.select("c", "sig", "wide").hint("merge"), "c")
+    edges = scratch.put(similar(paired(signed_, "key", "group", BLOCK), rule))
+    scratch.drop(groups)
+    found = components(scratch, edges)
+    clusters = scratch.put(found.withColumnRenamed("node", "c"))
+    scratch.drop(found, edges)
+    # Texts meet that of their cluster's representative, the class that names it; an equal text of another row does as well.
+    members = clusters.join(classes.select("c", F.struct(F.col("first_id").alias("v")).alias("k")).hint("merge"), "c")
+    texts = docs.select(F.struct(F.col(key).alias("v")).alias("k"), F.col(text).alias("text")).join(members.hint("merge"), "k").select("c", "label", "text")
+    texts = scratch.put(texts)
     scratch.sweep()
+    others = scratch.put(_of_class(texts.filter("c = label").select("c", "text"), rule.k).groupBy("c").agg(F.min("text").alias("other")).withColumnRenamed("c", "of"))
+    apart = differences(texts.join(others.hint("merge"), F.col("label") == F.col("of")), rule)
+    # Rows of one key that repeat count once.
+    apart = scratch.put(apart.groupBy("c", "label").agg(F.first("s").alias("s"), F.first("r").alias("r"), F.first("d").alias("d")))
+    scratch.drop(texts, others)
+    sizes = scratch.put(clusters.groupBy("label").agg(F.count("*").alias("size")))
+    laid = apart.join(classes.select("c", "n", "l", "prefix").hint("merge"), "c").join(sizes, "label")
+    links = scratch.put(linked(paired(laid, "label", "size", CLUSTER_BLOCK), rule))
+    scratch.drop(apart)
     labels = components(scratch, links)
     degree = links.groupBy(F.col("b").alias("of")).agg(F.sum("n").alias("n_links"))
 
     names = classes.select("c", "first_id").join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
     named = names.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    per_class = names.join(named, "label").join(degree, F.col("c") == F.col("of"), "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_class = scratch.put(names.join(named, "label").join(degree, F.col("c") == F.col("of"), "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    scratch.drop(classes, clusters, labels, links)
     out = drawn.select("id", "n", F.col("c").alias("of")).join(per_class, F.col("of") == F.col("c"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def marked(classes: DataFrame, often: DataFrame) -> DataFrame:
-    """Classes (c, n, prefix) with the shingles of the prefix that a bitmap of often has: all of these, and a few others."""
-    bits = classes.sparkSession.sparkContext.broadcast(marks(often, "tok"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            p = [np.array(x, np.int64) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array([x[has_mark(bits.value, x.view(U))] for x in p], pa.int64())], ["c", "n", "prefix"])
-
-    return classes.mapInArrow(run, "c long, n long, prefix array<long>")
-
-
 def _of_class(rows: DataFrame, k: int) -> DataFrame:
     """Of rows (c, text) those whose text has the class c."""
 
