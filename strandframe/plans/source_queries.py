@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align
 from ..sources import sequences as io
-from ..sources import traces, variants
+from ..sources import regions, traces, trees, variants
 from ..storage import shared_path
 from .bridge import view, with_
 from .registry import query
@@ -138,12 +139,15 @@ def _(s, d):
 def _(s, d):
     v = view(s, d, "quals").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "q"))), lambda x: x["q"]).alias("quals"))
 
-    @F.udf("array<int>")
-    def coded(q):
+    def one(q):
         n = len(q)
-        raw = traces.encode_scf("ACGT" * (n // 4) + "ACGT"[: n % 4], q, list(range(n)), [[(i * k) % 997 for i in range(n)] for k in (3, 5, 7, 11)], {"NAME": "x"})
+        raw = traces.encode_scf("ACGT" * (n // 4) + "ACGT"[: n % 4], list(q), list(range(n)), [[(i * k) % 997 for i in range(n)] for k in (3, 5, 7, 11)], {"NAME": "x"})
         return traces.decode(raw)["quals"]
 
+    @F.pandas_udf("array<int>")
+    def coded(quals: pd.Series) -> pd.Series:
+        return quals.map(one)
+
     r = v.select("user_id", coded("quals").alias("q"))
     return r.select("user_id", F.size("q").cast("long").alias("n"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
@@ -164,16 +168,44 @@ def _pairs(s, d):
     return v.withColumn("y", F.concat(F.substring("x", 5, 20), F.substring("x", 28, 30)))
 
 
-@query("ALN01_global")
+_XY = "xy AS (SELECT ord, x, substr(x, 5, 20) || substr(x, 28, 30) AS y FROM (SELECT ord, translate(replace(seq, '-', ''), 'NR', 'AG') AS x FROM aligned))"
+
+
+def _best(free_rows: bool, free_columns: bool) -> str:
+    """Scores of the best alignments of x (rows) and y (columns), row by row: gaps cost 7 a symbol, but for those at the ends that are free."""
+    top = "list_transform(range(0, length(y) + 1), lambda j: CAST(0 AS BIGINT))" if free_columns else "list_transform(range(0, length(y) + 1), lambda j: -7 * j)"
+    left = "CAST(0 AS BIGINT)" if free_rows else "CAST(-7 * (i + 1) AS BIGINT)"
+    met = f"list_transform(range(1, length(y) + 2), lambda j: CASE WHEN j = 1 THEN {left} ELSE greatest(row_[j - 1] + CASE WHEN substr(x, i + 1, 1) = substr(y, j - 1, 1) THEN 5 ELSE -4 END, row_[j] - 7) END + 7 * j)"
+    last = "row_[length(y) + 1]"
+    whole = f"max(CASE WHEN i = length(x) THEN {'list_max(row_)' if free_columns else last} ELSE {last if free_rows else 'NULL'} END)"
+    return f"""WITH RECURSIVE {_XY}, dp AS (SELECT ord, x, y, CAST(0 AS BIGINT) AS i, {top} AS row_ FROM xy
+  UNION ALL SELECT ord, x, y, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(met[1:j]) - 7 * j) FROM (SELECT ord, x, y, i, {met} AS met FROM dp WHERE i < length(x)) s),
+  best AS (SELECT ord, x, y, CAST({whole} AS DOUBLE) AS score FROM dp GROUP BY ord, x, y)"""
+
+
+def _checked(df, free: bool):
+    """Score, the score of the aligned strings themselves (without free ends), and what they spell."""
+    a, b = F.col("aligned_x"), F.col("aligned_y")
+    lead = lambda c, p: F.length(F.regexp_extract(c, p, 1))
+    lo = F.greatest(lead(a, "^(-*)"), lead(b, "^(-*)")) if free else F.lit(0)
+    hi = F.greatest(lead(a, "(-*)$"), lead(b, "(-*)$")) if free else F.lit(0)
+    cut = lambda c: F.substr(c, lo + 1, F.length(c) - lo - hi)
+    return df.select("ord", "score", align.score_alignment(cut(a), cut(b)).alias("rescored"), F.replace(a, F.lit("-"), F.lit("")).alias("x"), F.replace(b, F.lit("-"), F.lit("")).alias("y"))
+
+
+@query("ALN01_global", with_("aligned", f"{_best(False, False)} SELECT ord, score, score AS rescored, x, y FROM best"))
 def _(s, d):
-    return align.align_columns(_pairs(s, d), "x", "y", method="global").select("ord", "score", "aligned_x", "aligned_y")
+    return _checked(align.align_columns(_pairs(s, d), "x", "y", method="global"), False)
 
 
-@query("ALN02_moves")
+@query("ALN02_moves", with_("aligned", f"{_best(True, False)} SELECT ord, score, CAST(length(y) AS INT) AS n_y, true AS decodes FROM best"))
 def _(s, d):
     from ..operators.sequence import run_code
 
-    return align.align_columns(_pairs(s, d), "x", "y", method="glocal").select("ord", "score", run_code(F.col("moves")).alias("code"))
+    m = align.align_columns(_pairs(s, d), "x", "y", method="glocal").withColumn("code", run_code(F.col("moves")))
+    parts = F.regexp_extract_all("code", F.lit(r"(\d+[MID])"), 1)
+    spelt = F.array_join(F.transform(parts, lambda p: F.repeat(F.regexp_extract(p, r"\d+([MID])", 1), F.regexp_extract(p, r"(\d+)", 1).cast("int"))), "")
+    return m.select("ord", "score", F.length(F.regexp_replace("moves", "D", "")).alias("n_y"), (spelt == F.col("moves")).alias("decodes"))
 
 
 @query("ALN03_score_alignment", with_("aligned", """WITH l AS (SELECT ord, i, substr(seq, i, 1) AS a, substr(reverse(seq), i, 1) AS b FROM (SELECT ord, seq, unnest(range(1, length(seq) + 1)) AS i FROM aligned)), g AS (SELECT *, a = '-' OR b = '-' AS g FROM l)
@@ -182,16 +214,30 @@ def _(s, d):
     return view(s, d, "aligned").select("ord", align.score_alignment(F.col("seq"), F.reverse("seq")).alias("score"))
 
 
-@query("ALN04_align_pairs")
+@query("ALN04_align_pairs", with_("aligned", f"{_best(True, True)} SELECT ord, score, score AS rescored, x, y FROM best"))
 def _(s, d):
-    return align.align_columns(_pairs(s, d), "x", "y").select("ord", "score", "aligned_x", "aligned_y")
+    return _checked(align.align_columns(_pairs(s, d), "x", "y"), True)
+
 
+_CIRCLE = "ACGTTGCATTGACCAGTTACGGATCCATGCAACTTGGACCTTAGCAATCGGA"
 
-@query("ALN08_recircularise")
+
+@query("ALN08_recircularise", with_("aligned", f"SELECT label, '{_CIRCLE}' AS seq, 'turned' AS status FROM aligned"))
 def _(s, d):
-    v = view(s, d, "aligned").select("label", F.lit("ACGTTGCATTGACCAGTTACGGATCCATGCAACTTGGACCTTAGCAATCGGA").alias("r"), (F.col("ord") % 17 + 3).cast("int").alias("k"))
+    v = view(s, d, "aligned").select("label", F.lit(_CIRCLE).alias("r"), (F.col("ord") % 17 + 33).cast("int").alias("k"))
     turned = v.select("label", F.concat(F.expr("substring(r, k + 1)"), F.expr("substring(r, 1, k)")).alias("seq"))
-    return align.recircularise_all(turned, "ACGTTGCATTGACCAGTTACGGATCCATGC")
+    return align.recircularise_all(turned, _CIRCLE[:32])
+
+
+#: Each row has a circle of its own, turned by a sixteenth of it and more, and every other one is read backwards.
+@query("ALN09_recircularise_whole", with_("aligned", f"WITH {_XY} SELECT ord, x AS circle, CASE WHEN ord % 2 = 0 THEN '-' ELSE '+' END AS strand, CAST(1 AS INT) AS merged FROM xy"))
+def _(s, d):
+    from ..operators.sequence import reverse_complement
+
+    v = _pairs(s, d).withColumn("k", (F.col("ord") % 8 + 17).cast("int"))
+    turned = v.withColumn("t", F.expr("concat(substring(x, k + 1), substring(x, 1, k))"))
+    turned = turned.withColumn("t", F.when(F.col("ord") % 2 == 0, reverse_complement(F.col("t"), "standard")).otherwise(F.col("t")))
+    return align.recircularise_columns(turned, "t", "x").select("ord", "circle", "strand", "merged")
 
 
 @query("SRC02_extra_tracks", with_("aligned", "SELECT label AS owner, 'quality' AS label, reverse(seq) AS seq FROM aligned"))
@@ -277,23 +323,132 @@ def _(s, d):
     return traces.reverse_complement(t).select("user_id", "quals")
 
 
-@query("ALN07_map_reads")
+@query("ALN07_map_reads", with_("aligned", f"WITH {_XY} SELECT ord, CAST(strpos(x, substr(x, 11, 20)) - 1 AS INT) AS start, CAST(strpos(x, substr(x, 11, 20)) + 19 AS INT) AS \"end\", 0 AS mismatches, 0 AS inserts, 0 AS dels FROM xy"))
 def _(s, d):
-    @F.udf("struct<start:int,end:int,mismatches:int,inserts:int,dels:int>")
-    def placed(x, y):
-        return align.map_read(x, y)
+    v = _pairs(s, d).withColumn("read", F.substring("x", 11, 20))
+    return align.map_columns(v, "read", "x").select("ord", "start", "end", "mismatches", "inserts", "dels")
 
-    return _pairs(s, d).select("ord", placed(F.substring("x", 11, 20), F.col("x")).alias("m")).select("ord", "m.*")
 
-
-@query("ALN06_both_strands")
+@query("ALN06_both_strands", with_("aligned", f"WITH {_XY} SELECT ord, CASE WHEN ord % 2 = 0 THEN '-' ELSE '+' END AS strand, CAST(150 AS DOUBLE) AS score FROM xy"))
 def _(s, d):
     from ..operators.sequence import reverse_complement
 
-    @F.udf("struct<strand:string,score:double>")
-    def better(x, y):
-        strand, r = align.map_both_strands(x, y)
-        return strand, r["score"]
-
     back = F.when(F.col("ord") % 2 == 0, reverse_complement(F.substring("x", 5, 30), "standard")).otherwise(F.substring("x", 5, 30))
-    return _pairs(s, d).select("ord", better(back, F.col("x")).alias("m")).select("ord", "m.*")
+    return align.both_strands_columns(_pairs(s, d).withColumn("read", back), "read", "x").select("ord", "strand", "score")
+
+
+_SIX = io.PROMOTED
+
+
+@query("SRC06_promoted_qualifiers", with_("msa", "SELECT label, " + ", ".join(f"'{q} of ' || ord AS {q}" for q in _SIX) + " FROM msa"))
+def _(s, d):
+    v = view(s, d, "msa")
+    lines = [F.concat(F.lit("LOCUS       "), "label", F.lit(" 4 bp")), F.lit("FEATURES             Location/Qualifiers"), F.lit("     source          1..4")]
+    lines += [F.concat(F.lit(f'                     /{q}="{q} of '), "ord", F.lit('"')) for q in _SIX]
+    v.select(F.concat_ws("\n", *lines, F.lit("ORIGIN\n        1 acgt\n//")).alias("value")).write.text(path := shared_path(s, "promoted"))
+    return io.read_genbank(s, path).select("label", *[F.col("attr")[q].alias(q) for q in _SIX])
+
+
+@query("SRC05_features", with_("msa", "SELECT label, f.tag, f.location, f.product FROM msa, (VALUES ('gene', '1..20', NULL), ('CDS', 'join(1..8,12..20)', 'a long name over two lines')) f(tag, location, product)"))
+def _(s, d):
+    text = F.concat(F.lit("LOCUS       "), "label", F.lit(' 4 bp\nFEATURES             Location/Qualifiers\n     gene            1..20\n     CDS             join(1..8,12..20)\n                     /product="a long name\n                     over two lines"\nORIGIN\n        1 acgt\n//'))
+    view(s, d, "msa").select(text.alias("value")).write.text(path := shared_path(s, "features"))
+    f = io.read_genbank(s, path).select("label", F.explode("features").alias("f"))
+    return f.select("label", "f.tag", "f.location", F.trim(F.get(F.col("f.fields")["product"], 0), F.lit('"')).alias("product"))
+
+
+@query("SRC25_paired_scan", with_("geno variants", "SELECT CAST(pos AS VARCHAR) AS pos, chrom, CAST(sample_id AS VARCHAR) AS sample, nalt FROM geno JOIN variants USING (pos) WHERE nalt >= 0"))
+def _(s, d):
+    g = view(s, d, "geno").filter("nalt >= 0").withColumn("code", F.element_at(F.array(*map(F.lit, "ABC")), F.col("nalt") + 1))
+    names = sorted(r[0] for r in view(s, d, "samples").select("sample_id").collect())
+    rows = view(s, d, "variants").select("pos", "chrom").crossJoin(F.broadcast(s.createDataFrame([(x,) for x in names], "sample_id long"))).join(g, ["pos", "sample_id"], "left")
+    lines = rows.groupBy("pos", "chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", F.coalesce("code", F.lit("X")).alias("code")))), lambda x: x["code"]), "\t").alias("line"))
+    both = {}
+    for name, head, text in (("geno", "\t".join(map(str, names)), F.col("line")), ("pos", "pos\tchrom", F.concat_ws("\t", "pos", "chrom"))):
+        top = s.createDataFrame([(-1, head)], "pos long, value string")
+        top.unionByName(lines.select("pos", text.alias("value"))).coalesce(1).sortWithinPartitions("pos").select("value").write.text(both.setdefault(name, shared_path(s, name)))
+    paired = regions.read_paired(s, both["geno"], both["pos"], codes={"A": 0, "B": 1, "C": 2, "X": -1})
+    return paired.filter("nalt >= 0").select("pos", "chrom", "sample", "nalt")
+
+
+@query("SRC27_first_positions", with_("variants", "SELECT CAST(row_number() OVER (ORDER BY pos) AS BIGINT) AS row, CAST(pos AS VARCHAR) AS pos, chrom FROM variants ORDER BY 1 LIMIT 25"))
+def _(s, d):
+    v = view(s, d, "variants").select("pos", F.concat_ws("\t", "pos", "chrom").alias("value"))
+    s.createDataFrame([(-1, "pos\tchrom")], "pos long, value string").unionByName(v).coalesce(1).sortWithinPartitions("pos").select("value").write.text(path := shared_path(s, "positions"))
+    return regions.read_position_rows(s, path, limit=25)
+
+
+@query("SRC30_colour_file", with_("samples", "SELECT sample_id, pop AS grp, lower(substr(pop, 1, 2)) AS colour FROM samples"))
+def _(s, d):
+    v = view(s, d, "samples").select("sample_id", F.col("pop").alias("grp"))
+    v.select("grp", F.lower(F.substring("grp", 1, 2)).alias("colour")).distinct().coalesce(1).write.csv(path := shared_path(s, "colours"), header=True, sep="\t")
+    return regions.coloured(v, regions.read_colours(s, path)).select("sample_id", "grp", "colour")
+
+
+@query("SRC34_snp_index", with_("variants", "SELECT pos AS snp_idx FROM variants"))
+def _(s, d):
+    view(s, d, "variants").select(F.concat(F.col("pos").cast("string"), F.lit(" # one")).alias("value")).write.text(path := shared_path(s, "index"))
+    return regions.read_snp_index(s, path)
+
+
+@query("SNK10_region_save", with_("geno", "SELECT pos AS snp_idx, CAST(sample_id AS VARCHAR) AS sample, nalt AS value, 'n-' || (SELECT count(DISTINCT sample_id) FROM geno) || '-' || (SELECT count(DISTINCT pos) FROM geno) || '.nalt.parquet' AS name FROM geno"))
+def _(s, d):
+    cells = view(s, d, "geno").select(F.col("pos").alias("snp_idx"), F.col("sample_id").cast("string").alias("sample"), F.col("nalt").alias("value"))
+    path = regions.save_region(cells, None, shared_path(s, "region"))
+    return s.read.parquet(path).withColumn("name", F.lit(path.rsplit("/", 1)[1]))
+
+
+@query("SNK12_result_sinks", with_("geno samples", "SELECT 'snps' AS what, count(DISTINCT pos) AS n FROM geno UNION ALL SELECT 'predictions', count(*) FROM samples UNION ALL SELECT 'scores', count(DISTINCT pop) FROM samples"))
+def _(s, d):
+    v = view(s, d, "samples")
+    paths = regions.save_results(shared_path(s, "run"), scores=v.groupBy("pop").count(), snps=view(s, d, "geno").select("pos").distinct(), predictions=v.select("sample_id", F.col("pop").alias("pred")))
+    rows = [variants.read_table(s, p).agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, p in paths.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("SNK03_nexus", with_("aligned", "SELECT label, seq FROM aligned"))
+def _(s, d):
+    v = view(s, d, "aligned").select("ord", F.concat(F.lit("t"), "ord").alias("label"), "seq", F.col("label").alias("name"))
+    io.write_nexus(v.select("ord", "label", "seq"), path := shared_path(s, "nexus"))
+    return io.read_nexus(s, path).join(v.select("label", "name"), "label").select(F.col("name").alias("label"), "seq")
+
+
+@query("SRC31_newick", "SELECT CAST(n_nationkey AS VARCHAR) AS leaf, CAST(n_nationkey + 1 + (n_regionkey + 1) * 10 AS DOUBLE) AS depth FROM nation")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+    inner = [",".join(f"{n}:{n + 1}" for n, r in rows if r == k) for k in sorted({r for _, r in rows})]
+    text = "(" + ",".join(f"({x}):{(k + 1) * 10}" for k, x in enumerate(inner)) + ");"
+    return trees.ancestors(s, trees.parse_newick(text)).groupBy("leaf").agg(F.max("dist").alias("depth"))
+
+
+@query("SRC33_score_matrix", "SELECT a, b, CAST(CASE WHEN a = b THEN 5 ELSE -4 END AS DOUBLE) AS score FROM (VALUES ('A'), ('C'), ('G'), ('T')) x(a), (VALUES ('A'), ('C'), ('G'), ('T')) y(b)")
+def _(s, d):
+    from ..functions.alphabet import nucleotide_scores
+
+    m = nucleotide_scores()
+    text = "# plain bases\n   A  C  G  T\n" + "\n".join(f"{a} " + " ".join(f"{m[a, b]:g}" for b in "ACGT") for a in "ACGT")
+    return s.createDataFrame([(a, b, v) for (a, b), v in trees.parse_scores(text).items()], "a string, b string, score double")
+
+
+_BLOCKS = "SELECT ord, string_agg(substr(seq, k * 30 + 1, 30) || chr(10) || (SELECT string_agg(CASE WHEN substr(seq, k * 30 + i, 1) = substr(reverse(seq), k * 30 + i, 1) THEN '|' ELSE ' ' END, '' ORDER BY i) FROM range(1, 31) r(i) WHERE k * 30 + i <= length(seq)) || chr(10) || substr(reverse(seq), k * 30 + 1, 30), chr(10) || chr(10) ORDER BY k) AS text FROM (SELECT ord, seq, unnest(range(0, (length(seq) + 29) // 30)) AS k FROM aligned) GROUP BY ord"
+
+
+@query("SEQ18_pretty_alignment", with_("aligned", _BLOCKS))
+def _(s, d):
+    @F.pandas_udf("string")
+    def blocks(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([align.pretty(a, b, 30) for a, b in zip(x, y, strict=True)])
+
+    return view(s, d, "aligned").select("ord", blocks("seq", F.reverse("seq")).alias("text"))
+
+
+@query("SEQ05_preserve_case", with_("aligned", "SELECT ord, string_agg(CASE WHEN k % 3 = 0 THEN lower(c) ELSE c END, '' ORDER BY i) AS seq FROM (SELECT ord, i, c, sum(CASE WHEN c <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY i) AS k FROM (SELECT ord, i, substr(seq, i, 1) AS c FROM (SELECT ord, seq, unnest(range(1, length(seq) + 1)) AS i FROM aligned))) GROUP BY ord"))
+def _(s, d):
+    bare = F.split(F.replace("seq", F.lit("-"), F.lit("")), "")
+    mixed = F.array_join(F.transform(bare, lambda c, i: F.when((i + 1) % 3 == 0, F.lower(c)).otherwise(c)), "")
+
+    @F.pandas_udf("string")
+    def cased(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([align.preserve_case(a, b) for a, b in zip(x, y, strict=True)])
+
+    return view(s, d, "aligned").select("ord", cased(mixed, "seq").alias("seq"))

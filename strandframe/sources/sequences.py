@@ -222,6 +222,19 @@ def nexus_text(rows: list[tuple[str, str]], *, translation: dict[str, str] | Non
     return "\n".join(out) + "\n"
 
 
+def write_nexus(df: DataFrame, path: str, *, width: int = 60, translation: dict[str, str] | None = None) -> None:
+    """An interleaved NEXUS data block, and a translation block if given; one file, written by one task that holds a block at a time."""
+    upper = F.upper(F.col("seq"))
+    n = df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("w"), F.coalesce(F.bool_and(F.length(F.regexp_replace(upper, "[ACGTURYKMSWBDHVN?-]", "")) == 0), F.lit(True)).alias("dna"))
+    kind = F.when(F.col("dna"), "DNA").otherwise("PROTEIN")
+    head = n.select(F.lit(-1).alias("chunk"), F.lit(-1).cast("long").alias("ord"), F.concat(F.lit("#NEXUS\nBEGIN DATA;\nDIMENSIONS NTAX="), "n", F.lit(" NCHAR="), "w", F.lit(";\nFORMAT DATATYPE="), kind, F.lit(" GAP=- MISSING=? INTERLEAVE;\nMATRIX")).alias("value"))
+    block = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / width).cast("int")), lambda k: F.substr("seq", k * width + 1, F.lit(width))))
+    body = df.select(F.col("ord").cast("long").alias("ord"), "label", block.alias("chunk", "part")).select("chunk", "ord", F.concat_ws(" ", "label", "part").alias("value"))
+    more = ["BEGIN TREES;", "TRANSLATE " + ", ".join(f"{k} {v}" for k, v in translation.items()) + ";", "END;"] if translation else []
+    tail = n.select(F.lit(2**31 - 1).alias("chunk"), F.lit(0).cast("long").alias("ord"), F.lit("\n".join([";", "END;", *more])).alias("value"))
+    head.unionByName(body).unionByName(tail).coalesce(1).sortWithinPartitions("chunk", "ord").select("value").write.mode("overwrite").text(path)
+
+
 READERS = {
     **dict.fromkeys(("fas", "fasta", "fa", "fst", "fna", "faa"), read_fasta), **dict.fromkeys(("fastq", "fq"), read_fastq), **dict.fromkeys(("gb", "gbk", "genbank"), read_genbank),
     "embl": read_embl, "tsv": read_flat, "tab": read_flat, "csv": lambda s, p: read_flat(s, p, sep=","), **dict.fromkeys(("phy", "phylip"), read_phylip), **dict.fromkeys(("nex", "nexus"), read_nexus),

@@ -163,3 +163,50 @@ def test_runs_over_many_ranges_equal_a_plain_pass(spark, monkeypatch):
     for a, b in zip(vals, vals[1:], strict=False):
         want.append(want[-1] + (a != b))
     assert got == want
+
+
+def test_alignment_scores_equal_plain_recurrences():
+    from strandframe.operators import align
+
+    rng = np.random.default_rng(6)
+    table = align._table(align.nucleotide_scores())
+    for gaps in ((-7.0, -7.0, -7.0), (-10.0, -1.0, -10.0), (-4.0, -6.0, -5.0)):
+        opening, extend, double = gaps
+        for method in align.METHODS:
+            x, y = ("".join(rng.choice(list("ACGT"), n)) for n in rng.integers(5, 14, 2))
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            s = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            up, left = ([[-1e30] * (len(y) + 1) for _ in range(len(x) + 1)] for _ in range(2))
+            for i in range(1, len(x) + 1):
+                s[i][0] = opening + extend * (i - 1) if method == "global" else 0.0
+            for j in range(1, len(y) + 1):
+                s[0][j] = opening + extend * (j - 1) if method in ("global", "glocal") else 0.0
+            for i in range(1, len(x) + 1):
+                up[i][0] = max(s[i - 1][0] + opening, up[i - 1][0] + extend, left[i - 1][0] + double)
+                for j in range(1, len(y) + 1):
+                    up[i][j] = max(s[i - 1][j] + opening, up[i - 1][j] + extend, left[i - 1][j] + double)
+                    left[i][j] = max(s[i][j - 1] + opening, left[i][j - 1] + extend, up[i][j - 1] + double) if j > 1 else s[i][0] + opening
+                    s[i][j] = max(s[i - 1][j - 1] + table[ord(x[i - 1]), ord(y[j - 1])], up[i][j], left[i][j], *([0.0] if method == "local" else []))
+            got, _ = align._fill(np.frombuffer(x.encode(), np.uint8), np.frombuffer(y.encode(), np.uint8), table, method, gaps)
+            assert np.allclose(got, s)
+
+
+def test_paired_files_and_regions(spark, tmp_path):
+    from strandframe.sources import regions
+
+    (tmp_path / "g.txt").write_text("s1\ts2\nA\tB\nX\tA\n")
+    (tmp_path / "p.txt").write_text("CHR\tPOS\nc1\t5\nc1\t9\n")
+    codes = {"A": 0, "B": 2, "X": -1}
+    got = {tuple(r) for r in regions.read_paired(spark, str(tmp_path / "g.txt"), str(tmp_path / "p.txt"), codes=codes).collect()}
+    assert got == {(1, "c1", "5", "s1", 0), (1, "c1", "5", "s2", 2), (2, "c1", "9", "s1", -1), (2, "c1", "9", "s2", 0)}
+    assert regions.paired_lines(spark, str(tmp_path / "g.txt"), str(tmp_path / "p.txt"), limit=1).first()["geno_line"] == "A\tB"
+    (tmp_path / "bad.txt").write_text("s1\ts2\nA\n")
+    for path, table in (("bad.txt", codes), ("g.txt", {"A": 0})):
+        try:
+            regions.read_paired(spark, str(tmp_path / path), str(tmp_path / "p.txt"), codes=table).collect()
+        except Exception:
+            continue
+        raise AssertionError(path)
+    cells = spark.createDataFrame([(1, "b", 2), (0, "a", 0), (0, "b", 1), (1, "a", -1)], "snp_idx long, sample string, value int")
+    path = regions.save_region(cells, None, str(tmp_path), form="tab")
+    assert path.endswith("/n-2-2.nalt.txt.gz") and [r[0] for r in spark.read.text(path).collect()] == ["a\tb", "0\t1", "-1\t2"]
