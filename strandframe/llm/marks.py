@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .tokens import U
 
-#: Hashes up to which a bitmap of so many bits (8 MB) is worth its while; beyond, a shuffled join does the same.
-MOST_MARKED, MARK_BITS = 1 << 23, 26
+#: Bits of a bitmap (8 MB).
+MARK_BITS = 26
 
 
 def marks(hashes: DataFrame, column: str) -> np.ndarray:

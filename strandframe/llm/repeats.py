@@ -1,15 +1,18 @@
 """Operator 5: removal of repeated passages, located by Aho-Corasick automata.
 
 A window is WINDOW consecutive words of one document; a word goes if some window over it occurs, as a sequence of words, at
-another place too. Three steps find all such windows without counting every window of the corpus:
+another place too. Three steps find all such windows without bringing every window of the corpus together:
 
 1. Winnowing. Of the GRAM-word grams of every window the one with the smallest hash is its anchor. Equal windows have equal
    anchors, so only anchors that occur at two places matter; they are counted first.
-2. A stretch is a run of windows with one anchor, its body their words. Equal bodies are counted. A body that occurs twice
-   recurs with all its windows. Where bodies share an anchor but differ (at the edges of a repeated passage), their windows
-   are counted in their turn. Runs of windows that occur twice are the confirmed passages.
+2. A stretch is a run of windows with one anchor, its body their words. Bodies with equal bytes are counted. A body that is
+   the only one of its anchor and occurs twice is a passage. Where bodies share an anchor but differ (at the edges of a
+   repeated passage), their windows are counted, and of each that occurs twice one place is kept, in the body that stands
+   for all. Windows that follow one another there, and do so wherever they occur, make up a passage.
 3. The passages are compiled into Aho-Corasick automata, sharded by anchor, and the bodies of all documents are streamed
-   through the automaton of their shard, which finds every occurrence byte for byte. Large shards are dealt on by salt.
+   through the automaton of their shard, which finds every occurrence byte for byte; the counts above know of one place for
+   each passage, all others come from the automata. A passage found once alone was a chance equality of hashes and is
+   dropped. An anchor with many bodies is dealt on by the words beside it, and by salt.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import Scratch, table
-from .marks import MOST_MARKED, has_mark, marks
 from .tokens import U, grams, list_array, signed, small, words
 
 WINDOW = 35
@@ -33,8 +35,10 @@ BLANKS = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 MANY = re.compile(rb"  +")
 #: Words of an anchor; a window has WINDOW - GRAM + 1 of these to choose from.
 GRAM = 8
-#: Bytes of patterns in one automaton, and bodies of one anchor that one automaton is given.
+#: Bytes of passages and bodies that one automaton is given at once, and bodies of one anchor from which it is dealt on.
 AUTOMATON_BYTES, SHARD_ROWS = 1 << 19, 2048
+#: Modulus of the sums that tell whether two windows always follow one another.
+M = 1 << 31
 
 
 def anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -51,14 +55,21 @@ def anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
     return out + np.arange(n)
 
 
-def stretches(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor hash) of the runs of windows with one anchor."""
+def stretches(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor hash, whether the anchor stands there more than once) of the runs of windows with one anchor.
+
+    In repetitive text a run can be long; it is cut into pieces no longer than a run of one anchor can be.
+    """
     a = anchors(h, window, gram)
     if not len(a):
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, U)
-    new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-    return new, np.diff(np.r_[new, len(a)]), grams(h, gram)[a[new]]
+        return z, z, np.zeros(0, U), np.zeros(0, bool)
+    g = grams(h, gram)[a]
+    runs = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    at = np.arange(len(g))
+    new = np.flatnonzero((at - np.repeat(runs, np.diff(np.r_[runs, len(g)]))) % (window - gram + 1) == 0)
+    ends = np.r_[new[1:], len(g)]
+    return new, ends - new, g[new], a[ends - 1] != a[new]
 
 
 def spaced(raw: bytes) -> bytes:
@@ -73,31 +84,20 @@ def joined(raw: bytes, s: np.ndarray, e: np.ndarray, first: int, n: int) -> str:
 
 
 def recurring_anchors(docs: DataFrame, text: str, window: int, gram: int) -> DataFrame:
-    """(anchor) that more than one stretch has; summed per batch before the shuffle."""
+    """(anchor) that stands at more than one place; summed per batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 2048):
-            got = [stretches(words(t)[0], window, gram)[2] for t in b.column(0).to_pylist()]
-            a, n = np.unique(np.concatenate(got), return_counts=True)
+            got = [stretches(words(t)[0], window, gram)[2:] for t in b.column(0).to_pylist()]
+            a, at = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
+            n = np.bincount(at, weights=1 + np.concatenate([x for _, x in got]), minlength=len(a)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(n)], ["anchor", "n"])
 
     return docs.select(text).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
-def pieces_by_marks(docs: DataFrame, recurring: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc, th, anchor, first, body) of the stretches whose anchors the bitmap has: all that recur, and a few that do not."""
-    shared = docs.sparkSession.sparkContext.broadcast(marks(recurring, "anchor"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = shared.value
-        for b in small(batches, 64):
-            yield from _pieces(b, window, gram, lambda a, _: np.flatnonzero(has_mark(filled, a)))
-
-    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, anchor long, first long, body string")
-
-
-def pieces_by_join(docs: DataFrame, recurring: DataFrame, window: int, gram: int) -> DataFrame:
-    """The same by shuffled joins, for any number of anchors."""
+def pieces(docs: DataFrame, recurring: DataFrame, window: int, gram: int) -> DataFrame:
+    """(doc, th, anchor, first, multi, body) of the stretches whose anchors recur, by shuffled joins for any number of anchors."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -106,27 +106,34 @@ def pieces_by_join(docs: DataFrame, recurring: DataFrame, window: int, gram: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 64):
-            known = b.column(3).to_pylist()
-            yield from _pieces(b, window, gram, lambda a, i: np.flatnonzero(np.isin(signed(a), np.array(known[i], np.int64))))
+            yield from _pieces(b, window, gram)
 
     have = docs.select("doc", "th", "text").mapInArrow(find, "doc long, th long, anchors array<long>").select("doc", "th", F.explode("anchors").alias("anchor"))
     of = have.join(recurring.hint("merge"), "anchor").groupBy("doc", "th").agg(F.collect_set("anchor").alias("known"))
-    return docs.select("doc", "th", "text").join(of.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "known").mapInArrow(run, "doc long, th long, anchor long, first long, body string")
+    return docs.select("doc", "th", "text").join(of.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "known").mapInArrow(run, "doc long, th long, anchor long, first long, multi boolean, body string")
+
 
+def _pieces(b: pa.RecordBatch, window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc", "th", "anchor", "first", "multi", "body"]
+    rows: list[tuple] = []
+    held = 0
 
-def _pieces(b: pa.RecordBatch, window: int, gram: int, chosen) -> Iterator[pa.RecordBatch]:
-    at, anchor, start, bodies = [], [], [], []
-    for i, t in enumerate(b.column(2).to_pylist()):
+    def flush() -> pa.RecordBatch:
+        at, *cols = zip(*rows, strict=True)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+
+    for i, (t, known) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
         h, s, e, raw = words(t)
-        first, n, a = stretches(h, window, gram)
-        for j in chosen(a, i):
-            at.append(i)
-            anchor.append(signed(a[j : j + 1])[0])
-            start.append(first[j])
-            bodies.append(joined(raw, s, e, first[j], n[j] + window - 1))
-    if at:
-        take = pa.array(at)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(anchor, pa.int64()), pa.array(start, pa.int64()), pa.array(bodies, pa.string())], ["doc", "th", "anchor", "first", "body"])
+        first, n, a, multi = stretches(h, window, gram)
+        for j in np.flatnonzero(np.isin(signed(a), np.array(known, np.int64))):
+            rows.append((i, int(signed(a[j : j + 1])[0]), int(first[j]), bool(multi[j]), joined(raw, s, e, first[j], n[j] + window - 1)))
+            held += len(rows[-1][-1])
+            if held >= 1 << 24:
+                yield flush()
+                rows, held = [], 0
+    if rows:
+        yield flush()
 
 
 def windows_of(bodies: DataFrame, window: int) -> DataFrame:
@@ -145,68 +152,123 @@ def windows_of(bodies: DataFrame, window: int) -> DataFrame:
     return out.select("anchor", "bid", "copies", F.posexplode("whs").alias("at", "wh"))
 
 
+def representatives(windows: DataFrame) -> DataFrame:
+    """(anchor, part, places) of windows that occur twice: in the bodies whose bid has this remainder, (at, s1, s2) of each window they stand for.
+
+    Every place of a window adds a number of its body to s1, and that times its position to s2, modulo M. Where a window is
+    always followed by another, the other has the same s1, and an s2 that is larger by s1.
+    """
+    part = F.pmod("bid", F.lit(M))
+    seen = windows.groupBy("anchor", "wh").agg(
+        F.sum("copies").alias("n"), F.min(part * (1 << 32) + F.col("at")).alias("place"),
+        F.sum(F.col("copies") * part).alias("s1"), F.sum(F.col("copies") * (part * F.col("at") % M)).alias("s2"),
+    )
+    twice = seen.filter("n > 1").select("anchor", F.floor(F.col("place") / (1 << 32)).cast("long").alias("part"), F.struct((F.col("place") % (1 << 32)).alias("at"), (F.col("s1") % M).alias("s1"), (F.col("s2") % M).alias("s2")).alias("place"))
+    return twice.groupBy("anchor", "part").agg(F.collect_list("place").alias("places"))
+
+
 def passages_of(bodies: DataFrame, window: int) -> DataFrame:
-    """(anchor, passage): of bodies (anchor, hits, body) the maximal runs of windows whose numbers are in hits, as words."""
+    """(anchor, passage): of bodies (anchor, places, body) the maximal runs of windows that stand for others and always follow one another, as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 256):
             out = []
-            for anchor, hits, body in zip(*(b.column(x).to_pylist() for x in range(3)), strict=True):
-                h, s, e, raw = words(body)
-                hit = np.zeros(len(h) - window + 3, np.int8)
-                hit[np.array(hits, np.int64) + 1] = 1
-                edge = np.flatnonzero(np.diff(hit))
-                out += [(anchor, joined(raw, s, e, i, j - i + window - 1)) for i, j in zip(edge[::2], edge[1::2], strict=True)]
+            for anchor, places, body in zip(*(b.column(x).to_pylist() for x in range(3)), strict=True):
+                _, s, e, raw = words(body)
+                at, s1, s2 = np.array(sorted((x["at"], x["s1"], x["s2"]) for x in places), np.int64).T
+                # A body with the same remainder may be shorter than the one that is meant.
+                at, s1, s2 = (x[at + window <= len(s)] for x in (at, s1, s2))
+                new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (s1[1:] != s1[:-1]) | (s2[1:] != (s2[:-1] + s1[:-1]) % M)][: len(at)])
+                out += [(anchor, joined(raw, s, e, at[i], j - i + window - 1)) for i, j in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True)]
             a, p = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.string())], ["anchor", "passage"])
 
-    return bodies.select("anchor", "hits", "body").mapInArrow(run, "anchor long, passage string")
+    return bodies.select("anchor", "places", "body").mapInArrow(run, "anchor long, passage string")
+
+
+def beside(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """Rows (anchor, bid, copies, body) once for each of their keys: adds side, a hash of the words on one side of the anchor.
+
+    A passage, in which bid is null, gets the key of one side on which it has half a window's words beyond its anchor; every
+    body that holds it has the same words there, and gets the keys of both sides of every place of the anchor.
+    """
+    half = (window - gram + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 1024):
+            at, side = [], []
+            for i, (anchor, bid, body) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                h = words(body)[0]
+                g, near = signed(grams(h, gram)), signed(grams(h, half))
+                of = np.flatnonzero(g == anchor)
+                left, right = of - half, of + gram
+                keys = [*near[left[left >= 0]].tolist(), *(~near[right[right + half <= len(h)]]).tolist()]
+                keys = keys[:1] if bid is None else set(keys)
+                at += [i] * len(keys)
+                side += keys
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns), pa.array(side, pa.int64())], ["anchor", "bid", "copies", "body", "side"])
+
+    return rows.select("anchor", "bid", "copies", "body").mapInArrow(run, "anchor long, bid long, copies long, body string, side long")
 
 
 def located(rows: DataFrame) -> DataFrame:
-    """(anchor, bid, start, stop): which words of each body the passages of its anchor cover.
+    """(anchor, bid, start, stop): which words of each body the passages of its shard cover.
 
-    Rows (anchor, salt, bid, body) come sorted, the passages of an anchor and salt (bid null) before the bodies. An automaton
-    holds the passages of as many anchors as fit AUTOMATON_BYTES.
+    Rows (anchor, side, salt, parts, bid, copies, body) come sorted, the passages of a shard (bid null) before the bodies. An
+    automaton holds the passages of as many shards as fit AUTOMATON_BYTES.
     """
 
-    def scan(patterns: dict[str, int], held: list[tuple[int, int, str]]) -> pa.RecordBatch:
-        auto = ahocorasick.Automaton()
-        for p, n in patterns.items():
-            auto.add_word(p, (len(p), n))
-        auto.make_automaton()
-        out = []
-        for anchor, bid, body in held:
+    def scan(auto: ahocorasick.Automaton, whole: set[int], held: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+        found, times = [], {}
+        for k, (_, _, copies, body) in enumerate(held):
             blanks = np.flatnonzero(np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-            spans = sorted((int(np.searchsorted(blanks, end - length + 1)), n) for end, (length, n) in auto.iter(body))
-            stop = -1
-            for s, n in spans:
-                if s > stop:
-                    out.append([anchor, bid, s, s + n])
-                    stop = s + n
-                elif s + n > stop:
-                    out[-1][3] = stop = s + n
+            for end, (length, n, p) in auto.iter(body):
+                found.append((k, int(np.searchsorted(blanks, end - length + 1)), n, p))
+                times[p] = times.get(p, 0) + copies
+        # Where all bodies of a shard are here, a passage that stands once was no repeat.
+        found = sorted((k, s, n) for k, s, n, p in found if times[p] > 1 or p not in whole)
+        out: list[list[int]] = []
+        last, stop = -1, -1
+        for k, s, n in found:
+            if k != last or s > stop:
+                out.append([held[k][0], held[k][1], s, s + n])
+                last, stop = k, s + n
+            elif s + n > stop:
+                out[-1][3] = stop = s + n
         cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["anchor", "bid", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "bid", "start", "stop"])
+
+    def compiled(patterns: dict[str, int]) -> ahocorasick.Automaton:
+        auto = ahocorasick.Automaton()
+        for p, (text, n) in enumerate(patterns.items()):
+            auto.add_word(text, (len(text), n, p))
+        auto.make_automaton()
+        return auto
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns: dict[str, int] = {}
-        held: list[tuple[int, int, str]] = []
-        size = 0
+        held: list[tuple[int, int, int, str]] = []
+        shard, size, parted = None, 0, False
         for b in small(batches, 256):
-            for anchor, bid, body in zip(*(b.column(x).to_pylist() for x in range(3)), strict=True):
-                if bid is None and held and size >= AUTOMATON_BYTES:
-                    yield scan(patterns, held)
+            for anchor, side, salt, parts, bid, copies, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (anchor, side, salt) != shard and held and (size >= AUTOMATON_BYTES or parts > 1 or parted):
+                    yield scan(compiled(patterns), set() if parted else set(range(len(patterns))), held)
                     patterns, held, size = {}, [], 0
+                shard, parted = (anchor, side, salt), parts > 1
                 if bid is None:
                     patterns[body] = body.count(" ") - 1
                 else:
-                    held.append((anchor, bid, body))
+                    held.append((anchor, bid, copies, body))
                 size += len(body)
+                if parted and held and size >= 4 * AUTOMATON_BYTES and len(held) >= len(patterns):
+                    # A dealt shard has the passages once and its bodies bit by bit.
+                    yield scan(compiled(patterns), set(), held)
+                    held, size = [], 0
         if patterns and held:
-            yield scan(patterns, held)
+            yield scan(compiled(patterns), set() if parted else set(range(len(patterns))), held)
 
-    return rows.select("anchor", "bid", "body").mapInArrow(run, "anchor long, bid long, start long, stop long")
+    return rows.select("anchor", "side", "salt", "parts", "bid", "copies", "body").mapInArrow(run, "anchor long, bid long, start long, stop long")
 
 
 def cut_out(docs: DataFrame) -> DataFrame:
@@ -235,7 +297,7 @@ def cut_out(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, most_marked: int = MOST_MARKED) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(key, n_words, n_removed, kept): each row's words outside all windows that occur elsewhere, the same row included.
 
     A null text has no words. A row that repeats another with as many words as a window is removed whole, and so is the
@@ -246,32 +308,36 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.lit(1), key).alias("doc"), F.xxhash64(F.col(key).isNull(), text).alias("th"))
     recurring = scratch.put(recurring_anchors(own, "text", window, gram))
     scratch.sweep()
-    way = pieces_by_marks if recurring.count() <= most_marked else pieces_by_join
-    pieces = scratch.put(way(own, recurring, window, gram).withColumn("bid", F.xxhash64("body")))
-    scratch.sweep()
-    bodies = scratch.put(pieces.groupBy("anchor", "bid").agg(F.count("*").alias("copies"), F.first("body").alias("body")))
-    kinds = bodies.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).filter("all > 1")
-    judged = bodies.join(kinds, "anchor")
-    whole = judged.filter("kinds = 1")
-    mixed_ = scratch.put(windows_of(judged.filter("kinds > 1"), window))
-    twice = mixed_.groupBy("anchor", "wh").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "wh")
-    hits = mixed_.join(twice, ["anchor", "wh"]).groupBy("anchor", "bid").agg(F.collect_set("at").alias("hits"))
-    hit = scratch.put(bodies.join(hits, ["anchor", "bid"]))
-    scratch.sweep()
-    # Only bodies that hold a passage are streamed; of an anchor with many of them each part gets all its passages.
-    parts = F.ceil(F.count("*") / SHARD_ROWS).cast("int")
-    passages = passages_of(hit, window).distinct()
-    shards = hit.groupBy("anchor").agg(parts.alias("parts"))
-    texts = hit.select("anchor", "bid", "body").join(shards, "anchor").select("anchor", F.pmod(F.xxhash64("bid"), "parts").cast("int").alias("salt"), "bid", "body")
-    needles = passages.join(shards, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("bid"), F.col("passage").alias("body"))
-    both = whole.select("anchor", F.lit(0).alias("salt"), F.explode(F.array(F.lit(None).cast("long"), "bid")).alias("bid"), "body")
-    rows = texts.unionByName(needles).unionByName(both)
-    found = scratch.put(located(rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.col("bid").asc_nulls_first())))
+    cut = scratch.put(pieces(own, recurring, window, gram).withColumn("bid", F.xxhash64("body")))
+    scratch.drop(recurring)
+    bodies = scratch.put(cut.groupBy("anchor", "bid", "body", "multi").agg(F.count("*").alias("copies")))
+    kinds = scratch.put(bodies.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"), F.max("multi").alias("many")).filter("all > 1 OR many"))
+    judged = bodies.join(kinds.hint("merge"), "anchor").withColumn("alone", F.expr("kinds = 1 AND NOT many"))
+    judged = scratch.put(judged.select("anchor", "bid", "body", "copies", "alone"))
+    scratch.drop(bodies, kinds)
+    whole, several = judged.filter("alone"), judged.filter("NOT alone")
+    stand = representatives(windows_of(several, window)).withColumnRenamed("anchor", "a2")
+    stand = several.join(stand.hint("merge"), (F.col("anchor") == F.col("a2")) & (F.pmod("bid", F.lit(M)) == F.col("part")))
+    passages = scratch.put(passages_of(stand, window).distinct())
     scratch.sweep()
-    spans = pieces.select("doc", "th", "anchor", "bid", "first").join(found, ["anchor", "bid"])
+    # Anchors with a passage, and the number of their bodies.
+    sizes = several.groupBy("anchor").agg(F.count("*").alias("rows")).join(passages.select(F.col("anchor").alias("a2")).distinct().hint("merge"), F.col("anchor") == F.col("a2"), "left_semi")
+    sizes = scratch.put(sizes.select("anchor", "rows"))
+    every = several.select("anchor", "bid", "copies", "body").unionByName(passages.select("anchor", F.lit(None).cast("long").alias("bid"), F.lit(0).cast("long").alias("copies"), F.col("passage").alias("body")))
+    few = every.join(sizes.filter(F.col("rows") <= shard_rows).select("anchor").hint("merge"), "anchor").withColumns({"side": F.lit(0).cast("long"), "parts": F.lit(1)})
+    dealt = scratch.put(beside(every.join(sizes.filter(F.col("rows") > shard_rows).select("anchor").hint("merge"), "anchor"), window, gram))
+    parts = scratch.put(dealt.groupBy("anchor", "side").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")))
+    dealt = dealt.join(parts.hint("merge"), ["anchor", "side"])
+    alone = whole.select("anchor", F.explode(F.array(F.lit(None).cast("long"), "bid")).alias("bid"), "copies", "body").withColumns({"side": F.lit(0).cast("long"), "parts": F.lit(1)})
+    columns = ["anchor", "side", "salt", "parts", "bid", "copies", "body"]
+    salts = F.when(F.col("bid").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("bid", "body"), "parts").cast("int")))
+    rows = few.unionByName(alone).withColumn("salt", F.lit(0)).select(columns).unionByName(dealt.withColumn("salt", F.explode(salts)).select(columns))
+    found = scratch.put(located(rows.repartition("anchor", "side", "salt").sortWithinPartitions("anchor", "side", "salt", F.col("bid").asc_nulls_first())))
+    scratch.drop(judged, passages)
+    spans = cut.select("doc", "th", "anchor", "bid", "first").join(found.hint("merge"), ["anchor", "bid"])
     spans = spans.groupBy("doc", "th").agg(F.collect_set(F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))).alias("spans"))
     spans = scratch.put(spans)
-    scratch.drop(bodies, hit, mixed_)
+    scratch.drop(cut, found)
     return cut_out(own.join(spans.hint("merge"), ["doc", "th"], "left").select("key", "text", "spans")).select(F.col("key").alias(key), "n_words", "n_removed", "kept")
 
 
