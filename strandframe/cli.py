@@ -201,6 +201,20 @@ def recircularize(spark, a):
     return io.write_fasta(out.withColumn("ord", F.monotonically_increasing_id()), a.outfile)
 
 
+@command(_opt(("--reference", {"required": True}), ("--least", {"type": int, "default": 15})))
+def recircularize2(spark, a):
+    """Lays circular sequences in the frame of the whole reference; what stands over its ends is merged in."""
+    ref = io.read(spark, a.reference).select(F.upper("seq").alias("__r")).limit(1)
+    out = align.recircularise_columns(_read(spark, a).select("label", sq.degap(F.col("seq")).alias("seq")).join(ref), "seq", "__r", least=a.least)
+    return io.write_fasta(out.select("label", F.col("circle").alias("seq")).withColumn("ord", F.monotonically_increasing_id()), a.outfile)
+
+
+@command(lambda p: None)
+def showcmds(spark, a):
+    """Lists the commands."""
+    print("\n".join(f"{name}\t{f.__doc__}" for name, (f, _) in sorted(COMMANDS.items())))
+
+
 @command(_opt(("--by", {"choices": ["sample", "pos"], "default": "sample"})))
 def vcf2qc(spark, a):
     """Genotype classes per sample or variant."""

@@ -179,11 +179,21 @@ def relabel(df: DataFrame, *, prefix: str = "") -> DataFrame:
     return dealt.withColumn("new_label", F.format_string(prefix + "%04d", "number"))
 
 
+#: Ranges of an order at most; their bounds are on the driver.
+MOST_RANGES = 1000
+
+
 def in_ranges(df: DataFrame, by: str, rows: int = 4096) -> DataFrame:
-    """Adds __part: the range of a numeric column that a row falls in, ranges being as many as give about `rows` rows each."""
-    lo = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.count("*").alias("n")).first()
-    width = max(1, ((lo["hi"] or 0) - (lo["lo"] or 0)) // max(1, (lo["n"] or 1) // rows) + 1)
-    return df.withColumn("__part", F.floor((F.col(by) - F.lit(lo["lo"] or 0)) / width))
+    """Adds __part: the range of a numeric column that a row falls in. Ranges are cut at approximate quantiles, so they hold alike many rows, about `rows` of them or a MOST_RANGES-th of all."""
+    parts = max(1, min(df.count() // rows, MOST_RANGES))
+    if parts == 1:
+        return df.withColumn("__part", F.lit(0).cast("long"))
+    from pyspark.ml.feature import Bucketizer
+
+    d = df.withColumn("__d", F.col(by).cast("double"))
+    cuts = sorted(set(d.approxQuantile("__d", [i / parts for i in range(1, parts)], 0.25 / parts)))
+    out = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__d", outputCol="__part", handleInvalid="keep").transform(d)
+    return out.withColumn("__part", F.col("__part").cast("long")).drop("__d")
 
 
 def numbered(df: DataFrame, by: str, name: str = "number") -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from strandframe import cli
 from strandframe.plans import registry
+from strandframe.sources import sequences as io
 from strandframe.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -72,6 +73,37 @@ def test_commands(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "d")).count() == 4
 
 
+def test_more_commands(spark, tmp_path, capsys):
+    ref = "ACGTTGCATTGACCAGTTACGGATCCATGCAACTTGGACCTTAGCAATCGGAGTCA"
+    (tmp_path / "r.fasta").write_text(f">r\n{ref}\n")
+    (tmp_path / "c.fasta").write_text(f">a\n{ref[20:]}{ref[:20]}\n>b\n{ref}\n")
+    cli.main(["recircularize2", str(tmp_path / "c.fasta"), "--reference", str(tmp_path / "r.fasta"), "-o", str(tmp_path / "o")], spark)
+    assert {r["label"]: r["seq"] for r in io.read_fasta(spark, str(tmp_path / "o")).collect()} == {"a": ref, "b": ref}
+    cli.main(["showcmds"], spark)
+    assert "recircularize2\t" in capsys.readouterr().out
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    for name, cell in (("s1", "0/0"), ("s2", "0/1")):
+        (tmp_path / f"{name}.vcf").write_text(f"{head}{name}\n1\t5\t.\tA\tC\t.\t.\t.\tGT\t{cell}\n")
+    files = [str(tmp_path / f"{n}.vcf") for n in ("s1", "s2")]
+    cli.main(["vcf2table", *files, "-o", str(tmp_path / "v")], spark)
+    assert {r["sample"] for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {"s1", "s2"}
+    cli.main(["vcf2qc", *files, "-o", str(tmp_path / "q.tsv")], spark)
+    assert spark.read.csv(str(tmp_path / "q.tsv"), sep="\t", header=True).count() == 2
+
+
+def test_ranges_hold_alike_many_rows(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.operators.sequence import in_ranges, numbered
+
+    # Nearly all values lie close together, some far away.
+    df = spark.range(20000).select(F.when(F.col("id") % 1000 == 0, F.col("id") * 10**9).otherwise(F.col("id")).alias("v"))
+    sizes = [r["count"] for r in in_ranges(df, "v", 500).groupBy("__part").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 1500
+    got = numbered(df, "v").orderBy("v").collect()
+    assert [r["number"] for r in got] == list(range(1, 20001))
+
+
 def test_map_traces(spark, tmp_path):
     from strandframe.sources import traces
 
