@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch, shared_dir
+
+__all__ = ["WORD", "Scratch", "clear_of", "n_words", "shared_dir", "table", "without"]
+
 #: A word is a run of anything but the ASCII blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,45 +18,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="strandframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables in the shared folder. put() writes a frame and reads it back, so that lineage ends in files every executor sees."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
-
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n}"
-
-    def put(self, df: DataFrame) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(at := self.path())
-        out = self.spark.read.schema(df.schema).parquet(at)
-        out._scratch = at
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables that nothing reads any more, and lets Spark free the shuffle files of frames that are gone."""
-        jvm = self.spark._jvm
-        for df in frames:
-            at = jvm.org.apache.hadoop.fs.Path(df._scratch)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.sweep()
-
-    def sweep(self) -> None:
-        """Shuffle files go when the driver collects its garbage; this asks for it between the phases of a long operator."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
