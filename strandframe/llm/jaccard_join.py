@@ -148,7 +148,7 @@ def prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, rule: Rule) ->
 
 
 def draw(docs: DataFrame, text: str, key: str, rule: Rule, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(id, n, band, c, sig, wide, l, prefix) per row: set size, its band, class and what the join needs of it."""
+    """(id, th, n, band, c, sig, wide, l, prefix) per row: hash of the text, set size, its band, class and what the join needs of it."""
     bands = rule.bands()
     known = docs.sparkSession.sparkContext.broadcast((heavy, counts))
 
@@ -164,10 +164,10 @@ def draw(docs: DataFrame, text: str, key: str, rule: Rule, heavy: np.ndarray, co
                 wide.append(wide_signature(s, rule))
                 l.append(want)
                 p.append(signed(first))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.searchsorted(bands, n, "right"), pa.int32()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(l, pa.int32()), list_array(p, pa.int64())], ["id", "n", "band", "c", "sig", "wide", "l", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(np.searchsorted(bands, n, "right"), pa.int32()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(l, pa.int32()), list_array(p, pa.int64())], ["id", "th", "n", "band", "c", "sig", "wide", "l", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, band int, c long, sig binary, wide binary, l int, prefix array<long>")
+    return docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("th")).mapInArrow(run, f"id {kind}, th long, n long, band int, c long, sig binary, wide binary, l int, prefix array<long>")
 
 
 def _pairs_of_groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -393,7 +393,7 @@ def _in_company(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
-    """(key, n_shingles, component_id, class_id, n_links): set size, smallest key reachable over links, class of equal sets, number of other classes that link to it.
+    """(key, text_hash, n_shingles, component_id, class_id, n_links): xxhash64 of the text, set size, smallest key reachable over links, class of equal sets, number of other classes that link to it.
 
     Texts are lower-cased (A-Z). A null text, or one without words, has no shingles and links with nothing, not even its
     like; its class is null. A text of fewer than k words is one shingle. Rows that repeat share a class. A null key takes
@@ -436,8 +436,8 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     named = names.groupBy("label").agg(F.min("first_id").alias("component_id"))
     per_class = scratch.put(names.join(named, "label").join(degree, F.col("c") == F.col("of"), "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     scratch.drop(classes, clusters, labels, links)
-    out = drawn.select("id", "n", F.col("c").alias("of")).join(per_class, F.col("of") == F.col("c"), "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = drawn.select("id", "th", "n", F.col("c").alias("of")).join(per_class, F.col("of") == F.col("c"), "left")
+    return out.select(F.col("id").alias(key), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _of_class(rows: DataFrame, k: int) -> DataFrame:
@@ -458,3 +458,20 @@ def op9_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+
+
+#: Whole sets of words in place of hashes, all links, and their closure; for tables that one machine holds.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS s FROM w),
+docs AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(list_sort(s), chr(10))) END AS c, s FROM sets),
+classes AS (SELECT c, min(n) AS n, min(doc_id) AS first_id, any_value(s) AS s FROM docs WHERE n > 0 GROUP BY c),
+each AS (SELECT c, n, unnest(s) AS g FROM classes),
+met AS (SELECT a.c AS x, b.c AS y, a.n AS nx, b.n AS ny, count(*) AS k FROM each a JOIN each b ON a.g = b.g AND a.c < b.c GROUP BY ALL),
+links AS (SELECT x, y FROM met WHERE 100 * k >= 90 * (nx + ny - k) UNION ALL SELECT y, x FROM met WHERE 100 * k >= 90 * (nx + ny - k)),
+reach AS (SELECT c, c AS r FROM classes UNION SELECT reach.c, links.y FROM reach JOIN links ON links.x = reach.r),
+named AS (SELECT reach.c, min(first_id) AS component_id FROM reach JOIN classes ON classes.c = reach.r GROUP BY reach.c),
+degree AS (SELECT x AS c, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM docs LEFT JOIN named USING (c) LEFT JOIN degree USING (c)
+"""

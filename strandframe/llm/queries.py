@@ -29,6 +29,7 @@ def oracle_sql() -> dict:
         "op5_repeated_passages": repeats.OP5_SQL,
         "op6_line_chunks": lines.OP6_SQL,
         "op7_minhash_containment": decontamination.OP7_SQL,
+        "op9_prefix_join": jaccard_join.OP9_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {k: v for k, v in found.items() if v}

@@ -206,8 +206,8 @@ def plain_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("most", [1 << 23, 0])
-def test_repeats_equal_plain_windows(spark, most):
+@pytest.mark.parametrize("shard_rows", [2048, 2])
+def test_repeats_equal_plain_windows(spark, shard_rows):
     rng = random.Random(9)
     shared = [split(prose(rng, n)) for n in (12, 13, 30, 80)]
     texts = [None, "", "short", prose(rng, 40), " ".join(["it"] * 60)]
@@ -218,8 +218,15 @@ def test_repeats_equal_plain_windows(spark, most):
             w[rng.randint(0, len(w)) :] = [*p[i:j], *split(prose(rng, rng.randint(0, 30)))]
         texts.append(rng.choice(["\n", " ", "  "]).join(w))
     texts.append(texts[-1])
+    # One anchor with many bodies: its words stand between others, whole windows of which come twice.
+    core = shared[1][:6]
+    sides = [split(prose(rng, 16)) for _ in range(12)]
+    texts += [" ".join([*rng.choice(sides), *core, *rng.choice(sides)]) for _ in range(40)]
+    # Repetitive texts: words, and phrases between other words.
+    texts += [" ".join(["la", "lo"] * 40), " ".join(w for _ in range(9) for w in [*core, *split(prose(rng, 5))])]
+    texts.append(texts[-1] + " end")
     docs = frame(spark, texts)
-    got = repeats.remove_repeats(docs, window=12, gram=4, most_marked=most).orderBy("doc_id").collect()
+    got = repeats.remove_repeats(docs, window=12, gram=4, shard_rows=shard_rows).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in got] == plain_repeats(texts, 12)
 
 
@@ -325,15 +332,15 @@ def near_texts(rng):
 def test_components_equal_plain_ones(spark, monkeypatch):
     texts = near_texts(random.Random(12))
     want = plain_components(texts)
-    got = [tuple(r)[1:3] for r in jaccard_join.join_components(frame(spark, texts)).orderBy("doc_id").collect()]
+    got = [tuple(r)[2:4] for r in jaccard_join.join_components(frame(spark, texts)).orderBy("doc_id").collect()]
     assert got == want
     # Small blocks and a full table of frequent shingles change nothing.
     for name, v in {"BLOCK": 3, "CLUSTER_BLOCK": 4, "HEAVY_FROM": 2, "LOCAL_FROM": 2}.items():
         monkeypatch.setattr(jaccard_join, name, v)
-    got = jaccard_join.join_components(frame(spark, texts), rule=jaccard_join.Rule(wide_from=100), most_marked=0)
-    assert [tuple(r)[1:3] for r in got.orderBy("doc_id").collect()] == want
+    got = jaccard_join.join_components(frame(spark, texts), rule=jaccard_join.Rule(wide_from=100))
+    assert [tuple(r)[2:4] for r in got.orderBy("doc_id").collect()] == want
     got = jaccard_join.join_components(frame(spark, texts), rule=jaccard_join.Rule(k=5, num=80))
-    assert [tuple(r)[1:3] for r in got.orderBy("doc_id").collect()] == plain_components(texts, 5, 80)
+    assert [tuple(r)[2:4] for r in got.orderBy("doc_id").collect()] == plain_components(texts, 5, 80)
 
 
 def test_every_link_is_counted(spark, monkeypatch):
@@ -352,6 +359,7 @@ def test_every_link_is_counted(spark, monkeypatch):
         got = {(r["doc_id"], r["n_links"]) for r in jaccard_join.join_components(docs).collect()}
         assert got == set(enumerate(want))
     parts = {i: np.unique(np.array([hash(g) for g in s], np.int64)) for i, s in enumerate(sets)}
+    assert jaccard_join.in_common(parts, np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
     x, y = np.triu_indices(len(parts), 1)
     for most in (1 << 22, 3000, 100, 1):
         monkeypatch.setattr(jaccard_join, "MOST_AT_ONCE", most)
@@ -367,6 +375,21 @@ def test_components_of_long_chains(spark):
     assert sorted(map(tuple, got.collect())) == sorted((x, min(c)) for c in chains for x in c)
 
 
+def test_a_chain_of_versions_is_one_component(spark):
+    base = split(prose(random.Random(31), 120 + 5 * 500))
+    # Each text is the last one shifted by five words: neighbours link, others do not.
+    docs = frame(spark, [" ".join(f"{w}{k}" for k, w in enumerate(base[i * 5 : i * 5 + 120], i * 5)) for i in range(500)])
+    got = jaccard_join.join_components(docs).collect()
+    assert {r["component_id"] for r in got} == {0} and {r["n_links"] for r in got} == {1, 2}
+
+
+def test_bands_hold_the_partners():
+    for rule in (jaccard_join.Rule(), jaccard_join.Rule(k=5, num=80)):
+        n = np.r_[np.arange(1, 3000), 10**6 + np.arange(50)]
+        band = lambda x: np.searchsorted(rule.bands(), x, "right")
+        assert set((band(n * rule.den // rule.num) - band(n)).tolist()) <= {0, 1} and (band(n[1:]) >= band(n[:-1])).all()
+
+
 def test_components_of_odd_rows(spark, odd):
     got = jaccard_join.join_components(odd)
     assert got.count() == odd.count() and jaccard_join.join_components(odd.limit(0)).count() == 0
@@ -411,6 +434,6 @@ def test_languages_are_told_apart(spark, odd):
 
 def test_masks_hold_every_language_of_a_gram():
     grams, masks = np.arange(1000), np.arange(1000).astype(np.uint64) % np.uint64(7) + np.uint64(1)
-    m = language.LanguageFilters.build(["a", "b", "c"], grams, masks)
-    assert ((m.masks(grams) & masks) == masks).all() and (m.wrong < 0.05).all()
-    assert (m.masks(np.arange(10**6, 10**6 + 5000)) != 0).mean() < 0.05
+    m = language.LanguageFilters.build(["a", "b", "c"], grams, [masks])
+    assert ((m.masks(grams)[0] & masks) == masks).all() and (m.wrong < 0.05).all()
+    assert (m.masks(np.arange(10**6, 10**6 + 5000))[0] != 0).mean() < 0.05
