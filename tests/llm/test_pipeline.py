@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from strandframe.llm.common import Scratch
 
 from .test_corpus import DOCS, plain_components, prose, split, water
@@ -41,3 +42,20 @@ def test_stages(spark, tmp_path):
         taken[r["source"]] = taken.get(r["source"], 0) + r["size"]
     # Nearer than half a document (180 words) no whole copies can come.
     assert all(abs(taken[s] - want[s]) <= 91 for s in sizes)
+
+
+def test_stages_of_nothing_and_of_odd_rows(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = "bababa dedede mimimi lololo papapa nenene sisisi rororo tututu gagaga " * 3
+    rows = [(1, words, "xx", "s", 5), (1, words, "xx", "s", 5), (None, words + " kakaka fefefe", "xx", None, None), (2, None, None, None, None), (3, "", "xx", "s", 0), (1, "lililo bebebe dududu " * 9, "xx", None, 3)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"key": F.lit(1), "th": F.lit("x"), "Copies": F.lit(None).cast("int")})
+    for name, stage in cp.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, str(tmp_path))
+            n = out.count()
+            assert n == 0 if df is not docs else n > 0
+            assert name == "source_mix" or out.columns == cp.COLUMNS
+    # One doc_id with two texts: each row follows its own text.
+    two = spark.createDataFrame([(5, words, "xx", "s", 5), (9, words, "xx", "s", 5), (9, "other words " + "lililo bebebe dududu " * 9, "xx", "s", 3)], DOCS)
+    got = {(r["doc_id"], r["text"][:5]) for r in cp.dedup_documents(spark, two, str(tmp_path)).collect()}
+    assert got == {(5, "babab"), (9, "other")}
