@@ -90,14 +90,21 @@ def hierarchical_fst(counts: DataFrame, tree: list, *, k: int = 3) -> DataFrame:
     return f.withColumn("rank", rank).filter(F.col("rank") <= k).select("node", "rank", "pos", "fst")
 
 
+def dosages(geno: DataFrame, positions: list[int], missing: float) -> DataFrame:
+    """(sample_id, x): the codes of each sample as one array in the order of positions, `missing` where there is none. One row per sample, whatever the number of positions; no column for each."""
+    at = geno.sparkSession.createDataFrame([(int(p), i) for i, p in enumerate(positions)], "pos long, i int")
+    cells = geno.join(at, "pos").groupBy("sample_id", "i").agg(F.first("nalt").cast("double").alias("v")).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(max(0, len(positions) - 1)))
+    return cells.select("sample_id", F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float(missing)))).alias("x"))
+
+
 def tree_features(geno: DataFrame, groups: DataFrame, *, positions: list[int], depth: int = 5, forest: bool = False, least: float = 0.15, seed: int = 1) -> DataFrame:
     """(pos, importance): positions that a decision tree (or, above `least`, a random forest) uses to tell groups apart; missing calls count as -1."""
     from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import array_to_vector
 
-    wide = geno.groupBy("sample_id").pivot("pos", positions).agg(F.first("nalt")).fillna(-1).join(groups, "sample_id")
-    v = wide.select("grp", array_to_vector(F.array(*[F.col(f"`{p}`").cast("double") for p in positions])).alias("features"))
+    v = dosages(geno, positions, -1).join(groups, "sample_id").select("grp", array_to_vector("x").alias("features"))
     indexed = StringIndexer(inputCol="grp", outputCol="label", stringOrderType="alphabetAsc").fit(v).transform(v)
     kind = RandomForestClassifier(maxDepth=depth, seed=seed, numTrees=30) if forest else DecisionTreeClassifier(maxDepth=depth, seed=seed)
     weights = kind.fit(indexed).featureImportances.toArray()
@@ -111,9 +118,9 @@ def classify(geno: DataFrame, groups: DataFrame, *, positions: list[int], model:
     from pyspark.ml.feature import IndexToString, StringIndexer
     from pyspark.ml.functions import array_to_vector
 
-    wide = geno.filter("nalt >= 0").groupBy("sample_id").pivot("pos", positions).agg(F.first("nalt")).fillna(0).join(groups, "sample_id")
-    code = lambda c: F.when(c > 0, 1.0).otherwise(0.0) if model == "bernoulli" else c.cast("double")
-    v = wide.select("sample_id", "grp", array_to_vector(F.array(*[code(F.col(f"`{p}`")) for p in positions])).alias("features"))
+    rows = dosages(geno.filter("nalt >= 0"), positions, 0).join(groups, "sample_id")
+    x = F.transform("x", lambda c: F.when(c > 0, 1.0).otherwise(0.0)) if model == "bernoulli" else F.col("x")
+    v = rows.select("sample_id", "grp", array_to_vector(x).alias("features"))
     labels = StringIndexer(inputCol="grp", outputCol="label", stringOrderType="alphabetAsc").fit(v)
     kind = LogisticRegression(maxIter=50) if model == "logistic" else NaiveBayes(modelType=model)
     out = kind.fit(labels.transform(v)).transform(labels.transform(v))
