@@ -1,7 +1,8 @@
 """Operator 6: line dedup by content-defined chunks of lines, on DataFrame functions alone.
 
-A rolling hash over the hashes of two neighbouring lines decides where a chunk ends, so boundaries depend on the lines
-around them and not on their position: a passage put into another document is cut alike from its second boundary on.
+A rolling hash over the hashes of neighbouring lines (a polynomial modulo a prime) marks where a chunk may end. Of marks that
+follow one another directly every other one counts, so chunks have two lines at least, but for the ends of a text; boundaries
+depend on the lines around them and not on their position: a passage put into another document is soon cut alike.
 Chunks of several lines that occur more than once in the whole table are removed wherever their bytes equal those of an
 earlier occurrence; the first one, by document and position, stays.
 """
@@ -13,26 +14,35 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, clear_of, table, without
 
-#: Lines whose hashes roll into one boundary hash, and the hexadecimal digits at the start of that hash that end a chunk.
-ROLL = 2
-ENDS = ("0", "1", "2", "3", "4")
+#: Lines that roll into one hash, the polynomial's base and prime, and the share of hashes (of 16) after which a chunk may end.
+ROLL, BASE, PRIME = 2, 31, 2**31 - 1
+ENDS = 10
 
 
 def chunks(text: Column) -> Column:
     """The text as an array of chunks (pos, lines, body), whose bodies joined by line feeds give the text again."""
-    hashed = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.md5(x).alias("h")))
-    return F.flatten(F.transform(F.array(hashed), _cut))
+    hashed = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long").alias("h")))
+    return F.flatten(F.transform(F.array(hashed), lambda lines: F.flatten(F.transform(F.array(_stops(lines)), lambda s: _between(lines, s)))))
 
 
-def _cut(lines: Column) -> Column:
+def _stops(lines: Column) -> Column:
+    """The last lines of the chunks: every other one of a run of marked lines, and the end of the text."""
     n = F.size(lines)
 
-    def ends(i: Column) -> Column:
-        rolled = F.concat(*[F.coalesce(F.get(lines, i - j)["h"], F.lit("")) for j in reversed(range(ROLL))])
-        return (i == n - 1) | F.substring(F.md5(rolled), 1, 1).isin(*ENDS)
+    def rolled(i: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for j in reversed(range(ROLL)):
+            out = out * BASE + F.coalesce(F.get(lines, i - j)["h"], F.lit(0))
+        return out % PRIME
 
-    stops = F.filter(F.sequence(F.lit(0), n - 1), ends)
-    return F.flatten(F.transform(F.array(stops), lambda s: F.transform(s, lambda stop, k: _chunk(lines, F.coalesce(F.get(s, k - 1), F.lit(-1)) + 1, stop, k))))
+    marked = F.array_join(F.transform(lines, lambda x, i: F.when(rolled(i) % 16 < ENDS, F.lit("1")).otherwise(F.lit("0"))), "")
+    # In a run of ones the pairs turn into "10" from the left, which leaves every other one.
+    flags = F.split(F.replace(marked, F.lit("11"), F.lit("10")), "")
+    return F.flatten(F.transform(F.array(flags), lambda f: F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.get(f, i) == "1"))))
+
+
+def _between(lines: Column, stops: Column) -> Column:
+    return F.transform(stops, lambda stop, k: _chunk(lines, F.coalesce(F.get(stops, k - 1), F.lit(-1)) + 1, stop, k))
 
 
 def _chunk(lines: Column, start: Column, stop: Column, k: Column) -> Column:
@@ -58,19 +68,22 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
     # Which chunk hashes occur twice: shuffles one number per chunk, summed before.
     marks = own.select("key", "th", F.explode(F.transform(F.filter(chunks(F.col("text")), lambda c: c["lines"] > 1), lambda c: F.struct(c["pos"].alias("pos"), F.xxhash64(c["body"]).alias("ch")))).alias("c"))
     marks = scratch.put(marks.select("key", "th", "c.pos", "c.ch"))
-    often = marks.groupBy("ch").agg(F.count("*").alias("n")).filter("n > 1").select("ch")
-    seen = scratch.put(marks.join(often, "ch").groupBy("key", "th").agg(F.collect_set("pos").alias("at")))
+    # Written before it is joined, so that both sides of the join are plain exchanges, which Spark splits where one chunk is very common.
+    often = scratch.put(marks.groupBy("ch").agg(F.count("*").alias("n")).filter("n > 1").select("ch"))
+    at = scratch.put(marks.join(often, "ch").groupBy("key", "th").agg(F.collect_set("pos").alias("at")))
+    scratch.drop(marks, often)
     # The bytes of those chunks, from the documents that hold them.
-    seen = seen.withColumnsRenamed({"key": w["k2"], "th": w["t2"], "at": w["gone"]}).hint("merge")
+    seen = at.withColumnsRenamed({"key": w["k2"], "th": w["t2"], "at": w["gone"]}).hint("merge")
     found = hashed.join(seen, same).select(F.col(key).alias("key"), F.col(w["th"]).alias("th"), F.explode(F.filter(chunks(F.col(text)), lambda c: F.array_contains(w["gone"], c["pos"]))).alias("c"))
     bodies = scratch.put(found.select("key", "th", "c.pos", "c.body", F.xxhash64("c.body").alias("ch")))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "th", "pos")
-    first = bodies.groupBy("ch", "body").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = scratch.put(bodies.groupBy("ch", "body").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     # Equal bytes are asked for again where a chunk is struck out, so a chance equality of hashes removes nothing.
     struck = bodies.join(first.select("ch", F.col("body").alias("same"), "first"), "ch").filter((F.col("body") == F.col("same")) & (order != F.col("first")))
     struck = struck.groupBy("key", "th").agg(F.collect_set("pos").alias("gone"))
-    struck = scratch.put(struck).withColumnsRenamed({"key": w["k2"], "th": w["t2"], "gone": w["gone"]}).hint("merge")
-    scratch.sweep()
+    struck = scratch.put(struck)
+    scratch.drop(at, bodies, first)
+    struck = struck.withColumnsRenamed({"key": w["k2"], "th": w["t2"], "gone": w["gone"]}).hint("merge")
     joined = hashed.join(struck, same, "left")
     cs = F.when(F.col(w["gone"]).isNotNull(), chunks(F.col(text)))
     kept = F.filter(w["cs"], lambda c: ~F.array_contains(w["gone"], c["pos"]))
@@ -89,15 +102,16 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in SQL; DuckDB lists are 1-based.
 OP6_SQL = """
-WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-hashed AS (SELECT doc_id, text, ls, list_transform(ls, lambda x: md5(x)) AS hs FROM lines),
-each AS (SELECT doc_id, text, unnest(range(1, len(ls) + 1)) AS i, ls, hs FROM hashed),
-ends AS (SELECT doc_id, text, i, ls[i] AS line,
-  i = len(ls) OR substr(md5(coalesce(CASE WHEN i > 1 THEN hs[i - 1] END, '') || hs[i]), 1, 1) IN ('0', '1', '2', '3', '4') AS stop FROM each),
+WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+each AS (SELECT doc_id, i, ls[i] AS line, i = len(ls) AS last, CAST('0x' || substr(md5(ls[i]), 1, 7) AS BIGINT) AS h FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines)),
+rolled AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 + h) % 2147483647 % 16 < 10 AS marked FROM each),
+flags AS (SELECT doc_id, replace(string_agg(CASE WHEN marked THEN '1' ELSE '0' END, '' ORDER BY i), '11', '10') AS f FROM rolled GROUP BY doc_id),
+ends AS (SELECT doc_id, i, line, last OR f[i] = '1' AS stop FROM rolled JOIN flags USING (doc_id)),
 numbered AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ends),
 cut AS (SELECT doc_id, pos, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, pos),
-judged AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, pos) > 1 AS gone FROM cut)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed_lines,
-  sha256(coalesce(string_agg(CASE WHEN NOT gone THEN body END, chr(10) ORDER BY pos), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+judged AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, pos) > 1 AS gone FROM cut),
+found AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed_lines,
+  sha256(coalesce(string_agg(CASE WHEN NOT gone THEN body END, chr(10) ORDER BY pos), '')) AS kept_sha256 FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, CASE WHEN text IS NOT NULL THEN kept_sha256 END AS kept_sha256
+FROM documents LEFT JOIN found USING (doc_id)
 """
