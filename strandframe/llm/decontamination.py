@@ -1,10 +1,11 @@
 """Operator 7: benchmark decontamination by size-partitioned MinHash containment search.
 
-The items are short and the documents long, so the sketches are drawn from the items alone: an item with n shingles is put
-into a size class, and its sketch is its s smallest shingle hashes, s following from the class's upper bound so that a text
-holding a share of at least `threshold` of the shingles cannot miss all of them (it lacks at most (1 - threshold) * n).
-Documents are streamed once; of their shingles only those that hit a bitmap of the items' hashes leave the Arrow batch.
-Sketch hits name candidates, and the shingles both have in common decide exactly.
+The items are short and the documents long. An item with n shingles is put into a size class (a power of two), and its sketch
+is its s smallest shingle hashes, s following from the upper bound of the class, so that a text holding a share of at least
+`threshold` of the shingles cannot miss all of them (it lacks at most (1 - threshold) * n). Each class is an index of its own,
+from the hashes of its sketches to its items. A document is searched whole: its shingles are looked up among the sketches,
+never among all shingles of the items, and a hit makes a candidate. The shingles that document and items may have in common
+then decide the candidates, and these alone, by exact containment.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
+from .marks import has_mark, marks
 from .tokens import U, grams, list_array, signed, small, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Bits of the bitmap that every task gets (2 MB), whatever the size of the benchmark: more items only let more shingles pass.
-BITMAP_BITS = 24
 #: Size classes are powers of two.
 CLASS = 2
 
@@ -30,8 +30,7 @@ CLASS = 2
 def _lengths(texts: list[str | None], ks: tuple[int, ...]) -> Iterator[np.ndarray]:
     for t in texts:
         h = words(t, lower=True)[0]
-        found = [np.unique(grams(h, k)) for k in ks]
-        yield np.concatenate(found)
+        yield np.concatenate([np.zeros(0, U), *(np.unique(grams(h, k)) for k in ks)])
 
 
 def item_shingles(items: DataFrame, text: str, key: str) -> DataFrame:
@@ -55,22 +54,35 @@ def item_shingles(items: DataFrame, text: str, key: str) -> DataFrame:
     return items.select(F.col(key), F.col(text)).mapInArrow(cut, f"item_id {kind}, k int, n long, h long")
 
 
-def sketched(shingles: DataFrame, threshold: float) -> DataFrame:
-    """Adds in_sketch: whether a shingle is among the item's s smallest, s = floor((1 - threshold) * upper bound of its size class) + 1."""
-    upper = F.pow(F.lit(float(CLASS)), F.ceil(F.log(float(CLASS), F.col("n").cast("double"))))
-    s = F.least(F.col("n"), F.floor((1 - threshold) * upper + 1e-9) + 1)
-    ranked = shingles.groupBy("item_id", "n").agg(F.array_sort(F.collect_list("h")).alias("hs")).withColumn("s", s)
-    return ranked.select("item_id", "n", F.posexplode("hs").alias("at", "h"), "s").withColumn("in_sketch", F.col("at") < F.col("s")).drop("at", "s")
+def sketched(items: DataFrame, threshold: float) -> DataFrame:
+    """(class, h, item_id) of items (item_id, n, hs), hs sorted: the s smallest shingles, s = floor((1 - threshold) * upper bound of the size class) + 1."""
+    by = F.ceil(F.log(float(CLASS), F.col("n").cast("double"))).cast("int")
+    s = F.floor((1 - threshold) * F.pow(F.lit(float(CLASS)), by) + 1e-9).cast("int") + 1
+    return items.select(by.alias("class"), "item_id", F.explode(F.slice("hs", F.lit(1), F.least(F.col("n").cast("int"), s))).alias("h"))
 
 
-def bitmap(shingles: DataFrame) -> np.ndarray:
-    """One bit per hash prefix that some item has: 2^BITMAP_BITS bits, folded in the tasks, so what arrives has a fixed size."""
-    low = F.pmod("h", F.lit(1 << BITMAP_BITS))
-    words_ = shingles.select((F.floor(low / 64)).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (low % 64).cast("int")).alias("bit"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), U)
-    for r in words_.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        out[r["word"]] = U(r["bits"] % (1 << 64))
-    return out
+def searched(docs: DataFrame, text: str, key: str, ks: tuple[int, ...], sketches: np.ndarray, every: np.ndarray) -> DataFrame:
+    """(id, found, held) of documents: shingles that may be in a sketch, and all that items may have; documents without any are left out.
+
+    The bitmaps have a fixed size, whatever the benchmark's: more items only let more shingles pass.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((sketches, every))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_sketches, in_items = shared.value
+        for b in small(batches):
+            at, found, held = [], [], []
+            for i, h in enumerate(_lengths(b.column(1).to_pylist(), ks)):
+                h = h[has_mark(in_items, h)]
+                if len(h):
+                    at.append(i)
+                    found.append(signed(h[has_mark(in_sketches, h)]))
+                    held.append(signed(h))
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), list_array(found, pa.int64()), list_array(held, pa.int64())], ["id", "found", "held"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, found array<long>, held array<long>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -80,31 +92,26 @@ def contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", key:
     Rows that share a key are taken as one document (the union of their shingles); so are items. A null key is a key of its
     own. Empty tables give an empty result. Only the named columns are looked at.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")
+    scratch = Scratch(docs.sparkSession, "decontamination")
     items = items.select(F.struct(F.col(item_key).alias("v")).alias("item"), F.col(item_text).alias("text"))
-    by_item = scratch.put(item_shingles(items.withColumn("j", F.to_json("item")).select("text", "j"), "text", "j"))
-    ks = tuple(sorted(r["k"] for r in by_item.select("k").distinct().collect()))
-    by_item = by_item.select("item_id", "h").distinct().join(by_item.groupBy("item_id").agg(F.countDistinct("h").alias("n")), "item_id")
-    by_item = scratch.put(sketched(by_item, threshold))
-    bits = spark.sparkContext.broadcast(bitmap(by_item))
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = bits.value
-        for b in small(batches):
-            found = []
-            for h in _lengths(b.column(1).to_pylist(), ks) if ks else (np.zeros(0, U) for _ in range(b.num_rows)):
-                low = h & U((1 << BITMAP_BITS) - 1)
-                found.append(signed(h[(filled[low >> U(6)] >> (low & U(63))) & U(1) == 1]))
-            some = np.flatnonzero([len(x) for x in found])
-            if len(some):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), list_array([found[i] for i in some], pa.int64())], ["id", "hs"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    hit = docs.select(F.col(key), F.col(text)).mapInArrow(hits, f"id {kind}, hs array<long>").select("id", F.explode("hs").alias("h"))
-    both = hit.join(by_item, "h").groupBy("id", "item_id", "n").agg(F.countDistinct("h").alias("n_shared"), F.max("in_sketch").alias("candidate"))
-    exact = both.filter("candidate").withColumn("containment", F.col("n_shared") / F.col("n")).filter(F.col("containment") >= threshold)
+    cut = scratch.put(item_shingles(items.withColumn("j", F.to_json("item")).select("text", "j"), "text", "j"))
+    ks = tuple(sorted(r["k"] for r in cut.select("k").distinct().collect()))
+    by_item = scratch.put(cut.groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("hs")).withColumn("n", F.size("hs").cast("long")))
+    sketches = scratch.put(sketched(by_item, threshold))
+    hit = scratch.put(searched(docs, text, key, ks, marks(sketches, "h"), marks(cut, "h")))
+    boxed = hit.select(F.struct(F.col("id").alias("v")).alias("doc"), "found", "held")
+    # Candidates are told by pairs of keys; a document's shingles meet those of an item once for each of them.
+    pairs = boxed.select("doc", F.explode("found").alias("h")).join(sketches.select("h", "item_id"), "h").select("doc", "item_id").distinct()
+    pairs = scratch.put(pairs)
+    scratch.drop(cut, sketches)
+    held = boxed.select(F.col("doc").alias("of"), "held")
+    met = pairs.join(held.hint("merge"), F.col("doc") == F.col("of")).join(by_item.select(F.col("item_id").alias("is"), "hs", "n"), F.col("item_id") == F.col("is"))
+    # A row of the document holds this much of the item; rows that share a key are joined before they are counted.
+    both = met.select("doc", "item_id", "n", F.array_intersect("hs", "held").alias("both"))
+    one = both.groupBy("doc", "item_id", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_set("both")))).cast("long").alias("n_shared"))
+    exact = one.withColumn("containment", F.col("n_shared") / F.col("n")).filter(F.col("containment") >= threshold)
     item = F.from_json("item_id", items.select("item").schema["item"].dataType)["v"]
-    return exact.select(F.col("id").alias(key), item.alias(item_key), "n_shared", F.col("n").alias("n_item"), "containment")
+    return exact.select(F.col("doc.v").alias(key), item.alias(item_key), "n_shared", F.col("n").alias("n_item"), "containment")
 
 
 def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
