@@ -1,12 +1,13 @@
 """Operator 10: language identification by bit-sliced Bloom filters over byte n-grams.
 
-One table of slots serves all languages: a slot holds a bit mask of languages, and the AND of the slots that an n-gram hashes
-to is the mask of all languages whose filter may hold it. A text is scored by counting, per language, the n-grams whose
+One table of slots serves all languages: a slot holds a bit mask of languages, in as many 64-bit words as these need, and the
+AND of the slots that an n-gram hashes to is the mask of all languages whose filter may hold it. A text is scored by counting, per language, the n-grams whose
 masks have that language's bit; the counts are corrected for the filter's false positive rate (the filling of that
 language's bit slice to the power of the number of hash functions), and the largest corrected count decides.
 
 The n-grams of a language are those that occur in at least SHARE of its learning documents and not at a far lower rate
-than in the language that uses them most. Rates are taken over all learning documents, by partial sums.
+than in the language that uses them most. Rates are taken over all learning documents, by partial sums. What is learned does
+not grow with the corpus: a language has at most 1 / SHARE times as many n-grams as its documents have on the mean.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ RATIO = 0.2
 #: Hash functions, and slots for each n-gram (as a power of two at least).
 HASHES = 3
 ROOM = 12
-#: The learned table is at most this many n-grams; 2^18 of them take 4 million slots.
-MOST_GRAMS = 1 << 18
+#: Languages of one word of a mask.
+WORD_BITS = 64
 UNKNOWN = "und"
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -78,12 +79,12 @@ def gram_counts(docs: DataFrame, text: str, lang: str, weight_chars: int = 1 <<
 
 
 class LanguageFilters:
-    """The learned table: languages in code point order, slots of masks, and each language's filling."""
+    """The learned table: languages in code point order, one array of slots for each word of a mask, and each language's filling."""
 
-    def __init__(self, langs: list[str], slots: np.ndarray):
+    def __init__(self, langs: list[str], slots: list[np.ndarray]):
         self.langs, self.slots = langs, slots
-        bits = (slots[:, None] >> np.arange(max(1, len(langs)), dtype=U)) & U(1) if len(slots) else np.zeros((1, max(1, len(langs))))
-        self.wrong = bits.mean(axis=0) ** HASHES
+        wrong = [np.count_nonzero(slots[i // WORD_BITS] & U(1 << i % WORD_BITS)) / len(slots[i // WORD_BITS]) for i in range(len(langs))]
+        self.wrong = np.array(wrong) ** HASHES
 
     @staticmethod
     def places(grams: np.ndarray, size: int) -> np.ndarray:
@@ -91,19 +92,24 @@ class LanguageFilters:
         return np.stack([mixed(x * U(_ODD[i]) + U(i)) & U(size - 1) for i in range(HASHES)])
 
     @classmethod
-    def build(cls, langs: list[str], grams: np.ndarray, masks: np.ndarray) -> LanguageFilters:
+    def build(cls, langs: list[str], grams: np.ndarray, masks: list[np.ndarray]) -> LanguageFilters:
+        """From distinct n-grams and, for each word of a mask, their bits."""
         size = 1 << max(10, (len(grams) * ROOM).bit_length())
-        slots = np.zeros(size, U)
+        slots = [np.zeros(size, U) for _ in masks]
         for at in cls.places(grams, size):
-            np.bitwise_or.at(slots, at, masks)
+            for s, m in zip(slots, masks, strict=True):
+                np.bitwise_or.at(s, at, m)
         return cls(langs, slots)
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram, all languages that may contain it."""
-        at = self.places(grams, len(self.slots))
-        out = self.slots[at[0]]
-        for i in range(1, HASHES):
-            out &= self.slots[at[i]]
+    def masks(self, grams: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram, all languages that may contain it, by words of the mask."""
+        out = []
+        at = self.places(grams, len(self.slots[0])) if self.slots else ()
+        for s in self.slots:
+            got = s[at[0]]
+            for i in range(1, HASHES):
+                got &= s[at[i]]
+            out.append(got)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -113,10 +119,10 @@ class LanguageFilters:
             return UNKNOWN, 0.0
         got = self.masks(grams)
         if len(self.langs) <= 8:
-            of = np.bincount(got.astype(np.uint8), minlength=256)
+            of = np.bincount(got[0].astype(np.uint8), minlength=256)
             counts = np.array([of[_HAS[i]].sum() for i in range(len(self.langs))], float)
         else:
-            counts = np.array([np.count_nonzero(got & U(1 << i)) for i in range(len(self.langs))], float)
+            counts = np.array([np.count_nonzero(got[i // WORD_BITS] & U(1 << i % WORD_BITS)) for i in range(len(self.langs))], float)
         share = np.clip((counts / len(grams) - self.wrong) / (1 - self.wrong + 1e-12), 0, 1)
         best = int(np.argmax(share))
         return self.langs[best], float(share[best])
@@ -126,25 +132,31 @@ _HAS = [np.flatnonzero((np.arange(256) >> i) & 1) for i in range(8)]
 
 
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageFilters:
-    """Learns from all rows with a language whose key is not held out. What comes to the driver is one row per language and kept n-gram, MOST_GRAMS at most."""
+    """Learns from all rows with a text, a language and a key that is not held out; rows that repeat count as often.
+
+    What comes to the driver is one row per language and one per n-gram that some language keeps. An n-gram counts from two
+    documents on, or from one if its language has no more. An empty table gives a model without languages.
+    """
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    counts = gram_counts(usable, text, lang)
-    counts = counts.persist()
+    counts = gram_counts(usable, text, lang).persist()
     sizes = {r["lang"]: r["n"] for r in counts.filter("gram = -1").collect()}
     langs = sorted(sizes)
     if not langs:
         counts.unpersist()
-        return LanguageFilters([], np.zeros(0, U))
-    if len(langs) > 63:
-        raise ValueError("a mask holds 63 languages")
-    rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, float(v))]), F.col("lang"))
-    rates = counts.filter("gram >= 0").withColumn("rate", rate).filter((F.col("rate") >= SHARE) & (F.col("n") >= 2))
-    bit = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, 1 << i)]), F.col("lang")).cast("long")
-    top = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", bit.alias("bit"))).alias("all"))
-    mask = F.aggregate(F.filter("all", lambda x: x["rate"] >= F.col("top") * RATIO), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"]))
-    kept = top.select("gram", mask.alias("mask"), "top").orderBy(F.desc("top"), "gram").limit(MOST_GRAMS).toPandas()
+        return LanguageFilters([], [])
+    known = docs.sparkSession.createDataFrame([(name, i, sizes[name]) for i, name in enumerate(langs)], "lang string, i int, size long")
+    rates = counts.filter("gram >= 0").join(known, "lang").withColumn("rate", F.col("n") / F.col("size")).filter((F.col("rate") >= SHARE) & (F.col("n") >= F.least(F.lit(2), "size")))
+    top = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "i")).alias("all"))
+    of = F.transform(F.filter("all", lambda x: x["rate"] >= F.col("top") * RATIO), lambda x: x["i"])
+    kept = top.select("gram", of.alias("of")).toArrow()
     counts.unpersist()
-    return LanguageFilters.build(langs, kept["gram"].to_numpy(np.int64), kept["mask"].to_numpy(np.int64).astype(U))
+    grams, n = kept.column("gram").to_numpy(), kept.column("of").combine_chunks().value_lengths().to_numpy()
+    at, which = np.repeat(np.arange(len(grams)), n), kept.column("of").combine_chunks().flatten().to_numpy()
+    masks = [np.zeros(len(grams), U) for _ in range(-(-len(langs) // WORD_BITS))]
+    for w, m in enumerate(masks):
+        here = which // WORD_BITS == w
+        np.bitwise_or.at(m, at[here], np.left_shift(U(1), (which[here] % WORD_BITS).astype(U)))
+    return LanguageFilters.build(langs, grams, masks)
 
 
 def identify(docs: DataFrame, model: LanguageFilters, *, text: str = "text") -> DataFrame:
