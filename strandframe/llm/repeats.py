@@ -219,7 +219,11 @@ def located(rows: DataFrame) -> DataFrame:
     automaton holds the passages of as many shards as fit AUTOMATON_BYTES.
     """
 
-    def scan(auto: ahocorasick.Automaton, whole: set[int], held: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+    def scan(patterns: dict[str, int], whole: bool, held: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+        auto = ahocorasick.Automaton()
+        for p, (text, n) in enumerate(patterns.items()):
+            auto.add_word(text, (len(text), n, p))
+        auto.make_automaton()
         found, times = [], {}
         for k, (_, _, copies, body) in enumerate(held):
             blanks = np.flatnonzero(np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
@@ -227,7 +231,7 @@ def located(rows: DataFrame) -> DataFrame:
                 found.append((k, int(np.searchsorted(blanks, end - length + 1)), n, p))
                 times[p] = times.get(p, 0) + copies
         # Where all bodies of a shard are here, a passage that stands once was no repeat.
-        found = sorted((k, s, n) for k, s, n, p in found if times[p] > 1 or p not in whole)
+        found = sorted((k, s, n) for k, s, n, p in found if times[p] > 1 or not whole)
         out: list[list[int]] = []
         last, stop = -1, -1
         for k, s, n in found:
@@ -239,13 +243,6 @@ def located(rows: DataFrame) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "bid", "start", "stop"])
 
-    def compiled(patterns: dict[str, int]) -> ahocorasick.Automaton:
-        auto = ahocorasick.Automaton()
-        for p, (text, n) in enumerate(patterns.items()):
-            auto.add_word(text, (len(text), n, p))
-        auto.make_automaton()
-        return auto
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns: dict[str, int] = {}
         held: list[tuple[int, int, int, str]] = []
@@ -253,7 +250,7 @@ def located(rows: DataFrame) -> DataFrame:
         for b in small(batches, 256):
             for anchor, side, salt, parts, bid, copies, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (anchor, side, salt) != shard and held and (size >= AUTOMATON_BYTES or parts > 1 or parted):
-                    yield scan(compiled(patterns), set() if parted else set(range(len(patterns))), held)
+                    yield scan(patterns, not parted, held)
                     patterns, held, size = {}, [], 0
                 shard, parted = (anchor, side, salt), parts > 1
                 if bid is None:
@@ -263,10 +260,10 @@ def located(rows: DataFrame) -> DataFrame:
                 size += len(body)
                 if parted and held and size >= 4 * AUTOMATON_BYTES and len(held) >= len(patterns):
                     # A dealt shard has the passages once and its bodies bit by bit.
-                    yield scan(compiled(patterns), set(), held)
+                    yield scan(patterns, False, held)
                     held, size = [], 0
         if patterns and held:
-            yield scan(compiled(patterns), set() if parted else set(range(len(patterns))), held)
+            yield scan(patterns, not parted, held)
 
     return rows.select("anchor", "side", "salt", "parts", "bid", "copies", "body").mapInArrow(run, "anchor long, bid long, start long, stop long")
 
@@ -326,7 +323,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     every = several.select("anchor", "bid", "copies", "body").unionByName(passages.select("anchor", F.lit(None).cast("long").alias("bid"), F.lit(0).cast("long").alias("copies"), F.col("passage").alias("body")))
     few = every.join(sizes.filter(F.col("rows") <= shard_rows).select("anchor").hint("merge"), "anchor").withColumns({"side": F.lit(0).cast("long"), "parts": F.lit(1)})
     dealt = scratch.put(beside(every.join(sizes.filter(F.col("rows") > shard_rows).select("anchor").hint("merge"), "anchor"), window, gram))
-    parts = scratch.put(dealt.groupBy("anchor", "side").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")))
+    # Keys without a passage hold nothing to be found.
+    parts = dealt.groupBy("anchor", "side").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"), F.bool_or(F.col("bid").isNull()).alias("some"))
+    parts = scratch.put(parts.filter("some").drop("some"))
     dealt = dealt.join(parts.hint("merge"), ["anchor", "side"])
     alone = whole.select("anchor", F.explode(F.array(F.lit(None).cast("long"), "bid")).alias("bid"), "copies", "body").withColumns({"side": F.lit(0).cast("long"), "parts": F.lit(1)})
     columns = ["anchor", "side", "salt", "parts", "bid", "copies", "body"]
