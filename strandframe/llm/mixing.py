@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, clear_of, n_words, table, without
 
-#: Parts into which equal-sized documents of a source are dealt, so that none of them has to be ranked in one task.
-SALTS = 64
+#: Parts into which equal-sized documents of a source are dealt, so that none of them has to be ranked in one task: so many at
+#: least, and so many more that a part of a size that every document has holds this many.
+SALTS, PART_ROWS = 64, 1 << 16
+#: Sums over bins are decimals, so that their order does not matter and reruns agree.
+EXACT = "decimal(38,9)"
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -40,7 +43,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFra
 
 
 def tilts(scratch: Scratch, bins: DataFrame, sources: DataFrame, cap: float, tolerance: float, max_iter: int) -> DataFrame:
-    """Solves the dual: sources with lam, and held where the rate is the same for all (1 without tokens, cap at a full target)."""
+    """Solves the dual: sources with lam, and held where the rate is the same for all (1 without tokens, cap at a full target). Raises if max_iter steps don't."""
     held = F.when(F.col("s_size") == 0, F.lit(1.0)).when(F.col("target") >= F.col("s_size") * (cap * (1 - 1e-12)), F.lit(float(cap)))
     start = sources.withColumn("held", held).withColumns({"lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "err": F.lit(1.0)})
     state = scratch.put(start.withColumn("mean", F.col("s_size") / F.col("s_docs")))
@@ -51,8 +54,8 @@ def tilts(scratch: Scratch, bins: DataFrame, sources: DataFrame, cap: float, tol
             bins.join(state.filter(F.col("held").isNull()).select("skey", "lam", "mean"), "skey")
             .groupBy("skey")
             .agg(
-                F.sum(tokens * F.least(raw, F.lit(float(cap)))).alias("g"),
-                F.sum(F.when(raw < cap, tokens * F.col("size") / F.col("mean") * raw).otherwise(0.0)).alias("h"),
+                F.sum((tokens * F.least(raw, F.lit(float(cap)))).cast(EXACT)).cast("double").alias("g"),
+                F.sum(F.when(raw < cap, tokens * F.col("size") / F.col("mean") * raw).otherwise(0.0).cast(EXACT)).cast("double").alias("h"),
             )
         )
         over = F.col("g") > F.col("target")
@@ -71,13 +74,13 @@ def tilts(scratch: Scratch, bins: DataFrame, sources: DataFrame, cap: float, tol
         done = state.agg(F.max("err")).first()[0]
         scratch.drop(last)
         if done is None or done <= tolerance:
-            break
-    return state
+            return state
+    raise ArithmeticError(f"the dual is not solved after {max_iter} steps: the largest relative error of a source is {done}")
 
 
 def mix(
     docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
-    tolerance: float = 1e-6, max_iter: int = 60,
+    tolerance: float = 1e-6, max_iter: int = 200,
 ) -> DataFrame:
     """Adds size, source_size, target, copies and taken (= copies * size) to every row of docs.
 
@@ -92,7 +95,7 @@ def mix(
         "size": n_words(F.col(text)),
         w["skey"]: F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(source))),
         w["order"]: F.xxhash64(F.col(key), F.col(text)),
-    }).withColumn(w["salt"], F.pmod(w["order"], F.lit(SALTS)))
+    }).withColumn(w["salt"], F.pmod(w["order"], F.lit(max(SALTS, docs.count() // PART_ROWS))))
     parts = scratch.put(sized.groupBy(F.col(w["skey"]).alias("skey"), F.col(source).alias("source"), "size", F.col(w["salt"]).alias("salt")).agg(F.count("*").alias("n")))
     bins = scratch.put(parts.groupBy("skey", "source", "size").agg(F.sum("n").alias("n")))
     sources = bins.groupBy("skey", "source").agg(F.sum(F.col("n") * F.col("size")).alias("s_size"), F.sum("n").alias("s_docs"))
@@ -108,6 +111,7 @@ def mix(
         .withColumn("k", F.col("upto") - F.coalesce(F.lag("upto").over(down), F.lit(0)))
         .select("skey", "size", "n", "s_size", "target", "k")
     )
+    done = [bins, state]
     for _ in range(2):
         rest = whole.groupBy("skey").agg((F.first("target") - F.sum(F.col("k") * F.col("size"))).alias("rest"))
         change = F.greatest(-F.col("k"), F.least(F.col("n") * cap - F.col("k"), F.round(F.try_divide(F.col("rest"), F.col("size"))).cast("long")))
@@ -117,6 +121,8 @@ def mix(
             .select("skey", F.col("best.size").alias("size"), F.col("best.d").alias("d"))
         )
         whole = scratch.put(whole.join(fit, ["skey", "size"], "left").withColumn("k", F.col("k") + F.coalesce("d", F.lit(0))).drop("d"))
+        scratch.drop(*done)
+        done = [whole]
 
     # Copies of a bin go to its parts in proportion, and inside a part to the documents of the smallest hashes.
     along = Window.partitionBy("skey", "size").orderBy("salt")
