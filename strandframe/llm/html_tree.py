@@ -36,20 +36,31 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "kids", "parent", "text", "size", "linked", "label", "obs", "up", "down")
+    __slots__ = ("tag", "words", "kids", "parent", "text", "size", "linked", "label", "obs", "up", "down", "depth", "line")
 
     def __init__(self, tag: str, parent: Node | None, words: tuple[str, ...] = (), text: str = ""):
         self.tag, self.parent, self.words, self.text, self.kids = tag, parent, words, text, []
         self.size = self.linked = 0
         self.label = None
+        self.depth = 0 if parent is None else parent.depth + 1
+        # The element whose lines this one stands in: itself, unless it is an inline element.
+        self.line = parent.line if parent is not None and tag in INLINE else self
         if parent is not None:
             parent.kids.append(self)
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and text runs (tag '#'); forgiving, whatever is left open or cut off."""
+    """A tree of elements and text runs (tag '#'); forgiving, whatever is left open or cut off. The open elements of each name are kept, so time follows the page's length at any depth."""
     root = Node("html", None)
     at, node = 0, root
+    opened: dict[str, list[Node]] = {"html": [root]}
+
+    def back_to(up: Node) -> Node:
+        below = node
+        while below is not up:
+            opened[below.tag].pop()
+            below = below.parent
+        return up
 
     def text(raw: str) -> None:
         if raw:
@@ -69,27 +80,18 @@ def parse(page: str) -> Node:
         else:
             name, end, rest = m["name"].lower(), bool(m["end"]), m["rest"]
         if end:
-            up = node
-            while up is not None and up.tag != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if name != "html" and opened.get(name):
+                node = back_to(opened[name][-1].parent)
             continue
         if name == "html":
             continue
-        if name in CLOSES_P:
-            up = node
-            while up.parent is not None and up.tag in INLINE:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if name in CLOSES_P and node.line.tag == "p":
+            node = back_to(node.line.parent)
         if name in CLOSES:
             same, border = CLOSES[name]
-            up = node
-            while up is not None and up.tag not in border and up.tag not in same:
-                up = up.parent
-            if up is not None and up.tag in same:
-                node = up.parent
+            near = max((opened[t][-1] for t in (*same, *border) if opened.get(t)), key=lambda x: x.depth, default=None)
+            if near is not None and near.tag in same:
+                node = back_to(near.parent)
         words = tuple({p.lower() for a in NAMED.findall(rest) for x in a if x for p in PART.findall(x)}) if "=" in rest else ()
         new = Node(name, node, words)
         if name in RAW:
@@ -99,10 +101,9 @@ def parse(page: str) -> Node:
                 Node("#", new, text=page[at:stop])
             gt = page.find(">", stop)
             at = len(page) if close is None or gt < 0 else gt + 1
-        elif name not in VOID and not rest.rstrip().endswith("/"):
+        elif name not in VOID and (not rest.rstrip().endswith("/") or name not in ("svg", "path")):
             node = new
-        elif name not in VOID:
-            node = new if name not in ("svg", "path") else node
+            opened.setdefault(name, []).append(new)
     return root
 
 
@@ -366,7 +367,11 @@ def labelled_pages(n: int = 1500, seed: int = 7) -> list[tuple[str, set[str]]]:
 
 
 def extract(pages: DataFrame, model: TreeModel, *, html: str = "html", to: str = "text") -> DataFrame:
-    """Adds the main text and n_chars, its code points. A null or empty page gives '' and 0. Rows are taken one by one; other columns pass through, columns of the added names are replaced."""
+    """Adds the main text and n_chars, its code points. A null or empty page gives '' and 0, and so does an empty table no rows.
+
+    Rows are taken one by one, so rows that repeat come out alike; a run whose marginal is even is kept. Pages may be of any
+    length and depth. Other columns pass through, columns of the added names are replaced.
+    """
     pages = without(pages, to, "n_chars")
     shared = pages.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*pages.schema.fields, StructField(to, StringType()), StructField("n_chars", LongType())])
