@@ -187,12 +187,15 @@ def archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
 
     Of pages with equal payloads of at least SMALL_PAYLOAD bytes the one with the smallest key is the response and the others
     revisit it; null keys come last, and rows that repeat the smallest key are all responses. A null html is an empty payload,
-    a null url becomes urn:none. An empty table gives an empty index. Extra columns are not looked at.
+    a null url becomes urn:none. A key is written as text, a null one as null, which a key of that text could not be told from.
+    An empty table gives an empty index. Pages may be of any length. Extra columns are not looked at.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     own = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256)).withColumn("large", F.octet_length("payload") >= SMALL_PAYLOAD)
+    # Written before it is joined, so that both sides of the join are plain exchanges, which Spark splits where one page is very common.
     firsts = own.filter("large").groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("of"), "first")
+    firsts = scratch.put(firsts)
     marked = own.join(firsts, (F.col("digest") == F.col("of")) & F.col("large"), "left")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("k"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
