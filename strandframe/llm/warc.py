@@ -201,7 +201,10 @@ def archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     rows = marked.select(text("k").alias("page"), "url", "payload", "digest", F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("kind"), F.when(again, text("first")).alias("refers_to"))
     whole = scratch.put(write_monolithic(rows, scratch.path()))
-    return scratch.put(normalise(whole.repartition("path"), scratch.path()))
+    # A row here is an archive, and a row of the index a read: dealt by number, since by their own few bytes all would go to one task.
+    n = max(1, whole.count())
+    index = scratch.put(normalise(whole.repartition(n), scratch.path()))
+    return index.repartition(n, "path").sortWithinPartitions("path", "offset")
 
 
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
