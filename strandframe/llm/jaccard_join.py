@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ MOST_MATCHES = 64
 BUCKETS, BLOCK, CLUSTER_BLOCK = 128, 512, 512
 #: Elements of sets that are counted at once.
 MOST_AT_ONCE = 1 << 22
+#: Parts in which the prefix shingles are counted and joined one after the other.
+PARTS = 4
 
 
 @dataclass(frozen=True)
@@ -371,25 +374,34 @@ def prefix_groups(scratch: Scratch, classes: DataFrame, rule: Rule) -> DataFrame
 
     A group is a prefix shingle and a band; own is 1 for classes of that band and 0 for those of the band below, which meet
     one another elsewhere. Partners share as many groups as the smaller of their demands, so of a class only sides (own or
-    not) with that many groups stay.
+    not) with that many groups stay. Few shingles have company, but all must be dealt out to find them; these are taken in
+    PARTS, so that the shuffle files of one part alone lie on disk at a time.
     """
     key = lambda band, own: F.struct(F.xxhash64("tok", band).alias("key"), F.lit(own).cast("byte").alias("own"))
-    each = classes.select("c", "n", "band", F.explode("prefix").alias("tok")).select("c", "n", F.inline(F.array(key(F.col("band"), 1), key(F.col("band") + 1, 0))))
-    shared = scratch.put(_in_company(scratch, each))
+    each = classes.select("c", "n", "band", F.explode("prefix").alias("tok"))
+    shared = []
+    for part in range(PARTS):
+        some = each.filter(F.pmod("tok", F.lit(PARTS)) == part).select("c", "n", F.inline(F.array(key(F.col("band"), 1), key(F.col("band") + 1, 0))))
+        shared.append(_in_company(scratch, some))
+    every = reduce(DataFrame.unionByName, shared)
     # One less than the partner's least demand, so that rounding cannot tell the two sides apart.
     partner = F.ceil(F.col("n") * rule.num / rule.den)
     least = F.least(F.lit(MOST_MATCHES), F.floor(F.sqrt(partner * ((rule.den - rule.num) / rule.den / INDEX_COST))), F.ceil(partner * rule.num / rule.den)) - 1
-    able = shared.groupBy("c", "n", "own").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c", "own")
-    left = scratch.put(shared.drop("group").join(able.hint("merge"), ["c", "own"]))
-    out = scratch.put(_in_company(scratch, left))
-    scratch.drop(shared, left)
+    able = every.groupBy("c", "n", "own").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("c", "own")
+    left = scratch.put(every.drop("group").join(able.hint("merge"), ["c", "own"]))
+    scratch.drop(*shared)
+    out = _in_company(scratch, left)
+    scratch.drop(left)
     return out
 
 
 def _in_company(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """Rows (key, own, ..) of groups with at least two rows, one of them own; adds group, the number of rows."""
     often = scratch.put(rows.groupBy("key").agg(F.count("*").alias("group"), F.max("own").alias("any")).filter("group > 1 AND any = 1").select("key", "group"))
-    return rows.join(often.hint("merge"), "key")
+    scratch.sweep()
+    out = scratch.put(rows.join(often.hint("merge"), "key"))
+    scratch.drop(often)
+    return out
 
 
 def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
@@ -406,7 +418,8 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     drawn = scratch.put(draw(docs, text, key, rule, heavy[by], known.column("n").to_numpy()[by]))
     classes = drawn.filter("n > 0").groupBy("c", "n", "band").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
     classes = scratch.put(classes)
-    scratch.sweep()
+    of_rows = scratch.put(drawn.select("id", "th", "n", F.col("c").alias("of")))
+    scratch.drop(drawn)
 
     groups = prefix_groups(scratch, classes, rule)
     signed_ = groups.join(classes.select("c", "sig", "wide").hint("merge"), "c")
@@ -436,7 +449,7 @@ def join_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     named = names.groupBy("label").agg(F.min("first_id").alias("component_id"))
     per_class = scratch.put(names.join(named, "label").join(degree, F.col("c") == F.col("of"), "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     scratch.drop(classes, clusters, labels, links)
-    out = drawn.select("id", "th", "n", F.col("c").alias("of")).join(per_class, F.col("of") == F.col("c"), "left")
+    out = of_rows.join(per_class, F.col("of") == F.col("c"), "left")
     return out.select(F.col("id").alias(key), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

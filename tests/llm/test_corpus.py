@@ -343,6 +343,31 @@ def test_components_equal_plain_ones(spark, monkeypatch):
     assert [tuple(r)[2:4] for r in got.orderBy("doc_id").collect()] == plain_components(texts, 5, 80)
 
 
+def test_prefixes_are_dealt_out_in_parts(spark, monkeypatch):
+    texts = near_texts(random.Random(37))
+    counts, alive = [], {}
+    company, put, erase = jaccard_join._in_company, Scratch.put, Scratch.erase
+
+    def counted(scratch, rows):
+        counts.append((rows.count(), sum("prefix" in columns for columns in alive.values())))
+        return company(scratch, rows)
+
+    def kept(self, df):
+        out = put(self, df)
+        alive[out._scratch] = out.columns
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_in_company", counted)
+    monkeypatch.setattr(Scratch, "put", kept)
+    monkeypatch.setattr(Scratch, "erase", lambda self, at: (alive.pop(at), erase(self, at)))
+    got = jaccard_join.join_components(frame(spark, texts))
+    assert [tuple(r)[2:4] for r in got.orderBy("doc_id").collect()] == plain_components(texts)
+    # The prefixes are dealt out bit by bit, less than a third at a time, and lie in one table.
+    *first, _ = counts
+    assert max(n for n, _ in first) * 3 < sum(n for n, _ in first)
+    assert {tables for _, tables in counts} == {1}
+
+
 def test_every_link_is_counted(spark, monkeypatch):
     rng = random.Random(29)
     base = split(prose(rng, 120))
