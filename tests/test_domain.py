@@ -107,6 +107,32 @@ def test_pair_counts_in_small_blocks_equal_plain_counts(spark):
     assert got == want
 
 
+def test_group_distances_in_blocks_equal_those_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    m = np.repeat(rng.integers(-1, 3, (20, 6)), [1, 2, 3, 1] * 5, axis=0)
+    m[-1] = -1  # shares no position with anyone
+    m[0, :3], m[1, 3:] = -1, -1
+    df = spark.createDataFrame([(i, j, int(v)) for i, r in enumerate(m) for j, v in enumerate(r)], "sample_id long, pos long, nalt int")
+    groups = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(len(m))], "sample_id long, grp string")
+    pairs = popgen.genotype_distance(df)
+    assert pairs.filter("n = 0").count()
+    want = {(r["g1"], r["g2"]): r["dxy"] for r in popgen.dxy(pairs.filter("n > 0"), groups).collect()}
+    for size in (None, 4):
+        got = {(r["g1"], r["g2"]): r["dxy"] for r in popgen.genotype_dxy(df, groups, size=size).collect()}
+        assert got.keys() == want.keys() and all(abs(x - want[k]) < 1e-12 for k, x in got.items())
+
+
+def test_group_distances_send_no_pairs_out(spark):
+    """All pairs of 4,000 samples are eight million rows; what leaves the blocks are sums of groups."""
+    df = spark.range(4000).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("pos"))
+    df = df.withColumn("nalt", F.pmod(F.xxhash64("sample_id", "pos"), F.lit(3)).cast("int"))
+    got = popgen.genotype_dxy(df, spark.range(4000).select(F.col("id").alias("sample_id"), (F.col("id") % 2).alias("grp")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Join") == 0
+    d = {(r["g1"], r["g2"]): r["dxy"] for r in got.collect()}
+    assert len(d) == 4 and d[0, 1] == d[1, 0] and abs(d[0, 0] - 2 / 3) < 0.01
+
+
 def test_newick_distances(spark):
     nodes = trees.parse_newick("((a:1,b:2):3,(c:4,d:5)x:6);")
     got = {(r["i"], r["j"]): r["d"] for r in popgen.patristic(trees.ancestors(spark, nodes)).collect()}
