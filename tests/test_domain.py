@@ -133,12 +133,58 @@ def test_group_distances_send_no_pairs_out(spark):
     assert len(d) == 4 and d[0, 1] == d[1, 0] and abs(d[0, 0] - 2 / 3) < 0.01
 
 
+def test_net_distances_read_the_group_distances_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 4.0), ("b", "a", 4.0), ("b", "b", 2.0)], "g1 string, g2 string, dxy double")
+    got = {(r["g1"], r["g2"]): r["da"] for r in popgen.da(rows.mapInPandas(seen, rows.schema)).collect()}
+    assert got == {("a", "a"): 0.0, ("a", "b"): 2.5, ("b", "a"): 2.5, ("b", "b"): 0.0} and runs.value == 4
+
+
 def test_newick_distances(spark):
     nodes = trees.parse_newick("((a:1,b:2):3,(c:4,d:5)x:6);")
     got = {(r["i"], r["j"]): r["d"] for r in popgen.patristic(trees.ancestors(spark, nodes)).collect()}
     assert got[("a", "b")] == 3 and got[("a", "c")] == 14 and got[("c", "d")] == 9
 
 
+def _tree(spark, n: int, of: int = 7):
+    rng = np.random.default_rng(n)
+    rows = [(i, f"n{i % of}", float(rng.integers(1, 4))) for i in range(n)] + [(i, f"r{i % of % 2}", float(rng.integers(3, 6))) for i in range(n)] + [(i, "root", float(rng.integers(5, 9))) for i in range(n - 2)]
+    return spark.createDataFrame(rows, "leaf long, ancestor string, dist double"), rows
+
+
+def test_leaves_in_small_blocks(spark):
+    df, rows = _tree(spark, 23)
+    want = {}
+    for a, x, u in rows:
+        for b, y, v in rows:
+            if a < b and x == y:
+                want[a, b] = min(want.get((a, b), 99), u + v)
+    got = popgen.patristic(df, size=5)
+    assert {(r["i"], r["j"]): r["d"] for r in got.collect()} == want and len(want) == got.count()
+
+
+def test_nearest_leaves_equal_those_of_all_pairs(spark):
+    for n, k in ((23, 3), (40, 5), (4, 9)):
+        df, _ = _tree(spark, n)
+        p = [(r["i"], r["j"], r["d"]) for r in popgen.patristic(df).collect()]
+        both = sorted((i, d, j) for i, j, d in p + [(j, i, d) for i, j, d in p])
+        want = {(i, j, d) for at, (i, d, j) in enumerate(both) if sum(x[0] == i for x in both[:at]) < k}
+        assert {tuple(r) for r in popgen.nearest(df, k).collect()} == want
+
+
+def test_nearest_leaves_make_no_pairs_of_leaves(spark):
+    """Thirty thousand leaves have 450 million pairs."""
+    df = spark.range(30000).select(F.col("id").alias("leaf"), F.lit("root").alias("ancestor"), (F.col("id") % 3 + 1.0).alias("dist"))
+    got = popgen.nearest(df, 2)
+    assert got.filter("d <> 1.0 + i % 3 + 1").count() == 0 and got.count() == 60000
+
+
 def test_guide_tree_nodes():
     assert assign.tree_nodes(trees.parse_guide_tree("[[A, B], C]")) == [("n", ["A", "B"], ["C"]), ("n0", ["A"], ["B"])]
 
