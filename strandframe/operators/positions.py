@@ -12,6 +12,22 @@ from .sequence import in_ranges, numbered
 KEY = ["chrom", "pos"]
 
 
+def pairs_within(df: DataFrame, group: str, id: str, *, size: int = 1024) -> DataFrame:
+    """(group, i, j) for all i < j of a group, with repeats if ids repeat. Members lie in blocks that meet pairwise, and tasks get pairs of blocks, so that no group fills a task."""
+    n = df.filter(F.col(group).isNotNull()).groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-n // size))
+    own = df.filter(F.col(group).isNotNull() & F.col(id).isNotNull()).withColumn("b", F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int"))
+    laid = own.groupBy(group, "b").agg(F.collect_list(id).alias("ids")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    key = [group, F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")]
+    met = laid.groupBy(*key).agg(F.collect_list("ids").alias("sides"))
+    # Of two blocks, one side each; a block with itself has one side.
+    tasks = max(1, min(400, blocks * blocks))
+    x, y = met.filter("lo = hi OR size(sides) = 2").repartition(tasks, group, "lo", "hi"), F.element_at("sides", -1)
+    each = x.select(group, (F.col("lo") == F.col("hi")).alias("alone"), y.alias("others"), F.explode(F.col("sides")[0]).alias("p"))
+    both = each.select(group, "alone", "p", F.explode("others").alias("q")).filter("p <> q AND (NOT alone OR p < q)")
+    return both.select(group, F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both; of equal positions the first frame's stays."""
     both = a.withColumn("src", F.lit(0)).unionByName(b.withColumn("src", F.lit(1)))

@@ -141,8 +141,7 @@ def _(s, d):
 
 @query("JOIN08_pairs", with_("samples", "SELECT a.sample_id AS i, b.sample_id AS j, a.pop FROM samples a JOIN samples b ON a.pop = b.pop AND a.sample_id < b.sample_id"))
 def _(s, d):
-    v = view(s, d, "samples").select("sample_id", "pop")
-    return v.withColumnRenamed("sample_id", "i").join(v.withColumnRenamed("sample_id", "j"), "pop").filter("i < j")
+    return ps.pairs_within(view(s, d, "samples").select("sample_id", "pop"), "pop", "sample_id")
 
 
 @query("JOIN09_groups", with_("samples", "SELECT pop, count(*) AS n, list(sample_id ORDER BY sample_id) AS members FROM samples GROUP BY pop"))

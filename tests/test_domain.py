@@ -185,6 +185,15 @@ def test_nearest_leaves_make_no_pairs_of_leaves(spark):
     assert got.filter("d <> 1.0 + i % 3 + 1").count() == 0 and got.count() == 60000
 
 
+def test_pairs_of_a_large_group_lie_in_many_tasks(spark):
+    df = spark.range(900).select(F.col("id").alias("s"), F.when(F.col("id") % 9 > 0, "x").otherwise("y").alias("pop"))
+    got = positions.pairs_within(df, "pop", "s", size=100)
+    want = {("x", i, j) for i in range(900) for j in range(i + 1, 900) if i % 9 and j % 9} | {("y", i, j) for i in range(0, 900, 9) for j in range(i + 9, 900, 9)}
+    assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(want) / 5
+
+
 def test_guide_tree_nodes():
     assert assign.tree_nodes(trees.parse_guide_tree("[[A, B], C]")) == [("n", ["A", "B"], ["C"]), ("n0", ["A"], ["B"])]
 
