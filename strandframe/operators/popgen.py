@@ -7,17 +7,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
-from .blocks import counts, each_way, matrix, meet, pack, size_for
+from .blocks import COLUMNS, counts, each_way, matrix, meet, pack, size_for
 from .sequence import columns_of
 
 BLOCK = 256
+#: Samples of a part in sums over samples, and those sums.
+SAMPLES = 8192
+SUMS = ("n", "sx", "sy", "sxy", "sxx", "syy")
 
 
 def packed(diff: Column, n: Column) -> Column:
@@ -172,45 +174,53 @@ def fst_of(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(between == 0, -1.0).otherwise((between - within) / between)
 
 
-def ld(geno: DataFrame, *, max_distance: int | None = None, group: str | None = None, size: int = BLOCK) -> DataFrame:
+def ld(geno: DataFrame, *, max_distance: int | None = None, group: str | None = None, size: int = BLOCK, samples: int = SAMPLES) -> DataFrame:
     """(p, q, r2) of positions p < q (of one group, if given): squared correlation of dosages over samples called at both; null where one does not vary.
 
     Positions are cut into blocks that meet pairwise, or, with max_distance, into bins as wide as it that meet their
-    neighbours; the sums over samples are products of matrices, and no two cells are joined.
+    neighbours, and samples into parts; the sums over the samples of a part are products of matrices, and the parts' sums are
+    added up. No two cells are joined, and memory is bounded whatever the number of samples or positions.
     """
-    g = geno.filter("nalt >= 0").withColumn("g", F.col(group).cast("string") if group else F.lit(""))
-    rows = g.groupBy("g", "pos").agg(F.collect_list(F.struct(F.col("sample_id").cast("long").alias("s"), F.col("nalt").cast("double").alias("x"))).alias("row"))
-    if max_distance is None:
-        n = rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-        blocks = max(1, -(-n // size))
-        own = rows.withColumn("b", F.pmod(F.xxhash64("pos"), F.lit(blocks)).cast("long")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        laid = own.withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")}).drop("o")
-    else:
-        own = rows.withColumn("b", F.floor(F.col("pos") / max(1, max_distance)))
-        laid = own.withColumn("bi", F.explode(F.array("b", F.col("b") + 1))).withColumn("bj", F.lit(None).cast("long"))
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, b, first, last = pdf["pos"].to_numpy(), pdf["b"].to_numpy(), pdf["bi"].iloc[0], pdf["bj"].iloc[0]
-        k = np.repeat(np.arange(len(pos)), [len(r) for r in pdf["row"]])
-        who = np.unique([c["s"] for r in pdf["row"] for c in r], return_inverse=True)[1]
-        x, m = np.zeros((len(pos), who.max() + 1)), np.zeros((len(pos), who.max() + 1))
-        x[k, who] = [c["x"] for r in pdf["row"] for c in r]
-        m[k, who] = 1
-        i, j = np.triu_indices(len(pos), 1)
-        if max_distance is not None:
-            keep = ((b[i] == first) | (b[j] == first)) & (pos[j] - pos[i] <= max_distance)
-        else:
-            keep = (b[i] != b[j]) | (first == last)
-        i, j = i[keep], j[keep]
-        n, sx, sy, sxy, sxx, syy = ((u @ v.T)[i, j] for u, v in ((m, m), (x, m), (m, x), (x, x), (x * x, m), (m, x * x)))
-        own = (n * sxx - sx * sx) * (n * syy - sy * sy)
-        met = n > 0
-        r2 = np.divide((n * sxy - sx * sy) ** 2, own, out=np.full(len(own), np.nan), where=own != 0)
-        return pd.DataFrame({"p": pos[i][met], "q": pos[j][met], "r2": r2[met]})
+    scratch = Scratch(geno.sparkSession, "ld")
+    g = scratch.put(geno.filter("nalt >= 0").select((F.col(group).cast("string") if group else F.lit("")).alias("g"), F.col("pos").cast("long").alias("pos"), F.col("sample_id").cast("long").alias("s"), F.col("nalt").cast("double").alias("x")))
+    bin = F.floor(F.col("pos") / max(1, max_distance)) if max_distance is not None else F.lit(0).cast("long")
+    ids = g.select("s").distinct().count()
+    n = g.select("g", "pos").distinct().groupBy("g", bin.alias("bin")).count().agg(F.max("count")).first()[0] or 0
+    parts, blocks = max(1, -(-ids // samples)), max(1, -(-n // size))
+    laid = g.withColumns({"part": F.xxhash64("g", F.pmod(F.xxhash64("s"), F.lit(parts))), "b": bin * blocks + F.pmod(F.xxhash64("pos"), F.lit(blocks))})
+
+    def body(t: pa.Table) -> dict:
+        pos, k = np.unique(t.column("pos").to_numpy(), return_inverse=True)
+        who, at = np.unique(t.column("s").to_numpy(), return_inverse=True)
+        x = np.full((len(pos), len(who)), np.nan)
+        x[k, at] = t.column("x").to_numpy()
+        return {"g": t.column("g")[0].as_py(), "id": pos, "who": who, "x": x.astype(np.float32) if (x.astype(np.float32) == x)[~np.isnan(x)].all() else x}
 
-    out = laid.groupBy("g", "bi", "bj").applyInPandas(count, "p long, q long, r2 double")
-    return out.withColumn("r2", F.nanvl("r2", F.lit(None).cast("double")))
+    def count(a: dict, b: dict | None) -> Iterator[dict]:
+        o = a if b is None else b
+        if a["g"] != o["g"]:
+            return
+        _, ia, ib = np.intersect1d(a["who"], o["who"], assume_unique=True, return_indices=True)
+        total = np.zeros((6, len(a["id"]), len(o["id"])))
+        for lo in range(0, len(ia), COLUMNS):
+            (x, m), (y, w) = ((np.nan_to_num(v), (~np.isnan(v)).astype(np.float64)) for v in (a["x"][:, ia[lo : lo + COLUMNS]].astype(np.float64), o["x"][:, ib[lo : lo + COLUMNS]].astype(np.float64)))
+            total += [u @ v.T for u, v in ((m, w), (x, w), (m, y), (x, y), (x * x, w), (m, y * y))]
+        keep = lambda i, j: (total[0, i, j] > 0) & ((max_distance is None) | (np.abs(a["id"][i] - o["id"][j]) <= (max_distance or 0)))
+        for i, j, p, q in each_way(a, b, keep):
+            turned = a["id"][i] > o["id"][j]
+            s = dict(zip(SUMS, total[:, i, j], strict=True))
+            for u, v in (("sx", "sy"), ("sxx", "syy")):
+                s[u], s[v] = np.where(turned, s[v], s[u]), np.where(turned, s[u], s[v])
+            yield {"g": np.full(len(p), a["g"], object), "p": p, "q": q, **s}
+
+    packed = scratch.put(pack(laid, ["part", "b"], body))
+    near = lambda k: (F.floor(F.col("b") / blocks) + k) * blocks
+    others = F.sequence(near(0), near(1) - 1) if max_distance is None else F.sequence(near(-1), near(2) - 1)
+    met = meet(packed, others, count, "g string, p long, q long, " + ", ".join(f"{c} double" for c in SUMS), pairs=packed.count() * (blocks + 1) // 2)
+    t = met.groupBy("g", "p", "q").agg(*[F.sum(c).alias(c) for c in SUMS])
+    own = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
+    both = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    return t.select("p", "q", F.try_divide(both * both, own).alias("r2"))
 
 
 def prune(geno: DataFrame, scores: DataFrame, *, r2: float = 0.5, group: str = "chrom", max_distance: int | None = None) -> DataFrame:

@@ -194,6 +194,34 @@ def test_pairs_of_a_large_group_lie_in_many_tasks(spark):
     assert max(sizes) < len(want) / 5
 
 
+def test_linkage_in_parts_of_samples(spark):
+    rng = np.random.default_rng(8)
+    m = rng.integers(-1, 3, (40, 12))
+    df = spark.createDataFrame([(s, 3 * p, int(v), "ab"[p % 2]) for s, r in enumerate(m) for p, v in enumerate(r)], "sample_id long, pos long, nalt int, chrom string")
+
+    def want(p, q):
+        met = (m[:, p] >= 0) & (m[:, q] >= 0)
+        return np.corrcoef(m[met, p], m[met, q])[0, 1] ** 2
+
+    for kw in ({}, {"samples": 7}, {"samples": 7, "size": 5}, {"group": "chrom", "samples": 9}, {"max_distance": 9, "samples": 11, "size": 2}):
+        got = {(r["p"] // 3, r["q"] // 3): r["r2"] for r in popgen.ld(df, **kw).collect()}
+        keys = {(p, q) for p in range(12) for q in range(p + 1, 12) if ("group" not in kw or p % 2 == q % 2) and 3 * (q - p) <= kw.get("max_distance", 99)}
+        assert got.keys() == keys and all(abs(v - want(*k)) < 1e-9 for k, v in got.items())
+
+
+def test_linkage_holds_a_part_of_the_samples_at_a_time(spark):
+    """No group of rows that Python gets at once has more than a block of positions of one part of the samples."""
+    df = spark.range(3000).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("pos"))
+    df = df.withColumn("nalt", F.pmod(F.xxhash64("sample_id", "pos"), F.lit(3)).cast("int"))
+    seen, own = [], popgen.pack
+    popgen.pack = lambda laid, by, body: seen.append(laid.groupBy(*by).count().agg(F.max("count")).first()[0]) or own(laid, by, body)
+    try:
+        assert popgen.ld(df, samples=100).count() == 45
+    finally:
+        popgen.pack = own
+    assert seen[0] < 10 * 200
+
+
 def test_guide_tree_nodes():
     assert assign.tree_nodes(trees.parse_guide_tree("[[A, B], C]")) == [("n", ["A", "B"], ["C"]), ("n0", ["A"], ["B"])]
 
