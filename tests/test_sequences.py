@@ -152,3 +152,36 @@ def test_scores_follow_the_rule():
     s = nucleotide_scores()
     assert [s["A", x] for x in "ATSWRVHN"] == [5, -4, -4, 1, 1, -1, -1, -2] and s["S", "H"] == -3 and s["N", "R"] == -1
     assert nucleotide_scores(read=True)["A", "N"] == 0
+
+
+def test_pairs_of_many_lengths_align_together_as_alone():
+    import random
+
+    from strandframe.operators import align
+
+    rng = random.Random(2)
+    seq = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    xs = [seq(rng.randrange(0, 30)) for _ in range(120)]
+    ys = [x[3:15] + seq(rng.randrange(0, 9)) if rng.random() < 0.7 else seq(rng.randrange(0, 30)) for x in xs]
+    for method in align.METHODS:
+        for gaps in ((-7.0, -7.0, -7.0), (-10.0, -1.0, -4.0)):
+            assert align.align_pairs(xs, ys, method=method, gaps=gaps) == [align.align_pair(x, y, method=method, gaps=gaps) for x, y in zip(xs, ys, strict=True)]
+    ref = seq(60)
+    circles = [ref[k:] + ref[:k] for k in range(0, 60, 7)] + [seq(4), ref[:30]]
+    assert align.recircularise_each(circles, ref) == [align.recircularise(c, ref) for c in circles]
+    assert align.recircularise_each_by(circles, [ref] * len(circles)) == [align.recircularise_by(c, ref) for c in circles]
+    assert align.map_reads(circles, [ref] * len(circles)) == [align.map_read(c, ref) for c in circles]
+
+
+def test_rows_of_one_file_are_aligned_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.operators import align
+
+    df = spark.createDataFrame([(f"s{i}", "ACGTTGCATTGACCAGTTACGGATCCATGCAACTTGGACC"[i % 9 :], "ACGTTGCATTGACCAGTTACGGATCCATG") for i in range(64)], "label string, seq string, other string").coalesce(1)
+    for got in (
+        align.align_columns(df, "seq", "other"), align.map_columns(df, "other", "seq"), align.both_strands_columns(df, "other", "seq"), align.recircularise_columns(df, "seq", "other"),
+        align.recircularise_all(df, "ACGTTGCATTGACCAGTTACGGATCCATGCAACTTGGACC"),
+    ):
+        tasks = got.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 3 and max(r["count"] for r in tasks) < 30
