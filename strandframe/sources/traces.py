@@ -105,11 +105,14 @@ def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_phd(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, bases, quals, basecalls) of the BEGIN_DNA part of PHD files."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)BEGIN_DNA\s*\n(.*?)END_DNA", 1).alias("dna"))
+    """(file, bases, quals, basecalls) of each whole BEGIN_DNA part of PHD files, of which one file may hold many; a file without any gives one empty row."""
+    parts = spark.read.option("lineSep", "BEGIN_DNA").text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)^\s*\n(.*?)END_DNA", 1).alias("dna"), F.col("value").rlike(r"(?s)^\s*\n(.*?)END_DNA").alias("whole"))
     rows = F.transform(F.filter(F.split("dna", r"\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: F.split(F.trim(x), r"\s+"))
-    each = whole.withColumn("r", rows)
-    return each.select("file", F.array_join(F.transform("r", lambda x: x[0]), "").alias("bases"), F.transform("r", lambda x: x[1].cast("int")).alias("quals"), F.transform("r", lambda x: F.get(x, 2).try_cast("int")).alias("basecalls"))
+    each = parts.filter("whole").withColumn("r", rows)
+    found = each.select("file", F.array_join(F.transform("r", lambda x: x[0]), "").alias("bases"), F.transform("r", lambda x: x[1].cast("int")).alias("quals"), F.transform("r", lambda x: F.get(x, 2).try_cast("int")).alias("basecalls"))
+    none = F.array().cast("array<int>")
+    bare = parts.groupBy("file").agg(F.bool_or("whole").alias("whole")).filter("NOT whole").select("file", F.lit("").alias("bases"), none.alias("quals"), none.alias("basecalls"))
+    return found.unionByName(bare)
 
 
 def trim_bounds(quals: Column, *, winsize: int = 10, threshold: int = 20) -> Column:

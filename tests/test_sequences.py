@@ -185,3 +185,46 @@ def test_rows_of_one_file_are_aligned_in_many_tasks(spark):
     ):
         tasks = got.groupBy(F.spark_partition_id()).count().collect()
         assert len(tasks) > 3 and max(r["count"] for r in tasks) < 30
+
+
+def test_matrix_of_more_samples_than_a_plan_holds_columns(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.sources import variants
+
+    n = 30000
+    df = spark.range(n).filter("id % 7 <> 3").select((F.col("id") % 3).alias("pos"), F.col("id").alias("s"), F.when(F.col("id") % 5 > 0, (F.col("id") % 4).cast("int")).alias("v"))
+    rows, names = variants.strips(df, "pos", "s", "v", width=1000)
+    ids = [i for i in range(n) if i % 7 != 3]
+    assert [x for r in names.orderBy("strip").collect() for x in r["names"]] == ids
+    assert {len(r["cells"]) for r in rows.collect()} == {1000, len(ids) % 1000 or 1000}
+    got = variants.unpivot_strips(rows, names, "pos")
+    assert got.count() == 3 * len(ids)
+    assert {tuple(r) for r in got.filter("gt IS NOT NULL").collect()} == {(i % 3, str(i), i % 4) for i in ids if i % 5}
+
+
+def test_phd_file_of_many_records(spark, tmp_path):
+    from strandframe.sources import traces
+
+    one = "BEGIN_SEQUENCE s{0}\nBEGIN_COMMENT\nx\nEND_COMMENT\n\nBEGIN_DNA\na {0} 5\nc 2\n\nEND_DNA\n\nEND_SEQUENCE\n"
+    (tmp_path / "ball.phd").write_text("".join(one.format(i) for i in range(300)))
+    (tmp_path / "none.phd").write_text("BEGIN_SEQUENCE x\nEND_SEQUENCE\n")
+    (tmp_path / "cut.phd").write_text("BEGIN_DNA\na 1 5\n")
+    rows = traces.read_phd(spark, str(tmp_path)).collect()
+    assert sorted(r["quals"][0] for r in rows if r["bases"] == "ac" and r["quals"][1] == 2 and r["basecalls"] == [5, None]) == list(range(300))
+    assert sorted(r["file"].rsplit("/", 1)[1] for r in rows if r["bases"] == "" and r["quals"] == []) == ["cut.phd", "none.phd"] and len(rows) == 302
+
+
+def test_records_of_one_genbank_file_are_read_in_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    text = 'LOCUS       r{0} 4 bp\nFEATURES             Location/Qualifiers\n     source          1..4\n                     /isolate="a // {0}"\nORIGIN\n        1 acgt\n//\n'
+    (tmp_path / "x.gb").write_text("".join(text.format(i) for i in range(4000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = io.read_genbank(spark, str(tmp_path / "x.gb"))
+        assert got.select(F.spark_partition_id()).distinct().count() > 4
+        assert [(r["label"], r["seq"], r["attr"]["isolate"]) for r in got.orderBy("ord").collect()] == [(f"r{i}", "acgt", f"a // {i}") for i in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
