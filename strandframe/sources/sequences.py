@@ -1,13 +1,14 @@
 """Sequence files: FASTA, FASTQ, GenBank, EMBL, flat tables, PHYLIP and NEXUS, plain or gzipped.
 
 Readers return rows (file, ord, label, seq, ...). Text formats whose records a separator tells apart are split by Spark; what
-needs a state from line to line is parsed record by record in Arrow batches.
+needs a state from line to line is parsed record by record in Arrow batches (GenBank and EMBL), or file by file.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from ..operators.sequence import build_attributes, fasta_records, parse_definiti
 
 RECORD = "file string, ord long, label string, seq string, definition string, attr map<string,string>"
 FEATURES = "array<struct<tag:string,location:string,fields:map<string,array<string>>>>"
+#: Rows that leave Python at once.
+PORTION = 2000
 #: Qualifiers of a source feature that become attributes.
 PROMOTED = ("isolate", "strain", "country", "collection_date", "organism", "organelle")
 
@@ -91,12 +94,24 @@ def per_file(spark: SparkSession, paths: str | list[str], parse: Callable[[str],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, text in zip(b["file"], b["value"], strict=True):
-                rows = [(file, i, *r) for i, r in enumerate(parse(text))]
-                yield pd.DataFrame(rows, columns=["file", "ord", *names])
+                for rows in batched(((file, i, *r) for i, r in enumerate(parse(text))), PORTION):
+                    yield pd.DataFrame(rows, columns=["file", "ord", *names])
 
     return whole.mapInPandas(run, f"file string, ord long, {schema}")
 
 
+def per_record(spark: SparkSession, paths: str | list[str], separator: str, parse: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of the records of text files, which Spark splits at a separator, so that neither a task nor Python holds a whole file: (file, ord, ...)."""
+    names = StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for rows in batched(((file, i, *r) for file, i, text in zip(b["file"], b["ord"], b["value"], strict=True) for r in parse(text)), PORTION):
+                yield pd.DataFrame(rows, columns=["file", "ord", *names])
+
+    return _records(spark, paths, separator).mapInPandas(run, f"file string, ord long, {schema}")
+
+
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return per_file(spark, paths, fastq_entries, "label string, seq string, qual string")
 
@@ -143,7 +158,7 @@ def genbank_entries(text: str) -> Iterator[tuple]:
 
 
 def read_genbank(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return per_file(spark, paths, genbank_entries, f"label string, seq string, definition string, attr map<string,string>, features {FEATURES}")
+    return per_record(spark, paths, "\n//", genbank_entries, f"label string, seq string, definition string, attr map<string,string>, features {FEATURES}")
 
 
 def embl_entries(text: str) -> Iterator[tuple]:
@@ -162,7 +177,7 @@ def embl_entries(text: str) -> Iterator[tuple]:
 
 
 def read_embl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return per_file(spark, paths, embl_entries, "label string, seq string")
+    return per_record(spark, paths, "\n//", embl_entries, "label string, seq string")
 
 
 def read_flat(spark: SparkSession, paths: str | list[str], *, sep: str = "\t") -> DataFrame:
